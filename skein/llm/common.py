@@ -145,14 +145,19 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER_TABLE[data]
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word and, for each row, the number of words before it (one more at the end)."""
+def word_bounds(data: np.ndarray, off: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word and, for each row, the number of words before it (one more at the end).
+
+    cuts: bytes that start a word of their own although no space stands before.
+    """
     if not len(data):
         z = np.empty(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
     inside = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
+    if cuts is not None:
+        edge[cuts] = True
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     start = inside & (~before | edge[:-1])

@@ -10,6 +10,7 @@ at all, and only pieces of open windows are cut further.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SLICE_BYTES, Rolling, slices, text_arrays, word_bounds
+from .common import SLICE_BYTES, Rolling, lowered, slices, text_arrays, word_bounds
 
 WINDOW = 2048
 END_ID = 1
@@ -27,13 +28,21 @@ _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _SCHEMA.split(", ")])
 
 
+#: 1 for ASCII letters, 2 for ASCII marks between which and a letter no id ever spans. Not the apostrophe (contractions) nor < > | (special tokens).
+_KIND = np.zeros(256, np.uint8)
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<>|"]] = 2
+
+
 class WordEncoder:
     """Ids of whole texts, encoding each distinct word once.
 
-    This equals encoding a text at once for tokenizers that drop white space and never join ids across it, as word_bpe_49k does.
+    This equals encoding a text at once for tokenizers that drop white space, fold case and never join ids across white space or from a letter to a mark, as
+    word_bpe_49k does.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; waiting threads cost CPU seconds
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,27 +54,31 @@ class WordEncoder:
         self.ids = np.empty(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        # One call with the words of a slice, separated by white space, is as good as one call each but for where a word ends: so each alone.
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        # All in one call, a blank between: no id spans a blank, so the place where an id starts tells its word.
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        start = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        size = np.bincount(np.searchsorted(np.cumsum(length), start, "right"), minlength=len(words))
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *found])
+        self.ids = np.concatenate([self.ids, np.array(got.ids, np.uint32)])
         keys = np.concatenate([self.keys, hashes])
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """The ids of each row."""
-        starts, ends, first = word_bounds(data, off)
+        kind = _KIND[data]
+        starts, ends, first = word_bounds(data, off, np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1)
         if not len(starts):
             return [np.empty(0, np.uint32)] * (len(off) - 1)
-        hashes, where, inverse = np.unique(Rolling(data).of(starts, ends), return_index=True, return_inverse=True)
+        # Case does not tell ids apart but in the special tokens' own names.
+        text = data if b"<|" in (raw := data.tobytes()) else lowered(data)
+        hashes, where, inverse = np.unique(Rolling(text).of(starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_WORDS:
             self.clear()
         slot = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
         new = self.keys[slot] != hashes if len(self.keys) else np.ones(len(hashes), bool)
         if new.any():
-            raw = data.tobytes()
             self._learn(hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
             slot = np.searchsorted(self.keys, hashes)
         size, at = self.size[slot][inverse], self.at[slot][inverse]
