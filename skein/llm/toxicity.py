@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import Rolling, lowered, slices, text_arrays, word_bounds
 from .labelled import SAMPLE_ROWS, held_out, sample
 
-BUCKETS, DIM, SPAN, THRESHOLD = 1 << 18, 8, 6, 0.7
+BUCKETS, DIM, SPAN, THRESHOLD = 1 << 18, 8, 2, 0.7
 #: Labelled texts that an n-gram must be in to get an embedding; others stay at zero.
-MIN_TEXTS = 4
-STEPS, RATE, MOMENTUM, DECAY = 80, 400.0, 0.9, 1e-3
+MIN_TEXTS = 3
+STEPS, RATE, MOMENTUM, DECAY = 100, 3000.0, 0.9, 1e-3
 _GRAMS = (3, 4, 5)
 #: Words that a scoring worker remembers; it only saves time.
 CACHE_WORDS = 500_000
