@@ -94,3 +94,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
     return classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query()
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chosen_path import near_groups
+
+    return near_groups(documents(spark, sf_dir), width=4, percent=80)
