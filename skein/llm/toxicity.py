@@ -73,6 +73,14 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)
 
 
+def _gathered(to: np.ndarray, values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[at] by to, in blocks that keep the temporaries small."""
+    out = np.zeros(n)
+    for k in range(0, len(to), 1 << 20):
+        out += np.bincount(to[k : k + (1 << 20)], values[at[k : k + (1 << 20)]], minlength=n)
+    return out
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
@@ -116,30 +124,49 @@ class Model:
         return out
 
 
-def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 5) -> Model:
+def fit(texts: list[str] | pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> Model:
     """Joint training of embeddings and softmax. No labelled row: every text scores one half."""
     if not len(texts) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), 0.0 if not len(texts) else float(np.log((y.mean() + 0.01) / (1.01 - y.mean()))))
-    data, off = text_arrays(pa.array(texts, pa.string()))
-    starts, ends, first = word_bounds(data, off)
-    low = lowered(data)
-    _, where, word = np.unique(Rolling(low).of(starts, ends), return_index=True, return_inverse=True)
-    raw = low.tobytes()
-    grams, bounds = word_grams([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+    # By slices, as hashing takes many bytes for one of text.
+    hashes, firsts, seen = [], [np.zeros(1, np.int64)], {}
+    for part in slices(pa.record_batch([texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())], ["text"])):
+        data, off = text_arrays(part.column("text"))
+        starts, ends, first = word_bounds(data, off)
+        firsts.append(first[1:] + firsts[-1][-1])
+        if len(starts):
+            low = lowered(data)
+            found, where, inverse = np.unique(Rolling(low).of(starts, ends), return_index=True, return_inverse=True)
+            hashes.append(found[inverse])
+            raw = low.tobytes()
+            for h, a, b in zip(found.tolist(), starts[where].tolist(), ends[where].tolist(), strict=True):
+                seen.setdefault(h, raw[a:b])
+    first = np.concatenate(firsts)
+    keys, word = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_inverse=True)
+    word = word.astype(np.int32)
+    if not len(keys):
+        return Model(np.zeros(BUCKETS), float(np.log((y.mean() + 0.01) / (1.01 - y.mean()))))
+    del hashes
+    blocks = [word_grams([seen[h] for h in keys[k : k + 20_000].tolist()]) for k in range(0, len(keys), 20_000)]
+    del seen
+    grams = np.concatenate([b[0].astype(np.int32) for b in blocks])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b[1]) for b in blocks]))])
+    del blocks
     n_grams = np.diff(bounds)
     # Buckets in use, numbered anew; the rest stay at zero.
     span, base = spans(first)
-    pairs = np.unique(np.repeat(np.arange(len(off) - 1), np.diff(first)) * len(n_grams) + word)
+    pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(first)) * len(n_grams) + word)
     texts_of = np.zeros(BUCKETS, np.int64)
     for doc_words in np.split(pairs % len(n_grams), np.flatnonzero(np.diff(pairs // len(n_grams))) + 1):
         texts_of[np.unique(grams[_ranges(bounds[doc_words], n_grams[doc_words])])] += 1
     used = np.flatnonzero(texts_of >= MIN_TEXTS)
-    number = np.full(BUCKETS, len(used))
+    number = np.full(BUCKETS, len(used), np.int32)
     number[used] = np.arange(len(used))
     grams = number[grams]
     common = grams < len(used)
     per = np.concatenate([[0], np.cumsum(np.add.reduceat(common, bounds[:-1]))])
-    grams, owner_word = grams[common], np.repeat(np.arange(len(n_grams)), np.diff(per))
+    grams, owner_word = grams[common], np.repeat(np.arange(len(n_grams), dtype=np.int32), np.diff(per))
+    del pairs, common, per
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.01, (len(used), DIM))
     w, bias = rng.normal(0, 1.0, DIM), -2.0
@@ -150,9 +177,11 @@ def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 5) -> M
     weight = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum())) * len(rows)
     owner = np.repeat(np.arange(len(rows)), np.diff(base)[rows])
     lone = np.arange(len(span))
+    if not len(used):
+        return Model(np.zeros(BUCKETS), float(np.log((y.mean() + 0.01) / (1.01 - y.mean()))))
     for step in range(steps):
         z = e @ w
-        value = np.bincount(owner_word, z[grams], minlength=len(n_grams)) / n_grams
+        value = _gathered(owner_word, z, grams, len(n_grams)) / n_grams
         logit = _means(value[word], span) + bias
         if step < steps // 8:
             # At first all spans of a text stand for it alike; later the one that decides.
@@ -167,7 +196,7 @@ def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 5) -> M
         length = span[chosen, 1] - span[chosen, 0]
         tokens = word[_ranges(span[chosen, 0], length)]
         per_word = np.bincount(tokens, np.repeat(error / SPAN, length), minlength=len(n_grams)) / n_grams
-        per_bucket = np.bincount(grams, per_word[owner_word], minlength=len(used))
+        per_bucket = _gathered(grams, per_word, owner_word, len(used))
         # The gradient of a bucket's embedding is its share of the error times the softmax's direction; that of the direction is the sum of the embeddings by those shares.
         d_w = per_bucket @ e
         me *= MOMENTUM
@@ -186,7 +215,9 @@ def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 5) -> M
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Fits on the bounded sample (rows * SAMPLE_CHARS characters at most reach the driver)."""
     got = sample(docs, labels, label, rows).select("doc_id", "text", "y").toArrow().sort_by("doc_id")
-    return fit(got.column("text").to_pylist(), got.column("y").to_numpy())
+    texts, y = got.column("text").combine_chunks(), got.column("y").to_numpy()
+    del got
+    return fit(texts, y)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
