@@ -101,3 +101,20 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosen_path import near_groups
 
     return near_groups(documents(spark, sf_dir), width=4, percent=80)
+
+
+@query("""
+WITH g AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9
+), r AS (
+  WITH RECURSIVE reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a) SELECT a, min(b) AS low FROM reach GROUP BY a
+), c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, low), vec_id) AS component_id, vec_id = coalesce(least(vec_id, low), vec_id) AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN r ON vec_id = r.a
+""")
+def op2_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .product_quant import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
