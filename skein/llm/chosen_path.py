@@ -8,10 +8,10 @@ with probability 0.53 ** 24, about 3e-7.
 
 What keeps the work in proportion to the input, also where a third of all documents are copies:
 - documents with the same set are one from the start (their smallest id);
-- two first trees link the members of large nodes to one member each (a star, not all pairs); after that, documents known to be connected are not compared again
-  and nodes whose documents are all connected are dropped;
-- a node that is still large and unconnected at the deepest level is compared exhaustively, all members against those outside the component of
-  its first member, so nothing is capped;
+- FIRST_TREES first trees of depth 1 link members of large nodes to one member each (a star, not all pairs) where their signatures agree in half of the tokens or more. The components
+  of these weak links are clusters, inside which all full sets are compared, exactly and once, in blocks of BLOCK by BLOCK that give spanning links only;
+- after that, documents of one cluster are not compared again, and nodes whose documents are all of one cluster are dropped;
+- a node that is still large at the deepest level is compared exhaustively, all members against those outside the cluster of its first member, so nothing is capped;
 - nodes meet by joins that adaptive execution may split. No group is collected into a task.
 
 Candidates pass an estimate on the signature (five standard deviations below the threshold) and then the exact test on the full sets of 64-bit shingle hashes.
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, int_lists, mix64, shingle_sets, slices, text_arrays
+from .common import Workspace, mix64, shingle_sets, slices, spanning, text_arrays
 from .components import components
 
-TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH = 64, 24, 2, 12, 8
+TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, BLOCK, WEAK = 64, 24, 8, 12, 8, 512, 0.5
 _SEEDS = np.random.default_rng(0xC4A1).integers(1, 1 << 31, (TOKENS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = np.random.default_rng(0xC4A2).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 
@@ -76,8 +76,8 @@ def _chosen(sig: np.ndarray, node: np.ndarray, used: np.ndarray, similarity: flo
 _BRANCHES = "node long, doc long, comp long, used long"
 
 
-def _branches(similarity: float, trees: range | None):
-    """Rows of (doc, comp, sig) at depth 2 of some trees, or rows of (node, doc, comp, used, sig) one level further down."""
+def _branches(similarity: float, trees: range | None, depth: int = 1):
+    """Rows of (doc, comp, sig) at a depth of some trees, or rows of (node, doc, comp, used, sig) one level further down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +88,7 @@ def _branches(similarity: float, trees: range | None):
                 if trees is None:
                     starts = [(part.column("node").to_numpy().view(np.uint64), part.column("used").to_numpy().view(np.uint64), 1)]
                 else:
-                    starts = [(mix64(np.full(len(doc), t + 1, np.uint64)), np.zeros(len(doc), np.uint64), 2) for t in trees]
+                    starts = [(mix64(np.full(len(doc), t + 1, np.uint64)), np.zeros(len(doc), np.uint64), depth) for t in trees]
                 for node, used, levels in starts:
                     rows = np.arange(len(doc))
                     for _ in range(levels):
@@ -104,7 +104,7 @@ def _full_sets(width: int):
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(*text_arrays(part.column("text")), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), int_lists([s.view(np.int64) for s in sets], pa.int64())], names=["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "shingles"])
 
     return run
 
@@ -120,55 +120,147 @@ def _agreeing(least: float):
     return run
 
 
+def _similar(percent: int):
+    """Keeps pairs that are similar enough by their full sets sa and sb."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _compared(percent: int):
+    """Spanning links inside each cluster of a group of rows: w, blk, cross, doc, shingles. If cross, only rows of different blk are compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("w", "ascending"), ("blk", "ascending"), ("doc", "ascending")])
+        w, blk, doc = (table.column(c).to_numpy() for c in ("w", "blk", "doc"))
+        cross = table.column("cross")[0].as_py()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        a, b = [], []
+        for lo, hi in zip(*_runs(w), strict=True):
+            mid = lo + int(np.searchsorted(blk[lo:hi], blk[lo], "right")) if cross else hi
+            if hi - lo > 1 and (mid < hi or not cross):
+                n = np.array([len(sets[k]) for k in range(lo, hi)])
+                common = _overlaps([sets[k] for k in range(lo, hi)])
+                i, j = slice(0, mid - lo), slice(mid - lo if cross else 0, hi - lo)
+                both = common(i, j)
+                linked = 100 * both >= percent * (n[i, None] + n[None, j] - both)
+                linked &= doc[lo:mid][:, None] != doc[lo:hi][j][None, :]
+                u, v = spanning(linked, doc[lo:mid], doc[lo:hi][j])
+                a.append(u)
+                b.append(v)
+        return pa.table({c: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for c, x in (("a", a), ("b", b))})
+
+    return run
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[int]]:
+    at = np.flatnonzero(np.diff(x)) + 1
+    return [0, *at.tolist()], [*at.tolist(), len(x)]
+
+
+def _overlaps(sets: list[np.ndarray]):
+    """A function of two ranges of the sets that gives their sizes of intersection, by products of dense blocks of shared shingles."""
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[token] > 1
+    number = np.cumsum(count > 1) - 1
+    row, token = row[shared], number[token[shared]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+
+    def of(i: slice, j: slice) -> np.ndarray:
+        out = np.zeros((i.stop - i.start, j.stop - j.start), np.float32)
+        for k in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+            x, y = np.searchsorted(token, [k, k + 4096])
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[row[x:y], token[x:y] - k] = 1
+            out += m[i] @ m[j].T
+        return out
+
+    return of
+
+
 class Join:
-    """The join over one table of distinct sets: doc (smallest id), n, sig."""
+    """The join over one table of distinct sets: doc (smallest id), n_shingles, sig."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame, work: Workspace, width: int, percent: int):
         self.docs, self.sets, self.work, self.width, self.percent = docs, sets, work, width, percent
         self.similarity = percent / 100
 
-    def links(self, trees: range, comps: DataFrame | None, deep: bool) -> DataFrame:
-        """Confirmed links (a, b) between sets that are not known to be connected."""
-        if comps is None:
-            start = self.sets.select("doc", F.col("doc").alias("comp"), "sig")
-        else:
-            start = self.sets.select("doc", "sig").join(comps, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("comp"), "sig")
-            start = self.work.keep(start, "start")
-        rows = start.mapInArrow(_branches(self.similarity, trees), _BRANCHES)
+    def _nodes(self, rows: DataFrame) -> DataFrame:
+        """Nodes of at least two documents of different clusters, with their size and first member in a hashed order."""
+        first = F.min(F.struct(F.xxhash64("doc", "node").alias("h"), "doc", "comp"))
+        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("hub"))
+        return nodes.where("n > 1 and lo < hi").select("node", "n", F.col("hub.doc").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+
+    def _likely(self, pairs: DataFrame, least: float) -> DataFrame:
+        """Pairs whose sizes and signatures do not rule out that similarity."""
+        side = lambda x: self.sets.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b")
+        if least > WEAK:
+            sized = sized.where(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
+        return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(least), "a long, b long")
+
+    def clusters(self) -> DataFrame:
+        """(node, component) of documents in clusters by weak links."""
+        rows = self.sets.select("doc", F.col("doc").alias("comp"), "sig").mapInArrow(_branches(self.similarity, range(FIRST_TREES), 1), _BRANCHES)
+        nodes = self._nodes(rows).select("node", "hub")
+        stars = rows.select("node", "doc").join(nodes, "node").where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
+        return self.work.keep(components(self._likely(stars, WEAK), self.work), "clusters")
+
+    def candidates(self, trees: range, clusters: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different clusters that meet in a tree and may be similar enough."""
+        start = self.sets.select("doc", "sig").join(clusters, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("comp"), "sig")
+        start = self.work.keep(start, "start")
+        rows = start.mapInArrow(_branches(self.similarity, trees, 2), _BRANCHES)
         pairs = []
         for depth in range(2, MAX_DEPTH + 1):
-            first = F.min(F.struct(F.xxhash64("doc", "node").alias("h"), "doc", "comp"))
-            nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("hub")).where("n > 1 and lo < hi").drop("lo", "hi")
-            live = self.work.keep(rows.join(nodes, "node").select("node", "doc", "comp", "used", "n", F.col("hub.doc").alias("hub"), F.col("hub.comp").alias("hub_comp")), "live")
+            live = self.work.keep(rows.join(self._nodes(rows), "node"), "live")
             small = live.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("doc", "comp"))).alias("m"))
             two = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SMALL)), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b"), (x["comp"] != y["comp"]).alias("new")))))
-            pairs.append(self.work.keep(small.select(F.explode(F.filter(two, lambda p: p["new"])).alias("p")).select("p.a", "p.b").distinct(), "pairs"))
+            pairs.append(small.select(F.explode(F.filter(two, lambda p: p["new"])).alias("p")).select("p.a", "p.b"))
             large = live.where(F.col("n") > SMALL)
-            pairs.append(self.work.keep(large.where("comp <> hub_comp").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct(), "stars"))
-            if not deep or not large.take(1):
+            if not large.take(1):
                 break
-            with_sig = large.join(self.sets.select("doc", "sig"), "doc")
             if depth < MAX_DEPTH:
+                with_sig = large.join(self.sets.select("doc", "sig"), "doc")
                 rows = with_sig.select("node", "doc", "comp", "used", "sig").mapInArrow(_branches(self.similarity, None), _BRANCHES)
             else:
-                # Members outside the first member's component, against all others.
+                # Members outside the first member's cluster, against all others.
                 q = large.where("comp <> hub_comp").select("node", F.col("doc").alias("q"), F.col("comp").alias("q_comp"))
                 cross = large.join(q, "node").where("comp <> q_comp and (comp = hub_comp or doc < q)")
-                pairs.append(self.work.keep(cross.select(F.least("doc", "q").alias("a"), F.greatest("doc", "q").alias("b")).distinct(), "rest"))
+                pairs.append(cross.select(F.least("doc", "q").alias("a"), F.greatest("doc", "q").alias("b")))
         found = pairs[0]
         for p in pairs[1:]:
             found = found.unionByName(p)
-        return self._confirmed(found.distinct())
-
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        side = lambda x: self.sets.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {self.percent} * greatest(n_a, n_b)")
-        likely = self.work.keep(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(self.similarity - 0.25), "a long, b long").distinct(), "likely")
-        ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-        full = self.work.keep(self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(self.width), "doc long, shingles array<long>").dropDuplicates(["doc", "shingles"]), "sets")
+        return self.work.keep(self._likely(found.distinct(), self.similarity - 0.25), "likely")
+
+    def links(self, clusters: DataFrame, likely: DataFrame) -> DataFrame:
+        """Links confirmed on full sets: spanning ones inside clusters, and those of the likely pairs."""
+        ids = clusters.select(F.col("node").alias("doc_id")).unionByName(likely.select(F.col("a").alias("doc_id"))).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+        full = self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(self.width), "doc long, shingles binary")
+        full = self.work.keep(full.dropDuplicates(["doc", "shingles"]), "sets")
+        # A cluster of several blocks is compared block by block; small clusters share groups of about BLOCK rows.
+        sizes = clusters.groupBy("component").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        small = sizes.where("blocks = 1").agg(F.sum("m")).first()[0] or 0
+        groups = max(1, -(-small // BLOCK))
+        member = clusters.join(sizes, "component").select(F.col("component").alias("w"), F.col("node").alias("doc"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("blk"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        member = member.withColumn("o", other).withColumn("cross", F.col("o") != F.col("blk"))
+        group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("w"), F.lit(groups))).otherwise(F.xxhash64("w", F.least("o", "blk"), F.greatest("o", "blk")))
+        block_rows = member.withColumn("g", group).join(full, "doc").select("g", "w", "blk", "cross", "doc", "shingles")
+        inside = block_rows.groupBy("g", "cross").applyInArrow(_compared(self.percent), "a long, b long")
         both = likely.join(full.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return self.work.keep(both.where(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "links")
+        outside = both.mapInArrow(_similar(self.percent), "a long, b long")
+        return self.work.keep(inside.unionByName(outside).distinct(), "links")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, work: Workspace | None = None) -> DataFrame:
@@ -184,9 +276,14 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, trees: int =
     by_set = sketches.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
     sets = work.keep(by_set, "by_set")
     join = Join(docs, sets.where("doc is not null").select("doc", "n_shingles", "sig"), work, width, percent)
-    first = join.links(range(FIRST_TREES), None, deep=False)
-    second = join.links(range(FIRST_TREES, trees), components(first, work), deep=True)
-    comps = components(first.unionByName(second), work)
+    clusters = join.clusters()
+    comps = components(join.links(clusters, join.candidates(range(FIRST_TREES, FIRST_TREES + trees), clusters)), work)
     of_set = sets.select("set_key", "doc").join(comps, F.col("doc") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc").alias("c"))
     own = F.coalesce("c", "doc_id")
     return sketches.join(of_set, "set_key", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, with the smallest id of each group of near copies. Rows without an id stay."""
+    dropped = near_groups(docs, width, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)

@@ -208,3 +208,21 @@ def int_lists(rows: list[np.ndarray], kind) -> pa.ListArray:
     np.cumsum([len(x) for x in rows], out=off[1:])
     flat = np.concatenate(rows) if rows else np.empty(0)
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, kind))
+
+
+def spanning(linked: np.ndarray, q: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a forest that connects what a block's links connect, at most one a vector."""
+    rows, cols = np.nonzero(linked)
+    if not len(rows):
+        return rows, rows
+    label = np.concatenate([q, y])
+    while True:
+        before = label.copy()
+        low = np.minimum(label[rows], label[len(q) + cols])
+        np.minimum.at(label, rows, low)
+        np.minimum.at(label, len(q) + cols, low)
+        if (before == label).all():
+            break
+    ids = np.concatenate([q, y])
+    moved = label < ids
+    return ids[moved], label[moved]

@@ -78,3 +78,21 @@ def mix(
     placed = ordered.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("bin_start") - F.col("in_bin"))).cast("long")
     return placed.select("doc_id", "source", "size", "source_size", "target", "repeats", extra.alias("extra"), (F.col("repeats") * F.col("size") + extra).alias("taken"), *keep)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of docs, all columns, as often as they are taken.
+
+    A document's whole repetitions are equal rows. The one document of a source at which its target is reached may be taken in part: the first words of its text,
+    joined by single blanks, with n_chars (if there is such a column) counted anew.
+    """
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    taken = mix(docs, keep=rest, **options)
+    parts = F.concat(F.array_repeat(F.col("size"), F.col("repeats").cast("int")), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<bigint>")))
+    rows = taken.withColumn("part", F.explode(parts))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    out = rows.withColumn("text", F.when(F.col("part") < F.col("size"), F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("text")))
+    if "n_chars" in rest:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("part") < F.col("size"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, spanning
 from .components import components
 
 #: Rows that the index is fitted on at most; all rows are indexed.
@@ -94,24 +94,6 @@ def _units(batch: pa.RecordBatch, kind, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _spanning(linked: np.ndarray, q: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a forest that connects what a block's links connect, at most one a vector."""
-    rows, cols = np.nonzero(linked)
-    if not len(rows):
-        return rows, rows
-    label = np.concatenate([q, y])
-    while True:
-        before = label.copy()
-        low = np.minimum(label[rows], label[len(q) + cols])
-        np.minimum.at(label, rows, low)
-        np.minimum.at(label, len(q) + cols, low)
-        if (before == label).all():
-            break
-    ids = np.concatenate([q, y])
-    moved = label < ids
-    return ids[moved], label[moved]
-
-
 def _block(index: Index, cosine: float, kind):
     """Compares a block's queries with a block of one list."""
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
@@ -145,7 +127,7 @@ def _block(index: Index, cosine: float, kind):
                 out["id"].append(ids[at : at + 256][some])
                 out["links"].append(count[some])
                 out["to"].append(np.full(len(some), -1))
-                u, v = _spanning(sure, ids[at : at + 256], others)
+                u, v = spanning(sure, ids[at : at + 256], others)
                 out["id"].append(u)
                 out["links"].append(np.zeros(len(u), np.int64))
                 out["to"].append(v)

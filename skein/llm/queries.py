@@ -118,3 +118,28 @@ def op2_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .product_quant import near_vectors
 
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("""
+WITH d AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM d WHERE n > 0 GROUP BY source, lang
+""")
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted with a count guessed from their length, then revised to their exact count; those without
+    a word are deleted. Every batch is committed twice, as after a retry."""
+    from pyspark.sql import functions as F
+
+    from .common import Workspace
+    from .rollup import Rollup, count_words, deletes, inserts, revisions
+
+    work = Workspace(spark, "rollup")
+    docs = documents(spark, sf_dir)
+    guess = F.expr("n_chars div 6")
+    counts = work.keep(count_words(docs, extra={"old_tokens": guess}), "counts")
+    rollup = Rollup(spark, f"{work.path}/store")
+    for _ in range(2):
+        rollup.commit("load", inserts(counts.withColumn("n_tokens", F.col("old_tokens"))))
+        rollup.commit("recount", revisions(counts))
+        rollup.commit("blank", deletes(counts.where("n_tokens = 0")))
+    rollup.compact()
+    return rollup.totals()
