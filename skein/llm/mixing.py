@@ -36,10 +36,10 @@ def water_fill(sources: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share:
     t = sources.withColumn("rank", F.row_number().over(by_name)).withColumn("weight", _weights(F.col("rank"), cycle))
     t = t.withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
     t = t.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(everything))
-    # The level if all sources before this one are clamped; the first level that its own source can hold is the one.
+    # The level if all sources before this one are clamped. It rises as long as clamping sets words free and falls from then on: the highest is the fixed point.
     t = t.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(by_clamp), F.lit(0.0))) / F.sum("weight").over(rest))
-    t = t.withColumn("fill", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
-    return t.withColumn("target", F.coalesce(F.least("cap", F.col("weight") * F.col("fill")), F.col("cap"))).select("source", "source_size", "weight", "target")
+    t = t.withColumn("fill", F.max("level").over(everything))
+    return t.withColumn("target", F.least("cap", F.col("weight") * F.col("fill"))).select("source", "source_size", "weight", "target")
 
 
 def mix(

@@ -50,9 +50,9 @@ WITH d AS (
   SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
          / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
 ), f AS (
-  SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS fill FROM l
+  SELECT *, max(level) OVER () AS fill FROM l
 ), t AS (
-  SELECT source, source_size, coalesce(least(cap, weight * fill), cap) AS target FROM f
+  SELECT source, source_size, least(cap, weight * fill) AS target FROM f
 ), q AS (
   SELECT *, CAST(round(target) AS BIGINT) AS words,
          CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS repeats FROM t

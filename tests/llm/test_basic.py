@@ -95,6 +95,38 @@ def test_mix_edge(spark, edge):
     assert sorted(map(str, rows)) == sorted(map(str, mix(edge.repartition(5)).collect()))
 
 
+def test_water_fill_random(spark):
+    """Closed form against clamping step by step, for many shapes of sizes; sizes of 0 among them."""
+    import random
+
+    from skein.llm.mixing import water_fill
+
+    rng = random.Random(2)
+    for k in range(6):
+        sizes = {f"s{i:02d}": rng.choice([0, 1, 5, 100, 1000, 100_000]) * rng.randint(1, 9) for i in range(rng.randint(1, 14))} | {None: 7, "Z": 3, "é": 50}
+        share = rng.choice([0.3, 1.5, 1.9, 2.0])
+        got = {r.source: r.target for r in water_fill(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), share=share).collect()}
+        want = brute_targets(sizes, share=share)
+        assert all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in sizes)
+        assert abs(sum(got.values()) - share * sum(sizes.values())) <= 1e-6 * sum(sizes.values())
+
+
+def test_mix_table(spark):
+    from skein.llm.queries import op7_source_mix
+
+    rows = op7_source_mix(spark, "/root/testdata/sf0.01").collect()
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in docs.values():
+        sizes[r.source] += len(words(r.text))
+    target = brute_targets(sizes)
+    for r in rows:
+        s = docs[r.doc_id].source
+        taken[s] += r.taken
+        assert r.size == len(words(docs[r.doc_id].text)) and r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6 and 0 <= r.taken <= 2 * r.size
+    assert len(rows) == len(docs) and all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
+
+
 def test_mix_plan_is_native(spark, sf):
     from skein.llm.queries import op7_source_mix
 
