@@ -143,3 +143,10 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.commit("blank", deletes(counts.where("n_tokens = 0")))
     rollup.compact()
     return rollup.totals()
+
+
+@query()
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir))
