@@ -150,3 +150,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeated_passages
 
     return repeated_passages(documents(spark, sf_dir))
+
+
+@query()
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_mixing import score_documents
+
+    return score_documents(documents(spark, sf_dir))
