@@ -3,7 +3,7 @@
 A document is the set of its word shingles. Each tree sends a document down the branches of those minwise tokens (i, i-th minhash) that a seeded
 hash of the branch and the token chooses, 1 / (similarity * tokens) of them: documents as similar as the threshold then share
 one branch at each level on average, less similar ones soon part. Nodes of at most SMALL documents are compared exhaustively, larger ones branch
-again. One tree finds a pair at the threshold with probability 0.63 at depth 1 and 0.47 at depth 2. The FIRST_TREES trees of depth 1 and the TREES deeper ones together miss
+again, LEVELS at a time. One tree finds a pair at the threshold with probability 0.63 at depth 1 and 0.47 at depth 2. The FIRST_TREES trees of depth 1 and the TREES deeper ones together miss
 it with probability 0.37 ** 8 * 0.53 ** 10, below 1e-6; in the worst case, where the first trees show both only beside unlike documents, 0.53 ** 10 or 0.002. More similar pairs are missed less.
 
 What keeps the work in proportion to the input, also where a third of all documents are copies:
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, mix64, shingle_sets, slices, spanning, text_arrays
 from .components import components
 
-TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, BLOCK, WEAK = 64, 10, 8, 12, 8, 512, 0.5
+TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, LEVELS, BLOCK, WEAK = 64, 10, 8, 12, 8, 2, 512, 0.5
 _SEEDS = np.random.default_rng(0xC4A1).integers(1, 1 << 31, (TOKENS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = np.random.default_rng(0xC4A2).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 
@@ -77,7 +77,7 @@ _BRANCHES = "node long, doc long, comp long, used long"
 
 
 def _branches(similarity: float, trees: range | None, depth: int = 1):
-    """Rows of (doc, comp, sig) at a depth of some trees, or rows of (node, doc, comp, used, sig) one level further down."""
+    """Rows of (doc, comp, sig) at a depth of some trees, or rows of (node, doc, comp, used, sig) so many levels further down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +86,7 @@ def _branches(similarity: float, trees: range | None, depth: int = 1):
                 doc, comp = (part.column(c).to_numpy() for c in ("doc", "comp"))
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, TOKENS)
                 if trees is None:
-                    starts = [(part.column("node").to_numpy().view(np.uint64), part.column("used").to_numpy().view(np.uint64), 1)]
+                    starts = [(part.column("node").to_numpy().view(np.uint64), part.column("used").to_numpy().view(np.uint64), depth)]
                 else:
                     starts = [(mix64(np.full(len(doc), t + 1, np.uint64)), np.zeros(len(doc), np.uint64), depth) for t in trees]
                 for node, used, levels in starts:
@@ -222,7 +222,7 @@ class Join:
         start = self.work.keep(start, "start")
         rows = start.mapInArrow(_branches(self.similarity, trees, 2), _BRANCHES)
         pairs = []
-        for depth in range(2, MAX_DEPTH + 1):
+        for depth in range(2, MAX_DEPTH + 1, LEVELS):
             live = self.work.keep(rows.join(self._nodes(rows), "node"), "live")
             small = live.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("doc", "comp"))).alias("m"))
             two = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SMALL)), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b"), (x["comp"] != y["comp"]).alias("new")))))
@@ -230,9 +230,9 @@ class Join:
             large = live.where(F.col("n") > SMALL)
             if not large.take(1):
                 break
-            if depth < MAX_DEPTH:
+            if depth + LEVELS <= MAX_DEPTH:
                 with_sig = large.join(self.sets.select("doc", "sig"), "doc")
-                rows = with_sig.select("node", "doc", "comp", "used", "sig").mapInArrow(_branches(self.similarity, None), _BRANCHES)
+                rows = with_sig.select("node", "doc", "comp", "used", "sig").mapInArrow(_branches(self.similarity, None, LEVELS), _BRANCHES)
             else:
                 # Members outside the first member's cluster, against all others.
                 q = large.where("comp <> hub_comp").select("node", F.col("doc").alias("q"), F.col("comp").alias("q_comp"))
