@@ -24,7 +24,7 @@ def scored(data: DataFrame, queries: DataFrame, measure: str = "cosine", key: st
     few = queries.limit(QUERY_ROWS + 1).collect()
     if len(few) > QUERY_ROWS:
         raise ValueError(f"more than {QUERY_ROWS} queries: use topk_blocked")
-    f = {"cosine": V.cosine, "dot": V.dot, "euclidean": lambda a, b: -V.euclidean(a, b)}[measure]
+    f = {"cosine": V.cosine, "dot": V.dot, "euclidean": lambda a, b: 0.0 - V.euclidean(a, b)}[measure]
     return data.join(F.broadcast(queries)).withColumn("similarity", f(F.col(vector), F.col("query_vector"))).drop(vector, "query_vector")
 
 
@@ -43,8 +43,8 @@ def topk(data: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", t
 def topk_blocked(data: DataFrame, queries: DataFrame, k: int, blocks: int = 16, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest by cosine for any number of queries: (query_id, key, similarity, rank)."""
     q = queries.select("query_id", "query_vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("qb"))
-    d = data.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("qb"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("db"))
-    q = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    d = data.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("qb"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("db"))
+    q = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
