@@ -28,7 +28,7 @@ def files(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = N
     df = r.load(path).select("path", "length", "content")
     if most_bytes:
         df = df.where(F.col("length") <= most_bytes)
-    return df.select("path", "length", F.decode("content", "UTF-8").alias("content")).where(F.trim("content") != "")
+    return df.select("path", "length", F.decode("content", "UTF-8").alias("content")).where(F.col("content").rlike(r"\S"))
 
 
 def code_files(spark: SparkSession, path: str) -> DataFrame:
