@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-QUERY_ROWS = 1000
+QUERY_ROWS = 10_000
 RRF_K = 60
 
 
 def scored(data: DataFrame, queries: DataFrame, measure: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, ..., similarity) of every vector and query (query_id, query_vector). QUERY_ROWS queries at most."""
-    few = queries.limit(QUERY_ROWS + 1).collect()
-    if len(few) > QUERY_ROWS:
+    if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
         raise ValueError(f"more than {QUERY_ROWS} queries: use topk_blocked")
     f = {"cosine": V.cosine, "dot": V.dot, "euclidean": lambda a, b: 0.0 - V.euclidean(a, b)}[measure]
     return data.join(F.broadcast(queries)).withColumn("similarity", f(F.col(vector), F.col("query_vector"))).drop(vector, "query_vector")
