@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, mix64, shingle_sets, slices, spanning, text_arrays
 from .components import components
 
-TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, LEVELS, BLOCK, WEAK = 64, 10, 8, 12, 8, 3, 512, 0.5
+TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, LEVELS, BLOCK, WEAK = 64, 10, 8, 20, 8, 3, 512, 0.5
 _SEEDS = np.random.default_rng(0xC4A1).integers(1, 1 << 31, (TOKENS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = np.random.default_rng(0xC4A2).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 
