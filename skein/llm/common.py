@@ -198,18 +198,6 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarr
     return out
 
 
-def binary_array(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, pa.binary())
-
-
-def int_lists(rows: list[np.ndarray], kind) -> pa.ListArray:
-    """A list column from arrays, without Python integers."""
-    off = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(x) for x in rows], out=off[1:])
-    flat = np.concatenate(rows) if rows else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, kind))
-
-
 def spanning(linked: np.ndarray, q: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a forest that connects what a block's links connect, at most one a vector."""
     rows, cols = np.nonzero(linked)
