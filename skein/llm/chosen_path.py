@@ -10,7 +10,8 @@ What keeps the work in proportion to the input, also where a third of all docume
 - documents with the same set are one from the start (their smallest id);
 - FIRST_TREES first trees of depth 1 link members of large nodes to one member each (a star, not all pairs) where their signatures agree in half of the tokens or more. The components
   of these weak links are clusters, inside which all full sets are compared, exactly and once, in blocks of BLOCK by BLOCK that give spanning links only;
-- after that, documents of one cluster are not compared again, and nodes whose documents are all of one cluster are dropped;
+- after that, documents of one cluster are not compared again, and nodes whose documents are all of one cluster are dropped; where a large node is one cluster for the most part, its
+  other documents become guests of that cluster: they are compared with it, and each other, in its blocks, and the node is done;
 - a node that is still large at the deepest level is compared exhaustively, all members against those outside the cluster of its first member, so nothing is capped;
 - nodes meet by joins that adaptive execution may split. No group is collected into a task.
 
@@ -216,12 +217,12 @@ class Join:
         stars = rows.select("node", "doc").join(nodes, "node").where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
         return self.work.keep(components(self._likely(stars, WEAK), self.work), "clusters")
 
-    def candidates(self, trees: range, clusters: DataFrame) -> DataFrame:
-        """Pairs (a, b) of different clusters that meet in a tree and may be similar enough."""
+    def candidates(self, trees: range, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of different clusters that meet in a tree and may be similar enough, and guests (node, component) to compare with whole clusters."""
         start = self.sets.select("doc", "sig").join(clusters, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("comp"), "sig")
         start = self.work.keep(start, "start")
         rows = start.mapInArrow(_branches(self.similarity, trees, 2), _BRANCHES)
-        pairs = []
+        pairs, guests = [], []
         for depth in range(2, MAX_DEPTH + 1, LEVELS):
             live = self.work.keep(rows.join(self._nodes(rows), "node"), "live")
             small = live.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("doc", "comp"))).alias("m"))
@@ -230,6 +231,10 @@ class Join:
             large = live.where(F.col("n") > SMALL)
             if not large.take(1):
                 break
+            of_hub = F.sum(F.when(F.col("comp") == F.col("hub_comp"), 1).otherwise(0))
+            mostly_one = self.work.keep(large.groupBy("node").agg(of_hub.alias("same"), F.max("n").alias("n")).where("2 * same >= n").select("node"), "mostly_one")
+            guests.append(large.join(mostly_one, "node", "left_semi").where("comp <> hub_comp").select(F.col("doc").alias("node"), F.col("hub_comp").alias("component")))
+            large = large.join(mostly_one, "node", "left_anti")
             if depth + LEVELS <= MAX_DEPTH:
                 with_sig = large.join(self.sets.select("doc", "sig"), "doc")
                 rows = with_sig.select("node", "doc", "comp", "used", "sig").mapInArrow(_branches(self.similarity, None, LEVELS), _BRANCHES)
@@ -241,10 +246,13 @@ class Join:
         found = pairs[0]
         for p in pairs[1:]:
             found = found.unionByName(p)
-        return self.work.keep(self._likely(found.distinct(), self.similarity - 0.25), "likely")
+        of_clusters = clusters.limit(0)
+        for g in guests:
+            of_clusters = of_clusters.unionByName(g)
+        return self.work.keep(self._likely(found.distinct(), self.similarity - 0.25), "likely"), self.work.keep(of_clusters.distinct(), "guests")
 
     def links(self, clusters: DataFrame, likely: DataFrame) -> DataFrame:
-        """Links confirmed on full sets: spanning ones inside clusters, and those of the likely pairs."""
+        """Links confirmed on full sets: spanning ones inside clusters, guests among them, and those of the likely pairs."""
         ids = clusters.select(F.col("node").alias("doc_id")).unionByName(likely.select(F.col("a").alias("doc_id"))).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
         full = self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(self.width), "doc long, shingles binary")
         full = self.work.keep(full.dropDuplicates(["doc", "shingles"]), "sets")
@@ -277,7 +285,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, trees: int =
     sets = work.keep(by_set, "by_set")
     join = Join(docs, sets.where("doc is not null").select("doc", "n_shingles", "sig"), work, width, percent)
     clusters = join.clusters()
-    comps = components(join.links(clusters, join.candidates(range(FIRST_TREES, FIRST_TREES + trees), clusters)), work)
+    likely, guests = join.candidates(range(FIRST_TREES, FIRST_TREES + trees), clusters)
+    comps = components(join.links(clusters.unionByName(guests), likely), work)
     of_set = sets.select("set_key", "doc").join(comps, F.col("doc") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc").alias("c"))
     own = F.coalesce("c", "doc_id")
     return sketches.join(of_set, "set_key", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
