@@ -3,8 +3,8 @@
 A document is the set of its word shingles. Each tree sends a document down the branches of those minwise tokens (i, i-th minhash) that a seeded
 hash of the branch and the token chooses, 1 / (similarity * tokens) of them: documents as similar as the threshold then share
 one branch at each level on average, less similar ones soon part. Nodes of at most SMALL documents are compared exhaustively, larger ones branch
-again, LEVELS at a time. One tree finds a pair at the threshold with probability 0.63 at depth 1 and 0.47 at depth 2. The FIRST_TREES trees of depth 1 and the TREES deeper ones together miss
-it with probability 0.37 ** 8 * 0.53 ** 10, below 1e-6; in the worst case, where the first trees show both only beside unlike documents, 0.53 ** 10 or 0.002. More similar pairs are missed less.
+again, LEVELS at a time. One tree finds a pair at the threshold with probability 0.63 at depth 1 and 0.47 at depth 2. The TREES deep trees alone miss a pair that they
+resolve at depth 2 with probability 8e-7, over the agreement of its signatures. The FIRST_TREES trees of depth 1 get no credit: on large tables their nodes are beside unlike documents. More similar pairs are missed less.
 
 What keeps the work in proportion to the input, also where a third of all documents are copies:
 - documents with the same set are one from the start (their smallest id);
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, mix64, shingle_sets, slices, spanning, text_arrays
 from .components import components
 
-TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, LEVELS, BLOCK, WEAK = 64, 10, 8, 20, 8, 3, 512, 0.5
+TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, LEVELS, BLOCK, WEAK = 64, 24, 8, 20, 8, 3, 512, 0.5
 _SEEDS = np.random.default_rng(0xC4A1).integers(1, 1 << 31, (TOKENS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = np.random.default_rng(0xC4A2).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 

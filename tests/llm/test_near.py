@@ -83,3 +83,42 @@ def test_null_ids_repeats_and_empty(spark):
     got = sorted((tuple(r) for r in near_groups(docs).collect()), key=str)
     assert got == sorted([(5, 5, 5, True), (5, 5, 5, True), (None, 5, 5, False), (None, 0, None, True)], key=str)
     assert near_groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def meetings(pairs, depths, similarity=0.8):
+    """Of so many pairs with signatures at that similarity, those that share a node of the deep trees at the last of the depths."""
+    import numpy as np
+    import pyarrow as pa
+
+    from skein.llm import chosen_path as cp
+
+    rng = np.random.default_rng(5)
+    a, other = rng.integers(0, 1 << 16, (2, pairs, cp.TOKENS), dtype=np.uint16)
+    b = np.where(rng.random(a.shape) < similarity, a, other)
+    sig = [x.tobytes() for x in np.concatenate([a, b])]
+
+    def rows(doc, **more):
+        c = {"doc": pa.array(doc), "comp": pa.array(doc), "sig": pa.array([sig[d] for d in doc], pa.binary())} | {k: pa.array(v) for k, v in more.items()}
+        return iter([pa.RecordBatch.from_arrays(list(c.values()), names=list(c))])
+
+    met = set()
+    for tree in range(cp.FIRST_TREES, cp.FIRST_TREES + cp.TREES):
+        doc = np.array([d for d in range(2 * pairs) if d % pairs not in met], int)
+        if not len(doc):
+            break
+        out = pa.Table.from_batches(list(cp._branches(similarity, range(tree, tree + 1), depths[0])(rows(doc))))
+        for depth, deeper in zip(depths, [*depths[1:], None], strict=True):
+            node, doc, used = (out.column(c).to_numpy() for c in ("node", "doc", "used"))
+            # Only nodes with both of a pair matter.
+            _, at, n = np.unique(np.stack([node, doc % pairs]), axis=1, return_inverse=True, return_counts=True)
+            both = n[at.ravel()] > 1
+            node, doc, used = node[both], doc[both], used[both]
+            if deeper is None or not len(doc):
+                break
+            out = pa.Table.from_batches(list(cp._branches(similarity, None, deeper - depth)(rows(doc, node=node, used=used))))
+        met |= set((doc % pairs).tolist())
+    return len(met)
+
+
+def test_deep_trees_find_pairs_without_the_first():
+    assert meetings(6000, [2]) == 6000
