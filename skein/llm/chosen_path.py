@@ -4,7 +4,9 @@ A document is the set of its word shingles. Each tree sends a document down the
 hash of the branch and the token chooses, 1 / (similarity * tokens) of them: documents as similar as the threshold then share
 one branch at each level on average, less similar ones soon part. Nodes of at most SMALL documents are compared exhaustively, larger ones branch
 again, LEVELS at a time. One tree finds a pair at the threshold with probability 0.63 at depth 1 and 0.47 at depth 2. The TREES deep trees alone miss a pair that they
-resolve at depth 2 with probability 8e-7, over the agreement of its signatures. The FIRST_TREES trees of depth 1 get no credit: on large tables their nodes are beside unlike documents. More similar pairs are missed less.
+resolve at depth 2 with probability 8e-7, over the agreement of its signatures. The FIRST_TREES trees of depth 1 get no credit: on large tables their nodes are beside unlike documents. A path of one branch
+a level would lose a pair on the way from a node that stays large (depth 8 is reached by 0.15), so such a node branches anew REPEATS times, independently: a pair whose nodes are all large at depth 2 is missed
+with 1.7e-6, and if they all are at depth 5 too, the worst case, with 1e-5. More similar pairs are missed less (6e-7 at 0.85 in the worst case).
 
 What keeps the work in proportion to the input, also where a third of all documents are copies:
 - documents with the same set are one from the start (their smallest id);
@@ -32,6 +34,8 @@ from .common import Workspace, mix64, shingle_sets, slices, spanning, text_array
 from .components import components
 
 TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, LEVELS, BLOCK, WEAK = 64, 24, 8, 20, 8, 3, 512, 0.5
+#: How often a node that stays large branches anew, by its depth.
+REPEATS = {2: 8, 5: 2}
 _SEEDS = np.random.default_rng(0xC4A1).integers(1, 1 << 31, (TOKENS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = np.random.default_rng(0xC4A2).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 
@@ -77,8 +81,8 @@ def _chosen(sig: np.ndarray, node: np.ndarray, used: np.ndarray, similarity: flo
 _BRANCHES = "node long, doc long, comp long, used long"
 
 
-def _branches(similarity: float, trees: range | None, depth: int = 1):
-    """Rows of (doc, comp, sig) at a depth of some trees, or rows of (node, doc, comp, used, sig) so many levels further down."""
+def _branches(similarity: float, trees: range | None, depth: int = 1, repeats: int = 1):
+    """Rows of (doc, comp, sig) at a depth of some trees, or rows of (node, doc, comp, used, sig) so many levels further down, in independent repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +91,8 @@ def _branches(similarity: float, trees: range | None, depth: int = 1):
                 doc, comp = (part.column(c).to_numpy() for c in ("doc", "comp"))
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, TOKENS)
                 if trees is None:
-                    starts = [(part.column("node").to_numpy().view(np.uint64), part.column("used").to_numpy().view(np.uint64), depth)]
+                    node, used = (part.column(c).to_numpy().view(np.uint64) for c in ("node", "used"))
+                    starts = [(mix64(node + np.uint64(r)), used, depth) for r in range(repeats)]
                 else:
                     starts = [(mix64(np.full(len(doc), t + 1, np.uint64)), np.zeros(len(doc), np.uint64), depth) for t in trees]
                 for node, used, levels in starts:
@@ -237,7 +242,7 @@ class Join:
             large = large.join(mostly_one, "node", "left_anti")
             if depth + LEVELS <= MAX_DEPTH:
                 with_sig = large.join(self.sets.select("doc", "sig"), "doc")
-                rows = with_sig.select("node", "doc", "comp", "used", "sig").mapInArrow(_branches(self.similarity, None, LEVELS), _BRANCHES)
+                rows = with_sig.select("node", "doc", "comp", "used", "sig").mapInArrow(_branches(self.similarity, None, LEVELS, REPEATS[depth]), _BRANCHES)
             else:
                 # Members outside the first member's cluster, against all others.
                 q = large.where("comp <> hub_comp").select("node", F.col("doc").alias("q"), F.col("comp").alias("q_comp"))

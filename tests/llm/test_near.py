@@ -115,10 +115,34 @@ def meetings(pairs, depths, similarity=0.8):
             node, doc, used = node[both], doc[both], used[both]
             if deeper is None or not len(doc):
                 break
-            out = pa.Table.from_batches(list(cp._branches(similarity, None, deeper - depth)(rows(doc, node=node, used=used))))
+            out = pa.Table.from_batches(list(cp._branches(similarity, None, deeper - depth, cp.REPEATS[depth])(rows(doc, node=node, used=used))))
         met |= set((doc % pairs).tolist())
     return len(met)
 
 
 def test_deep_trees_find_pairs_without_the_first():
     assert meetings(6000, [2]) == 6000
+
+
+def test_deep_trees_find_pairs_whose_nodes_stay_large():
+    assert meetings(3000, [2, 5]) == 3000
+    assert meetings(3000, [2, 5, 8]) == 3000
+
+
+def test_short_copies_of_a_passage_in_many_longer_texts(spark):
+    """Short near copies made mostly of a passage that many longer documents also carry, beside brute force."""
+    from skein.llm.chosen_path import near_groups
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(20_000)]
+    rows = []
+    for _ in range(12):
+        passage = rng.choices(words, k=60)
+        rows += [" ".join(rng.choices(words, k=60) + passage + rng.choices(words, k=40)) for _ in range(150)]
+        for _ in range(4):
+            own = rng.choices(words, k=6)
+            rows += [" ".join([*own, *passage, *rng.choices(words, k=n)]) for n in (2, 6)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(6)
+    check(near_groups(docs, width=4).collect(), brute(rows, 4))
