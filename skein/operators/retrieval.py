@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 QUERY_ROWS = 10_000
+#: Queries and vectors of a block of per_group().
+GROUP_QUERIES, GROUP_VECTORS = 1000, 10_000
 RRF_K = 60
 
 
@@ -61,10 +63,46 @@ def topk_blocked(data: DataFrame, queries: DataFrame, k: int, blocks: int = 16,
 
 
 def per_group(data: DataFrame, queries: DataFrame, n: int, group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The n nearest of each query within each group, without a threshold."""
-    hits = scored(data, queries, key=key, vector=vector)
-    w = Window.partitionBy("query_id", group).orderBy(F.desc_nulls_last("similarity"), key)
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("similarity", F.round("similarity", 4))
+    """The n nearest of each query within each group by cosine, without a threshold, for any number of queries: (query_id, group, key, similarity, rank).
+
+    Blocks of queries meet blocks of vectors, and n a query, group and block are kept before the shuffle. A zero or null vector is similar to nothing: null, and last.
+    """
+    q_blocks, d_blocks = (max(1, -(-t.count() // size)) for t, size in ((queries, GROUP_QUERIES), (data, GROUP_VECTORS)))
+    number = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), V.double(F.col("query_vector")).alias("v"), number("query_id", q_blocks).alias("qb"), every(d_blocks).alias("db"))
+    d = data.select(F.col(key).cast("long").alias("id"), F.col(group).alias("grp"), V.double(F.col(vector)).alias("v"), every(q_blocks).alias("qb"), number(key, d_blocks).alias("db"))
+    kind = d.schema["grp"].dataType.simpleString()
+
+    def unit(t: pa.Table, width: int) -> np.ndarray:
+        m = np.array([x if x is not None else [0.0] * width for x in t.column("v").to_pylist()], float).reshape(t.num_rows, width)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        qs, ids, groups, found = left.column("query_id"), right.column("id"), right.column("grp"), []
+        if left.num_rows and right.num_rows:
+            width = max((len(x) for t in (left, right) for x in t.column("v").to_pylist() if x is not None), default=1)
+            x, y, id_of = unit(left, width), unit(right, width), ids.to_numpy()
+            code = groups.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            for g in range(code.max() + 1):
+                rows = np.flatnonzero(code == g)
+                s = np.nan_to_num(x @ y[rows].T, nan=-2.0)
+                least = np.partition(s, max(0, len(rows) - n), axis=1)[:, max(0, len(rows) - n)]
+                # Those that may be among the n, by sums in one order, so that equal vectors are equally similar.
+                a, b = np.nonzero(s >= least[:, None] - 1e-9)
+                exact = np.nan_to_num((x[a] * y[rows[b]]).sum(1), nan=-2.0)
+                order = np.lexsort((id_of[rows[b]], -exact, a))
+                a, b, exact = a[order], rows[b[order]], exact[order]
+                first = np.arange(len(a)) - np.searchsorted(a, a) < n
+                found.append((a[first], b[first], exact[first]))
+        a, b, exact = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return pa.table({"query_id": qs.take(pa.array(a)), "grp": groups.take(pa.array(b)), "id": ids.take(pa.array(b)), "similarity": pa.array(exact, pa.float64(), mask=exact < -1.5)})
+
+    part = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(run, f"query_id long, grp {kind}, id long, similarity double")
+    w = Window.partitionBy("query_id", "grp").orderBy(F.desc_nulls_last("similarity"), "id")
+    hits = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("similarity", F.round("similarity", 4))
+    return hits.withColumnsRenamed({"grp": group, "id": key})
 
 
 def rrf(semantic: DataFrame, lexical: DataFrame, key: str, group: str = "query_id") -> DataFrame:

@@ -198,3 +198,29 @@ def test_files(spark, tmp_path):
     cat = files.catalog_from_yaml(spark, "variables: {root: /d}\ndefaults: {include_exts: [.v], exclude_patterns: [/sim/]}\nprojects:\n  p: {roots: ['{root}/p'], specific_files: [mig.prj]}\n")
     listing = spark.createDataFrame([("/d/p/a.v",), ("/d/p/sim/b.v",), ("/d/p/x/mig.prj",), ("/d/q/a.v",)], "path string")
     assert sorted(r.path for r in files.in_catalog(listing, cat).collect()) == ["/d/p/a.v", "/d/p/x/mig.prj"]
+
+
+def test_per_group_takes_any_number_of_queries(spark, monkeypatch):
+    """More queries than are broadcast, in several blocks, beside brute force; zero vectors and null groups included."""
+    import numpy as np
+
+    from skein.operators import retrieval as R
+
+    monkeypatch.setattr(R, "QUERY_ROWS", 20)
+    monkeypatch.setattr(R, "GROUP_QUERIES", 20, raising=False)
+    monkeypatch.setattr(R, "GROUP_VECTORS", 30, raising=False)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 5)).round(2)
+    v[7], v[50:55] = 0, v[49]
+    rows = [(i, x.tolist(), None if i % 4 == 3 else i % 4) for i, x in enumerate(v)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    queries = data.where("vec_id < 60").selectExpr("vec_id as query_id", "embedding as query_vector")
+    got = {(r.query_id, r.label, r["rank"]): (r.vec_id, r.similarity) for r in R.per_group(data, queries, 2, "label").collect()}
+    norm = np.linalg.norm(v, axis=1)
+    for q in range(60):
+        for label in (0, 1, 2, None):
+            hits = [(-round((v[q] * v[i]).sum() / norm[q] / norm[i], 12) if norm[q] and norm[i] else 9, i) for i, _, x in rows if x == label]
+            for k, (s, i) in enumerate(sorted(hits)[:2], 1):
+                found = got.pop((q, label, k))
+                assert found[0] == i and (found[1] is None if s == 9 else abs(found[1] + s) < 1e-4)
+    assert not got
