@@ -1,4 +1,4 @@
-"""LM scoring by logistic context mixing over hashed bit predictors.
+"""LM scoring by counts of tokens and pairs over logistic context mixing of hashed bit predictors.
 
 A text is its tokens: words (A-Z lower-cased, without the white space), then one end. A token is a path of binary decisions. The first ones say which of the CLASSES most
 frequent tokens it is, or none of them, in a Huffman tree of those; another token is then spelled byte by byte, ended by a blank, in a Huffman tree of the bytes. Three predictors
@@ -13,8 +13,12 @@ counts, predicts, and updates the mixer's weights and the map online, batch by b
 all are of fixed size and summed in blocks. All training documents count, whole. What a run holds several times (a token to spell, a class in its context) is computed
 once, and counts as often as it occurs.
 
-The base score needs every token's count in the corpus, which no task holds: runs send their rarer tokens to buckets by hash and get sums back; the TOP most frequent
-tokens (a bound, not a share of the vocabulary) are broadcast.
+The tables are of fixed size, so what they know of rare tokens does not grow. Whole tokens and pairs of a token and the one before it are therefore counted for all training tokens, exactly (by 64-bit hash),
+in buckets whose number grows with the input. A token's probability is its pair's count, smoothed by the token's count, which is smoothed by the mixing model: each adds up to one. How much each backs
+off is told by how many pairs and tokens occur once (priors()).
+
+No task holds these counts: runs send their pairs and rarer tokens to buckets by hash and get counts back; the TOP most frequent
+tokens (a bound, not a share of the vocabulary) are broadcast. The base score needs the same counts of tokens.
 """
 
 from __future__ import annotations
@@ -98,30 +102,41 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(11)).astype(np.float64) / float(1 << 53) * buckets).astype(np.int64).clip(0, buckets - 1)
 
 
-# ------------------------------------------------------------------ token counts and byte counts
+def pairs_of(t: Tokens) -> np.ndarray:
+    """A hash of each token with the one before it."""
+    before = np.concatenate([[END], t.hashes[:-1]])
+    before[t.first[:-1]] = END
+    return mix64(t.hashes + mix64(before) * _ODD)
+
+
+# ------------------------------------------------------------------ counts of tokens, pairs and bytes
 
-_VOCABULARY = "bucket long, hashes binary, counts binary, total long, types long, bytes array<long>, sizes array<long>"
+#: Kinds of counted things: tokens, and pairs of a token and the one before it (the end, before the first).
+TOKEN, PAIR = 0, 1
+_VOCABULARY = "kind long, bucket long, hashes binary, counts binary, total long, types long, bytes array<long>, sizes array<long>"
 
 
 def _count_tokens(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in runs_of(batches):
             t = tokens_of(*text_arrays(part.column("text")))
-            hashes, where, count = np.unique(t.hashes, return_index=True, return_counts=True)
             of_bytes = np.bincount(t.data, minlength=256)
             of_bytes[[9, 10, 11, 12, 13, 32]] = 0
             of_bytes[32], of_bytes[10] = len(t.hashes) - part.num_rows, part.num_rows
-            cut = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(some, pa.int64()),
-                    pa.array([hashes[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-                    pa.array([count[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-                    pa.array([of_bytes.tobytes() if k == 0 else None for k in range(len(some))], pa.binary()),
-                ],
-                names=["bucket", "hashes", "counts", "bytes"],
-            )
+            for kind, what in ((TOKEN, t.hashes), (PAIR, pairs_of(t))):
+                hashes, count = np.unique(what, return_counts=True)
+                cut = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
+                some = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(some), kind), pa.int64()),
+                        pa.array(some, pa.int64()),
+                        pa.array([hashes[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
+                        pa.array([count[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
+                        pa.array([of_bytes.tobytes() if kind == TOKEN and k == 0 else None for k in range(len(some))], pa.binary()),
+                    ],
+                    names=["kind", "bucket", "hashes", "counts", "bytes"],
+                )
 
     return run
 
@@ -132,7 +147,7 @@ def _sum_tokens(key, table):
     of_bytes = sum((np.frombuffer(x, np.int64) for x in table.column("bytes").to_pylist() if x is not None), np.zeros(256, np.int64))
     sizes = np.bincount(np.floor(np.log2(counts) * 8).astype(np.int64), minlength=512)
     return pa.table(
-        [pa.array([key[0].as_py()], pa.int64()), pa.array([hashes.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(hashes)]), pa.array([of_bytes.tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))],
+        [*(pa.array([k.as_py()], pa.int64()) for k in key), pa.array([hashes.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(hashes)]), pa.array([of_bytes.tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))],
         names=[c.split()[0] for c in _VOCABULARY.split(", ")],
     )
 
@@ -421,8 +436,16 @@ class Model:
     spelled: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     values: np.ndarray = field(default_factory=lambda: np.empty(0))
 
+    #: Tokens that the mixing model weighs beside the counts of tokens, and tokens that these weigh beside the counts of pairs.
+    token_prior: float = 1.0
+    pair_prior: float = 1.0
+
     def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability and bytes of each document; every token has a byte more, for what ends it."""
+        """log10 probability by the mixing model and bytes of each document; every token has a byte more, for what ends it."""
+        return np.add.reduceat(self.each(t), t.first[:-1]), np.add.reduceat(t.sizes + 1, t.first[:-1])
+
+    def each(self, t: Tokens) -> np.ndarray:
+        """log10 probability of each token by the mixing model."""
         items = items_of(t, self.codes)
         hashes = t.hashes[items.spelled]
         slot = np.minimum(np.searchsorted(self.spelled, hashes), max(0, len(self.spelled) - 1))
@@ -453,7 +476,21 @@ class Model:
             keys, values = np.concatenate([self.spelled, hashes[new]]), np.concatenate([self.values, spelled[new]])
             order = np.argsort(keys)
             self.spelled, self.values = keys[order], values[order]
-        return np.add.reduceat(each, t.first[:-1]), np.add.reduceat(t.sizes + 1, t.first[:-1])
+        return each
+
+
+def priors(n: int, tokens: np.ndarray, pairs: np.ndarray) -> tuple[float, float]:
+    """The weights of what backs off, in tokens, from the numbers of types by size: a token or pair is new as often as those seen once say (Good-Turing)."""
+    if not n:
+        return 1.0, 1.0
+    new_token, new_pair = (min(max(x[0], 1) / n, n / (n + 1)) for x in (tokens, pairs))
+    size = 2 ** (np.arange(len(tokens)) / 8)
+    share = tokens * size / (tokens * size).sum()
+    low, high = 1e-3, 1e15
+    for _ in range(100):
+        mid = (low * high) ** 0.5
+        low, high = (mid, high) if (share * mid / (size + mid)).sum() < new_pair else (low, mid)
+    return n * new_token / (1 - new_token), low
 
 
 def assemble(blocks: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -486,24 +523,25 @@ def codes_of(top: np.ndarray, counts: np.ndarray, total: int, spelling: Code) ->
 
 
 def train(docs: DataFrame, work: Workspace) -> tuple[Model, DataFrame, int]:
-    """The model of all rows of docs, its vocabulary in buckets, and their number."""
+    """The model of all rows of docs, its tokens and pairs in buckets, and their number."""
     spark = docs.sparkSession
     texts = docs.select("text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 28)
-    counted = texts.mapInArrow(_count_tokens(buckets), "bucket long, hashes binary, counts binary, bytes binary")
-    vocabulary = work.keep(counted.groupBy("bucket").applyInArrow(_sum_tokens, _VOCABULARY), "vocabulary")
-    n, v = (x or 0 for x in vocabulary.agg(F.sum("total"), F.sum("types")).first())
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 26)
+    counted = texts.mapInArrow(_count_tokens(buckets), "kind long, bucket long, hashes binary, counts binary, bytes binary")
+    vocabulary = work.keep(counted.groupBy("kind", "bucket").applyInArrow(_sum_tokens, _VOCABULARY), "vocabulary")
+    n, v = (x or 0 for x in vocabulary.where(F.col("kind") == TOKEN).agg(F.sum("total"), F.sum("types")).first())
 
-    def by_place(c: str, size: int) -> np.ndarray:
+    def by_place(c: str, size: int, kind: int = TOKEN) -> np.ndarray:
         out = np.zeros(size, np.int64)
-        for r in vocabulary.select(F.posexplode(c)).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        for r in vocabulary.where(F.col("kind") == kind).select(F.posexplode(c)).groupBy("pos").agg(F.sum("col").alias("n")).collect():
             out[r.pos] = r.n
         return out
 
     spelling = huffman(by_place("bytes", 256), 0)
     # The least count that at most TOP tokens reach.
-    reach = np.cumsum(by_place("sizes", 512)[::-1])[::-1]
+    sizes = by_place("sizes", 512)
+    reach = np.cumsum(sizes[::-1])[::-1]
     least = 2 ** (int(np.argmax(reach <= TOP)) / 8)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +551,7 @@ def train(docs: DataFrame, work: Workspace) -> tuple[Model, DataFrame, int]:
                 some = c >= np.ceil(least - 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array([h[some].tobytes()], pa.binary()), pa.array([c[some].tobytes()], pa.binary())], names=["hashes", "counts"])
 
-    got = vocabulary.select("hashes", "counts").mapInArrow(frequent, "hashes binary, counts binary").toArrow()
+    got = vocabulary.where(F.col("kind") == TOKEN).select("hashes", "counts").mapInArrow(frequent, "hashes binary, counts binary").toArrow()
     top = np.frombuffer(b"".join(got.column("hashes").to_pylist()), np.uint64)
     counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.int64)
     order = np.argsort(top)
@@ -521,88 +559,92 @@ def train(docs: DataFrame, work: Workspace) -> tuple[Model, DataFrame, int]:
     codes = codes_of(top, counts, n, spelling)
     blocks = texts.coalesce(COUNT_TASKS).mapInArrow(_gather(codes), "kind long, chunk long, block binary")
     summed = blocks.groupBy("kind", "chunk").applyInArrow(_sum_blocks, "kind long, chunk long, block binary").toArrow()
-    return Model(codes, *assemble(summed), top, counts, n, v), vocabulary, buckets
+    token_prior, pair_prior = priors(n, sizes, by_place("sizes", 512, PAIR))
+    return Model(codes, *assemble(summed), top, counts, n, v, token_prior=token_prior, pair_prior=pair_prior), vocabulary, buckets
 
 
 # ------------------------------------------------------------------ scoring
 
-_PARTS = "bucket long, run long, hashes binary, docs binary, times binary, rows binary"
+#: A row of a run, with what is known of its documents (rows), each token's log10 probability by the mixing model, its place among the distinct ones, the bucket of its pair, and
+#: the counts of the distinct ones (-1: to be looked up); and rows of hashes to look up by kind and bucket.
+_PARTS = "bucket long, run long, kind long, hashes binary, rows binary, each binary, places binary, buckets binary, counts binary"
+_ROWS = [("id", "i8"), ("null", "?"), ("held", "?"), ("n", "i8"), ("size", "i8")]
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
 def _score_runs(shared, buckets: int):
-    """A row per run with what is known of its documents, and rows of rarer tokens by bucket: hashes, documents, times."""
+    """A row per run, and rows of its rarer tokens (each once) and of its pairs (in order) by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for number, part in runs_of(batches):
             t = tokens_of(*text_arrays(part.column("text")))
-            score, size = m.score(t)
-            n = np.diff(t.first)
-            doc = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(m.top, t.hashes), max(0, len(m.top) - 1))
-            known = m.top[at] == t.hashes if len(m.top) else np.zeros(len(t.hashes), bool)
-            logs = np.log10(m.top_counts + 1.0) if len(m.top) else np.zeros(1)
-            base = np.bincount(doc, np.where(known, logs[np.minimum(at, len(logs) - 1)], 0.0), minlength=len(n))
+            each, n = m.each(t), np.diff(t.first)
+            hashes, place = np.unique(t.hashes, return_inverse=True)
+            at = np.minimum(np.searchsorted(m.top, hashes), max(0, len(m.top) - 1))
+            known = m.top[at] == hashes if len(m.top) else np.zeros(len(hashes), bool)
+            counts = np.where(known, m.top_counts[at], -1) if len(m.top) else np.full(len(hashes), -1)
             ids = part.column("doc_id")
-            table = np.zeros(len(n), [("id", "i8"), ("null", "?"), ("held", "?"), ("n", "i8"), ("known", "i8"), ("base", "f8"), ("score", "f8"), ("size", "i8")])
+            table = np.zeros(len(n), _ROWS)
             table["id"], table["null"], table["held"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), part.column("held").to_numpy(zero_copy_only=False)
-            table["n"], table["known"], table["base"], table["score"], table["size"] = n, np.bincount(doc[known], minlength=len(n)), base, score, size
-            rows = [(number % buckets, number, b"", b"", b"", table.tobytes())]
-            rare = ~known
-            if rare.any():
-                key = np.stack([t.hashes[rare], doc[rare].astype(np.uint64)], 1)
-                order = np.lexsort((key[:, 1], key[:, 0]))
-                key = key[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]).any(1)
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(key))).astype(np.uint32)
-                hashes, docs = key[first, 0], key[first, 1].astype(np.uint16)
-                cut = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
-                rows += [(int(b), number, hashes[cut[b] : cut[b + 1]].tobytes(), docs[cut[b] : cut[b + 1]].tobytes(), times[cut[b] : cut[b + 1]].tobytes(), None) for b in np.flatnonzero(np.diff(cut))]
-            c = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.binary()) for x in c[2:])], names=[f.split()[0] for f in _PARTS.split(", ")])
+            table["n"], table["size"] = n, np.add.reduceat(t.sizes + 1, t.first[:-1])
+            pairs = pairs_of(t)
+            bucket = _bucket(pairs, buckets)
+            sent = [each.astype(np.float32), place.astype(np.uint32), bucket.astype(np.uint32), counts.astype(np.int64)]
+            rows = [(number % buckets, number, None, None, table.tobytes(), *(x.tobytes() for x in sent))]
+            pairs = pairs[np.argsort(bucket, kind="stable")]
+            for kind, x, of in ((TOKEN, hashes[~known], _bucket(hashes[~known], buckets)), (PAIR, pairs, np.sort(bucket))):
+                cut = np.searchsorted(of, np.arange(buckets + 1))
+                rows += [(int(b), number, kind, x[cut[b] : cut[b + 1]].tobytes(), *[None] * 5) for b in np.flatnonzero(np.diff(cut))]
+            names, types = [f.split()[0] for f in _PARTS.split(", ")], [pa.int64()] * 3 + [pa.binary()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
 
 def _look_up(key, parts, vocabulary):
-    """Sums of log10(count + 1) and numbers of known tokens, by document of each run of a bucket."""
-    out = []
-    if vocabulary.num_rows:
-        words, counts = np.frombuffer(vocabulary.column("hashes")[0].as_py(), np.uint64), np.frombuffer(vocabulary.column("counts")[0].as_py(), np.int64)
-    else:
-        words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for r in parts.to_pylist():
-        if r["rows"] is not None:
-            out.append((r["run"], None, None, None, r["rows"]))
+    """The rows of runs as they are, and the counts in place of the hashes of a bucket."""
+    known = {k: (np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)) for k, h, c in zip(*(vocabulary.column(c).to_pylist() for c in ("kind", "hashes", "counts")), strict=True)}
+    found = []
+    for kind, raw in zip(parts.column("kind").to_pylist(), parts.column("hashes"), strict=True):
+        if kind is None:
+            found.append(None)
             continue
-        hashes, docs, times = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["docs"], np.uint16).astype(np.int64), np.frombuffer(r["times"], np.uint32)
-        at = np.minimum(np.searchsorted(words, hashes), max(0, len(words) - 1))
-        hit = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-        if hit.any():
-            doc, inverse = np.unique(docs[hit], return_inverse=True)
-            logs = np.bincount(inverse, np.log10(counts[at[hit]] + 1.0) * times[hit])
-            out.append((r["run"], doc.astype(np.uint16).tobytes(), logs.tobytes(), np.bincount(inverse, times[hit]).astype(np.int64).tobytes(), None))
-    c = list(zip(*out, strict=True)) if out else [[]] * 5
-    return pa.table([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["run", "docs", "logs", "known", "rows"])
-
-
-def _finish(n_train: int, v_train: int):
+        hashes = np.frombuffer(raw.as_buffer(), np.uint64)
+        out = np.zeros(len(hashes), np.int64)
+        if kind in known:
+            words, counts = known[kind]
+            # In sorted order, which finds its places faster.
+            order = np.argsort(hashes)
+            at = np.minimum(np.searchsorted(words, hashes[order]), len(words) - 1)
+            out[order] = np.where(words[at] == hashes[order], counts[at], 0)
+        found.append(out.tobytes())
+    return parts.drop_columns(["hashes"]).append_column("found", pa.array(found, pa.binary()))
+
+
+def _finish(n_train: int, v_train: int, token_prior: float, pair_prior: float):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        t = np.frombuffer(next(r["rows"] for r in rows if r["rows"] is not None), [("id", "i8"), ("null", "?"), ("held", "?"), ("n", "i8"), ("known", "i8"), ("base", "f8"), ("score", "f8"), ("size", "i8")])
-        base, known = t["base"].copy(), t["known"].copy()
-        # In a fixed order, so that sums do not depend on which bucket came first.
-        for r in sorted((r for r in rows if r["rows"] is None), key=lambda r: r["logs"]):
-            doc = np.frombuffer(r["docs"], np.uint16)
-            base[doc] += np.frombuffer(r["logs"], np.float64)
-            known[doc] += np.frombuffer(r["known"], np.int64)
-        base -= t["n"] * np.log10(n_train + v_train + 1.0)
-        bits = -t["score"] * np.log2(10) / t["size"]
+        rows = sorted(table.to_pylist(), key=lambda r: (-1 if r["kind"] is None else r["kind"], r["bucket"]))
+        own = rows[0]
+        t = np.frombuffer(own["rows"], _ROWS)
+        each, place, bucket, counts = (np.frombuffer(own[c], k) for c, k in (("each", np.float32), ("places", np.uint32), ("buckets", np.uint32), ("counts", np.int64)))
+        got = [np.frombuffer(b"".join(r["found"] for r in rows if r["kind"] == k), np.int64) for k in (TOKEN, PAIR)]
+        counts = counts.copy()
+        counts[counts < 0] = got[TOKEN]
+        pair = np.empty(len(place), np.int64)
+        pair[np.argsort(bucket, kind="stable")] = got[PAIR]
+        stop = np.cumsum(t["n"])
+        start = stop - t["n"]
+        before = np.roll(place, 1)
+        before[start] = place[stop[0] - 1]  # the end, which every document has
+        n = counts[place]
+        p = (n + token_prior * 10.0 ** each.astype(float)) / (n_train + token_prior)
+        p = np.log10(pair + pair_prior * p) - np.log10(counts[before] + pair_prior)
+        score = np.add.reduceat(p, start)
+        base, known = np.add.reduceat(np.log10(n + 1.0), start) - t["n"] * np.log10(n_train + v_train + 1.0), np.add.reduceat((n > 0).astype(np.int64), start)
+        bits = -score * np.log2(10) / t["size"]
         return pa.table(
-            [pa.array(t["id"].copy(), pa.int64(), mask=t["null"].copy()), pa.array(t["held"].copy()), pa.array(t["n"].copy()), pa.array(known), pa.array(np.full(len(t), n_train, np.int64)), pa.array(base), pa.array(t["score"].copy()), pa.array(t["size"].copy()), pa.array(bits)],
+            [pa.array(t["id"].copy(), pa.int64(), mask=t["null"].copy()), pa.array(t["held"].copy()), pa.array(t["n"].copy()), pa.array(known), pa.array(np.full(len(t), n_train, np.int64)), pa.array(base), pa.array(score), pa.array(t["size"].copy()), pa.array(bits)],
             names=[f.split()[0] for f in _RESULT.split(", ")],
         )
 
@@ -613,7 +655,7 @@ def score_documents(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Training rows are those whose crc32 of doc_id as text, modulo 7, is not 2; a null id counts as empty text. A null or empty text is its end token alone.
-    n_tokens counts the end, n_known tokens with a count in training; base_score is the sum of log10((count + 1) / (N + V + 1)); score the mixing model's log10 probability,
+    n_tokens counts the end, n_known tokens with a count in training; base_score is the sum of log10((count + 1) / (N + V + 1)); score the model's log10 probability,
     n_bytes the bytes it coded and bits_per_byte what it took for each. Repeated rows score alike. Without training rows the model is
     uniform over decisions. An empty table gives no rows; other columns are ignored.
     """
@@ -623,5 +665,6 @@ def score_documents(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     model, vocabulary, buckets = train(docs.where(~held), work)
     shared = spark.sparkContext.broadcast(model)
     parts = docs.select("doc_id", "text", held.alias("held")).mapInArrow(_score_runs(shared, buckets), _PARTS)
-    looked = parts.groupBy("bucket").cogroup(vocabulary.select("bucket", "hashes", "counts").groupBy("bucket")).applyInArrow(_look_up, "run long, docs binary, logs binary, known binary, rows binary")
-    return looked.groupBy("run").applyInArrow(_finish(model.train_tokens, model.train_types), _RESULT)
+    counted = vocabulary.select("kind", "bucket", "hashes", "counts").groupBy("bucket")
+    looked = parts.groupBy("bucket").cogroup(counted).applyInArrow(_look_up, _PARTS.replace("hashes binary, ", "") + ", found binary")
+    return looked.groupBy("run").applyInArrow(_finish(model.train_tokens, model.train_types, model.token_prior, model.pair_prior), _RESULT)

@@ -96,3 +96,19 @@ def test_whole_token_sequences_score_alike_anywhere():
     both = m.score(lm.tokens_of(*text_arrays(pa.array(texts))))[0]
     alone = [m.score(lm.tokens_of(*text_arrays(pa.array([t], pa.string()))))[0][0] for t in texts]
     assert np.allclose(both, alone) and both[0] == both[5]
+
+
+def test_tail_tokens_have_contexts(spark, monkeypatch):
+    """Beyond the TOP most frequent tokens, held-out words in an order that training has seen are likelier than the same words in another."""
+    from skein.llm import context_mixing as lm
+
+    monkeypatch.setattr(lm, "TOP", 300)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(300)]
+    held = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    free = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [*zip(free, texts + texts[:150], strict=False), *((i, t) for i, t in zip(held, texts[:40], strict=False)), *((i, " ".join(rng.permutation(t.split()))) for i, t in zip(held[40:], texts[:40], strict=False))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], DOCS).repartition(4)
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score_documents(df).collect()}
+    same, other = (sum(got[i] for i in ids) / 40 for ids in (held[:40], held[40:80]))
+    assert same > other + 1
