@@ -137,15 +137,17 @@ def without_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     The row with the smallest or largest id stays; of rows that share that id, or have none, any one, as their texts are the same.
     """
     groups = exact_groups(docs, keep)
-    dropped = groups.where("not kept and doc_id is not null").select("doc_id").distinct()
-    repeated = groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    named = docs.where("doc_id is not null")
-    out = named.join(dropped, "doc_id", "left_anti")
+    # By id and text: an id may be given with several texts, of which only some are copies.
+    key = ["doc_id", "text_sha256"]
+    t = F.sha2(F.coalesce("text", F.lit("")), 256)
+    dropped = groups.where("not kept and doc_id is not null").select(key).distinct()
+    repeated = groups.where("kept and doc_id is not null").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    out = docs.where("doc_id is not null").withColumn("text_sha256", t).join(dropped, key, "left_anti")
     if repeated.take(1):
-        again = out.join(repeated, "doc_id", "left_semi")
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(again.dropDuplicates(["doc_id", "text"]))
+        again = out.join(repeated, key, "left_semi")
+        out = out.join(repeated, key, "left_anti").unionByName(again.dropDuplicates(key))
+    out = out.drop("text_sha256")
     # Rows without an id stay, one a text, where no row of that text has an id.
     lone = groups.where("keep_id is null").select("text_sha256").distinct()
-    t = F.sha2(F.coalesce("text", F.lit("")), 256)
     nameless = docs.where("doc_id is null").withColumn("text_sha256", t).join(lone, "text_sha256", "left_semi").dropDuplicates(["text_sha256"]).drop("text_sha256")
     return out.unionByName(nameless).select(docs.columns)

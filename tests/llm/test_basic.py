@@ -194,3 +194,13 @@ def test_sum_of_squares_levels():
         p.place((k, 0, s))
         assert int((p.level**2).sum()) == min(options)
         assert all(len(v) == p.level[h] for h, v in p.open.items())
+
+
+def test_without_copies_drops_rows_not_ids(spark):
+    """An id given with two texts, one of them a copy of another document, keeps the other text; null is the empty text."""
+    from skein.llm.exact_dedup import without_copies
+
+    rows = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (3, ""), (3, None), (None, "a"), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text or "") for r in without_copies(docs).collect()), key=str)
+    assert got == sorted([(1, "a"), (2, "b"), (3, ""), (None, "c")], key=str)
