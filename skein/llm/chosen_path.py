@@ -3,10 +3,10 @@
 A document is the set of its word shingles. Each tree sends a document down the branches of those minwise tokens (i, i-th minhash) that a seeded
 hash of the branch and the token chooses, 1 / (similarity * tokens) of them: documents as similar as the threshold then share
 one branch at each level on average, less similar ones soon part. Nodes of at most SMALL documents are compared exhaustively, larger ones branch
-again, LEVELS at a time. One tree finds a pair at the threshold with probability 0.63 at depth 1 and 0.47 at depth 2. The TREES deep trees alone miss a pair that they
-resolve at depth 2 with probability 8e-7, over the agreement of its signatures. The FIRST_TREES trees of depth 1 get no credit: on large tables their nodes are beside unlike documents. A path of one branch
-a level would lose a pair on the way from a node that stays large (depth 8 is reached by 0.15), so such a node branches anew REPEATS times, independently: a pair whose nodes are all large at depth 2 is missed
-with 1.7e-6, and if they all are at depth 5 too, the worst case, with 1e-5. More similar pairs are missed less (6e-7 at 0.85 in the worst case).
+again. One tree finds a pair at the threshold with probability 0.63 at depth 1 and 0.47 at depth 2. The TREES deep trees alone miss a pair that they
+resolve at depth 2 with probability 1e-7, over the agreement of its signatures. The FIRST_TREES trees of depth 1 get no credit: on large tables their nodes are beside unlike documents. A path of one branch
+a level would lose a pair on the way from a node that stays large (depth 8 is reached by 0.15), so such a node branches REPEATS times, independently, at depths 2 to 5: a pair whose nodes are all large down
+to depth 5 is missed with 1.4e-6, and down to depth 8, the worst case, with 3e-6. More similar pairs are missed less (2.5e-7 at 0.85 in the worst case).
 
 What keeps the work in proportion to the input, also where a third of all documents are copies:
 - documents with the same set are one from the start (their smallest id);
@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 from .common import Workspace, mix64, shingle_sets, slices, spanning, text_arrays
 from .components import components
 
-TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, LEVELS, BLOCK, WEAK = 64, 24, 8, 20, 8, 3, 512, 0.5
-#: How often a node that stays large branches anew, by its depth.
-REPEATS = {2: 8, 5: 2}
+TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, BLOCK, WEAK = 64, 28, 8, 20, 8, 512, 0.5
+#: How often a node that stays large branches, by its depth; once at others.
+REPEATS = {2: 2, 3: 2, 4: 2, 5: 2}
 _SEEDS = np.random.default_rng(0xC4A1).integers(1, 1 << 31, (TOKENS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = np.random.default_rng(0xC4A2).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minhashes of a set, 16 bits each."""
+    """The minhashes of a set, 32 bits each: unlike documents hardly ever meet by chance, however many there are."""
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     out = np.empty(TOKENS, np.uint32)
     for k in range(0, len(_SEEDS), 8):
@@ -49,7 +49,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint32(15)
         h *= _SEEDS[k : k + 8, 1:]
         out[k : k + 8] = h.min(1)
-    return (out ^ (out >> np.uint32(16))).astype(np.uint16)
+    return out
 
 
 def _sketches(width: int):
@@ -89,7 +89,7 @@ def _branches(similarity: float, trees: range | None, depth: int = 1, repeats: i
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 doc, comp = (part.column(c).to_numpy() for c in ("doc", "comp"))
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, TOKENS)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, TOKENS)
                 if trees is None:
                     node, used = (part.column(c).to_numpy().view(np.uint64) for c in ("node", "used"))
                     starts = [(mix64(node + np.uint64(r)), used, depth) for r in range(repeats)]
@@ -120,7 +120,7 @@ def _agreeing(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, TOKENS) for c in ("sig_a", "sig_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, TOKENS) for c in ("sig_a", "sig_b"))
             yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= least))
 
     return run
@@ -228,7 +228,7 @@ class Join:
         start = self.work.keep(start, "start")
         rows = start.mapInArrow(_branches(self.similarity, trees, 2), _BRANCHES)
         pairs, guests = [], []
-        for depth in range(2, MAX_DEPTH + 1, LEVELS):
+        for depth in range(2, MAX_DEPTH + 1):
             live = self.work.keep(rows.join(self._nodes(rows), "node"), "live")
             small = live.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("doc", "comp"))).alias("m"))
             two = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SMALL)), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b"), (x["comp"] != y["comp"]).alias("new")))))
@@ -240,9 +240,9 @@ class Join:
             mostly_one = self.work.keep(large.groupBy("node").agg(of_hub.alias("same"), F.max("n").alias("n")).where("2 * same >= n").select("node"), "mostly_one")
             guests.append(large.join(mostly_one, "node", "left_semi").where("comp <> hub_comp").select(F.col("doc").alias("node"), F.col("hub_comp").alias("component")))
             large = large.join(mostly_one, "node", "left_anti")
-            if depth + LEVELS <= MAX_DEPTH:
+            if depth < MAX_DEPTH:
                 with_sig = large.join(self.sets.select("doc", "sig"), "doc")
-                rows = with_sig.select("node", "doc", "comp", "used", "sig").mapInArrow(_branches(self.similarity, None, LEVELS, REPEATS[depth]), _BRANCHES)
+                rows = with_sig.select("node", "doc", "comp", "used", "sig").mapInArrow(_branches(self.similarity, None, 1, REPEATS.get(depth, 1)), _BRANCHES)
             else:
                 # Members outside the first member's cluster, against all others.
                 q = large.where("comp <> hub_comp").select("node", F.col("doc").alias("q"), F.col("comp").alias("q_comp"))
@@ -262,10 +262,12 @@ class Join:
         full = self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(self.width), "doc long, shingles binary")
         full = self.work.keep(full.dropDuplicates(["doc", "shingles"]), "sets")
         # A cluster of several blocks is compared block by block; small clusters share groups of about BLOCK rows.
+        # Only the few clusters of several blocks are joined back, so that a large one meets in no task.
         sizes = clusters.groupBy("component").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        small = sizes.where("blocks = 1").agg(F.sum("m")).first()[0] or 0
-        groups = max(1, -(-small // BLOCK))
-        member = clusters.join(sizes, "component").select(F.col("component").alias("w"), F.col("node").alias("doc"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("blk"))
+        several = self.work.keep(sizes.where("blocks > 1"), "several")
+        groups = max(1, -(-(clusters.count() - (several.agg(F.sum("m")).first()[0] or 0)) // BLOCK))
+        blocks = F.coalesce("blocks", F.lit(1))
+        member = clusters.join(several.select("component", "blocks"), "component", "left").select(F.col("component").alias("w"), F.col("node").alias("doc"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("blk"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         member = member.withColumn("o", other).withColumn("cross", F.col("o") != F.col("blk"))
         group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("w"), F.lit(groups))).otherwise(F.xxhash64("w", F.least("o", "blk"), F.greatest("o", "blk")))

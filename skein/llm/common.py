@@ -33,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """A folder of written tables. Writing a table cuts its lineage; losing an executor loses none of it."""
 
@@ -40,9 +43,15 @@ class Workspace:
         self.spark, self.path, self._n = spark, f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex[:12]}", 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Writes a table and reads it back. Nothing reads the shuffle files of the write again, so they go when it is done."""
         self._n += 1
-        path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        path, conf = f"{self.path}/{self._n:03d}-{name}", self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._skein_path = path
         return out

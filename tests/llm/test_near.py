@@ -93,7 +93,7 @@ def meetings(pairs, depths, similarity=0.8):
     from skein.llm import chosen_path as cp
 
     rng = np.random.default_rng(5)
-    a, other = rng.integers(0, 1 << 16, (2, pairs, cp.TOKENS), dtype=np.uint16)
+    a, other = rng.integers(0, 1 << 32, (2, pairs, cp.TOKENS), dtype=np.uint32)
     b = np.where(rng.random(a.shape) < similarity, a, other)
     sig = [x.tobytes() for x in np.concatenate([a, b])]
 
@@ -115,7 +115,7 @@ def meetings(pairs, depths, similarity=0.8):
             node, doc, used = node[both], doc[both], used[both]
             if deeper is None or not len(doc):
                 break
-            out = pa.Table.from_batches(list(cp._branches(similarity, None, deeper - depth, cp.REPEATS[depth])(rows(doc, node=node, used=used))))
+            out = pa.Table.from_batches(list(cp._branches(similarity, None, deeper - depth, cp.REPEATS.get(depth, 1))(rows(doc, node=node, used=used))))
         met |= set((doc % pairs).tolist())
     return len(met)
 
@@ -125,8 +125,8 @@ def test_deep_trees_find_pairs_without_the_first():
 
 
 def test_deep_trees_find_pairs_whose_nodes_stay_large():
-    assert meetings(3000, [2, 5]) == 3000
-    assert meetings(3000, [2, 5, 8]) == 3000
+    assert meetings(3000, [2, 3, 4, 5]) == 3000
+    assert meetings(3000, list(range(2, 9))) == 3000
 
 
 def test_short_copies_of_a_passage_in_many_longer_texts(spark):

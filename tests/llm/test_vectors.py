@@ -49,10 +49,17 @@ def test_planted_groups(spark):
 
 
 def test_recall_on_the_table(spark):
-    """Against brute force over check-like vectors at test size."""
+    """Against brute force over all vectors of the largest test table, to which noisy copies are added: cosines from 0.8 to 1."""
     from skein.llm.product_quant import near_vectors
 
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    rng, rows = np.random.default_rng(3), spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    more = []
+    for r in rows[::2]:
+        v = np.array(r.embedding, float)
+        for k in range(3):
+            noise = rng.normal(size=len(v)) * np.linalg.norm(v) / len(v) ** 0.5
+            more.append((1_000_000 + 4 * r.vec_id + k, (v + rng.uniform(0.1, 0.6) * noise).tolist()))
+    df = spark.createDataFrame([(r.vec_id, [float(x) for x in r.embedding]) for r in rows] + more, "vec_id long, embedding array<double>").repartition(8)
     got = {r.vec_id: r for r in near_vectors(df).collect()}
     want = brute([(r.vec_id, r.embedding) for r in df.collect()])
     links, found = sum(n for n, _ in want.values()), sum(min(got[i].n_links, want[i][0]) for i in want)
