@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -85,16 +88,20 @@ def test_null_ids_repeats_and_empty(spark):
     assert near_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def meetings(pairs, depths, similarity=0.8):
-    """Of so many pairs with signatures at that similarity, those that share a node of the deep trees at the last of the depths."""
-    import numpy as np
-    import pyarrow as pa
+def meetings(pairs, depth, shared=0.0, worst=False):
+    """How many of some pairs at the threshold meet in a node of the deep trees at that depth, where all nodes above stay large.
 
+    shared: the share of its tokens that every document has in common with the first members of its nodes; worst: the pair differs in the other tokens only.
+    """
     from skein.llm import chosen_path as cp
 
+    similarity = 0.8
     rng = np.random.default_rng(5)
-    a, other = rng.integers(0, 1 << 32, (2, pairs, cp.TOKENS), dtype=np.uint32)
-    b = np.where(rng.random(a.shape) < similarity, a, other)
+    a, other, hub = rng.integers(0, 1 << 32, (3, pairs, cp.TOKENS), dtype=np.uint32)
+    common = rng.random(a.shape) < shared
+    hub = np.where(common, a, hub)
+    differ = rng.random(a.shape) < (1 - similarity) / ((1 - shared) if worst else 1)
+    b = np.where(differ & ~common if worst else differ, other, a)
     sig = [x.tobytes() for x in np.concatenate([a, b])]
 
     def rows(doc, **more):
@@ -106,27 +113,32 @@ def meetings(pairs, depths, similarity=0.8):
         doc = np.array([d for d in range(2 * pairs) if d % pairs not in met], int)
         if not len(doc):
             break
-        out = pa.Table.from_batches(list(cp._branches(similarity, range(tree, tree + 1), depths[0])(rows(doc))))
-        for depth, deeper in zip(depths, [*depths[1:], None], strict=True):
+        out = pa.Table.from_batches(list(cp._branches(similarity, range(tree, tree + 1), 2)(rows(doc))))
+        for level in range(2, depth + 1):
             node, doc, used = (out.column(c).to_numpy() for c in ("node", "doc", "used"))
             # Only nodes with both of a pair matter.
             _, at, n = np.unique(np.stack([node, doc % pairs]), axis=1, return_inverse=True, return_counts=True)
             both = n[at.ravel()] > 1
             node, doc, used = node[both], doc[both], used[both]
-            if deeper is None or not len(doc):
+            if level == depth or not len(doc):
                 break
-            out = pa.Table.from_batches(list(cp._branches(similarity, None, deeper - depth, cp.REPEATS.get(depth, 1))(rows(doc, node=node, used=used))))
+            hubs = pa.array([hub[d % pairs].tobytes() for d in doc], pa.binary())
+            out = pa.Table.from_batches(list(cp._deeper(similarity, 1 if level == 2 else cp.REPEATS)(rows(doc, node=node, used=used, hub_sig=hubs))))
         met |= set((doc % pairs).tolist())
     return len(met)
 
 
 def test_deep_trees_find_pairs_without_the_first():
-    assert meetings(6000, [2]) == 6000
+    assert meetings(6000, 2) == 6000
 
 
 def test_deep_trees_find_pairs_whose_nodes_stay_large():
-    assert meetings(3000, [2, 3, 4, 5]) == 3000
-    assert meetings(3000, list(range(2, 9))) == 3000
+    """Nodes of documents that share nothing else with the first member, a third, or two thirds of their tokens, down to depth 5."""
+    for shared in (0.0, 0.33, 0.6):
+        assert meetings(3000, 3, shared) == 3000
+        assert meetings(3000, 5, shared) == 3000
+    assert meetings(3000, 3, 0.6, worst=True) == 3000
+    assert meetings(3000, 8, 0.33) == 3000
 
 
 def test_short_copies_of_a_passage_in_many_longer_texts(spark):
