@@ -35,12 +35,25 @@ REACH = SPAN - GRAM  # an anchor is at most so many bytes into its string
 RUN_BYTES, RUN_DOCS = 16 << 20, 60_000
 #: Anchors that a task meets, about.
 BUCKET_ANCHORS = 1 << 20
+#: String starts that are looked at together; a longer text has its strings in several pieces, which changes no result. Places in a piece fit into the low 24 bits of a hash.
+PIECE = 1 << 23
 _SEVERAL = 0xFFFF
 _KEY_BITS = 48
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, position, first and last string start, and hash of each anchor of the rows of a byte string."""
+    if len(data) <= PIECE + SPAN:
+        return _anchors(data, off)
+    found = []
+    for k in range(0, len(data), PIECE):
+        part = data[k : k + PIECE + SPAN - 1]
+        row, place, first, last, grams = _anchors(part, np.clip(off - k, 0, len(part)))
+        found.append((row, place + k, first + k, last + k, grams))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.empty(0, np.int64)
     if len(data) < SPAN:
         return none, none, none, none, np.empty(0, np.uint64)
@@ -101,6 +114,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
 
 # ------------------------------------------------- step 2: anchors that several documents have
 
+#: A document is its id and a 64-bit hash of its text (version): an id may be given with several texts.
 _ENTRIES = "bucket long, run long, keys binary, docs binary, ids binary"
 
 
@@ -108,8 +122,8 @@ def _send_keys(buckets: int):
     """Entries of a run by bucket; what the run itself knows to be shared, and its ids, as rows of a bucket chosen by the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, parts in _runs(batches, ["doc_id", "text"]):
-            ids = np.concatenate([p.column("doc_id").to_numpy() for p in parts])
+        for number, parts in _runs(batches, ["doc_id", "version", "text"]):
+            ids = np.stack([np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("doc_id", "version")], 1)
             keys, docs, base = [], [], 0
             for p in parts:
                 row, _, _, _, grams = anchors(*text_arrays(p.column("text")))
@@ -159,19 +173,19 @@ def _meet_keys(table: pa.Table) -> pa.Table:
 
 def _by_document(table: pa.Table) -> pa.Table:
     """The shared keys of each document of a run."""
-    ids = next(np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist() if x is not None)
+    ids = next(np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist() if x is not None).reshape(-1, 2)
     key = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
     doc = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("docs").to_pylist()]).astype(np.int64)
     order = np.lexsort((key, doc))
     key, doc = key[order], doc[order]
     at = np.flatnonzero(np.diff(doc, prepend=-1))
-    return pa.table({"doc_id": pa.array(ids[doc[at]]), "keys": pa.array([k.tobytes() for k in np.split(key, at[1:])] if len(at) else [], pa.binary())})
+    return pa.table({"doc_id": pa.array(ids[doc[at], 0]), "version": pa.array(ids[doc[at], 1]), "keys": pa.array([k.tobytes() for k in np.split(key, at[1:])] if len(at) else [], pa.binary())})
 
 
 # ------------------------------------------------- steps 3 and 4: sorted suffix runs
 
 _RUN = "bucket long, run long, n long, shared binary, rest binary, before binary, ranges binary, doc binary, places binary, known binary"
-_OWNED = "doc_id long, starts binary, ends binary"
+_OWNED = "doc_id long, version long, starts binary, ends binary"
 
 
 def _suffixes(data: np.ndarray, off: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,8 +273,8 @@ def merge(runs: list[tuple[list[int], list[int]]], width: int) -> Iterator[tuple
 
 def _send_suffixes(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, parts in _runs(batches, ["doc_id", "text", "keys"]):
-            cols = [[] for _ in range(7)]
+        for number, parts in _runs(batches, ["doc_id", "version", "text", "keys"]):
+            cols = [[] for _ in range(8)]
             for p in parts:
                 data, off = text_arrays(p.column("text"))
                 row, place, first, last, grams = anchors(data, off)
@@ -274,7 +288,7 @@ def _send_suffixes(buckets: int):
                     # Bytes that no string of the anchor covers do not count.
                     right[np.arange(SPAN)[None, :] >= (SPAN - lo)[:, None]] = 0
                     left[np.arange(REACH)[None, :] >= hi[:, None]] = 0
-                    for c, x in zip(cols, (right, left, lo, hi, p.column("doc_id").to_numpy()[row], place - off[row], _key(grams)), strict=True):
+                    for c, x in zip(cols, (right, left, lo, hi, p.column("doc_id").to_numpy()[row], p.column("version").to_numpy()[row], place - off[row], _key(grams)), strict=True):
                         c.append(x)
             if cols[0]:
                 yield from _run_rows(number, [np.concatenate(c) for c in cols], buckets)
@@ -283,22 +297,26 @@ def _send_suffixes(buckets: int):
 
 
 def _run_rows(number: int, cols: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    right, left, lo, hi, doc, place, key = cols
+    right, left, lo, hi, doc, version, place, key = cols
     bucket = _bucket(key, buckets)
     whole = _ranks(np.concatenate([right, left, lo[:, None].astype(np.uint8), hi[:, None].astype(np.uint8)], 1))
-    order = np.lexsort((place, doc, whole, bucket))
-    right, left, lo, hi, doc, place, bucket, whole = (x[order] for x in (right, left, lo, hi, doc, place, bucket, whole))
+    order = np.lexsort((place, version, doc, whole, bucket))
+    right, left, lo, hi, doc, version, place, bucket, whole = (x[order] for x in (right, left, lo, hi, doc, version, place, bucket, whole))
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (whole[1:] != whole[:-1]) | (bucket[1:] != bucket[:-1])
     group = np.cumsum(fresh) - 1
-    owner = doc[np.flatnonzero(fresh)]
-    mine = doc == owner[group]
-    head = np.flatnonzero(fresh)
-    count = np.bincount(group[mine], minlength=len(head)).astype(np.uint32)
+    mine = doc == doc[np.flatnonzero(fresh)][group]
     # Others than the owner: repeats for sure, all strings of the anchor.
-    known = np.stack([doc[~mine], place[~mine] - hi[~mine], place[~mine] - lo[~mine] + SPAN], 1)
+    known = np.stack([doc[~mine], version[~mine], place[~mine] - hi[~mine], place[~mine] - lo[~mine] + SPAN], 1)
+    # The owner's, one entry for each of its texts (hardly ever more than one).
+    own = np.flatnonzero(mine)
+    new = np.ones(len(own), bool)
+    new[1:] = (group[own][1:] != group[own][:-1]) | (version[own][1:] != version[own][:-1])
+    head = own[new]
+    count = np.bincount(np.cumsum(new) - 1, minlength=len(head)).astype(np.uint32)
+    owner = np.stack([doc[head], version[head]], 1)
     cut = np.searchsorted(bucket[head], np.arange(buckets + 1))
-    places = place[mine].astype(np.int64)
+    places = place[own].astype(np.int64)
     before = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
     rows = []
     for b in np.flatnonzero(np.diff(cut)):
@@ -329,13 +347,13 @@ def _ranks(raw: np.ndarray) -> np.ndarray:
 def _merge_bucket(table: pa.Table) -> pa.Table:
     """Byte ranges of documents that a document with a smaller id owns."""
     docs, starts, ends = [], [], []
-    runs, right, left, lo, hi, doc, count, places = [], [], [], [], [], [], [], []
+    runs, left, lo, hi, doc, count, places = [], [], [], [], [], [], []
     for r in table.to_pylist():
         if r["known"] is not None:
-            x = np.frombuffer(r["known"], np.int64).reshape(-1, 3)
-            docs.append(x[:, 0])
-            starts.append(x[:, 1])
-            ends.append(x[:, 2])
+            x = np.frombuffer(r["known"], np.int64).reshape(-1, 4)
+            docs.append(x[:, :2])
+            starts.append(x[:, 2])
+            ends.append(x[:, 3])
             continue
         shared = np.frombuffer(r["shared"], np.uint8)
         rows = front_decode(shared, r["rest"], SPAN)
@@ -347,7 +365,7 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
         left.append(before)
         lo.append(both[:, 0])
         hi.append(both[:, 1])
-        doc.append(np.frombuffer(r["doc"], np.int64))
+        doc.append(np.frombuffer(r["doc"], np.int64).reshape(-1, 2))
         n = np.frombuffer(r["places"][: 4 * len(both)], np.uint32)
         count.append(n.astype(np.int64))
         places.append(np.frombuffer(r["places"][4 * len(both) :], np.int64))
@@ -358,7 +376,7 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
         left, lo, hi, doc, count = (np.concatenate(x) for x in (left, lo, hi, doc, count))
         at = np.concatenate([[0], np.cumsum(count)])
         places = np.concatenate(places)
-        l, a, b, d = left[order], lo[order], hi[order], doc[order]
+        l, a, b, d = left[order], lo[order], hi[order], doc[order, 0]
         prefix = np.zeros(len(d), np.uint64)
         for j in range(REACH + 1):  # strings that start j bytes before their anchor
             if j:
@@ -378,14 +396,16 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
                 n = count[k]
                 stop = np.cumsum(n)
                 p = places[np.repeat(at[k] - stop + n, n) + np.arange(stop[-1])] - j
-                docs.append(np.repeat(doc[k], n))
+                docs.append(np.repeat(doc[k], n, axis=0))
                 starts.append(p)
                 ends.append(p + SPAN)
     if not docs:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "starts": pa.array([], pa.binary()), "ends": pa.array([], pa.binary())})
+        return pa.table({"doc_id": pa.array([], pa.int64()), "version": pa.array([], pa.int64()), "starts": pa.array([], pa.binary()), "ends": pa.array([], pa.binary())})
     d, s, e = (np.concatenate(x) for x in (docs, starts, ends))
-    d, s, e, cut = _joined(d, s, e)
-    return pa.table({"doc_id": pa.array(d[cut]), "starts": pa.array([x.tobytes() for x in np.split(s, cut[1:])], pa.binary()), "ends": pa.array([x.tobytes() for x in np.split(e, cut[1:])], pa.binary())})
+    d, code = np.unique(d, axis=0, return_inverse=True)
+    code, s, e, cut = _joined(code.ravel(), s, e)
+    found = d[code[cut]]
+    return pa.table({"doc_id": pa.array(found[:, 0]), "version": pa.array(found[:, 1]), "starts": pa.array([x.tobytes() for x in np.split(s, cut[1:])], pa.binary()), "ends": pa.array([x.tobytes() for x in np.split(e, cut[1:])], pa.binary())})
 
 
 def _joined(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -407,7 +427,7 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the ranges from each text."""
     for batch in batches:
         out = []
-        for doc, text, starts, ends in zip(*(batch.column(c) for c in ("doc_id", "text", "starts", "ends")), strict=True):
+        for doc, version, text, starts, ends in zip(*(batch.column(c) for c in ("doc_id", "version", "text", "starts", "ends")), strict=True):
             raw = np.frombuffer(text.as_buffer(), np.uint8)
             s, e = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in c.values]) for c in (starts, ends))
             _, s, e, _ = _joined(np.zeros(len(s), np.int64), s, np.minimum(e, len(raw)))
@@ -415,40 +435,46 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge[s] += 1
             edge[e] -= 1
             kept = raw[np.cumsum(edge[:-1]) == 0].tobytes()
-            out.append((doc.as_py(), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept))
-        c = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), pa.array(c[4], pa.binary())], names=["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((doc.as_py(), version.as_py(), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept))
+        c = list(zip(*out, strict=True)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.string()), pa.array(c[5], pa.binary())], names=["doc_id", "version", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def repeated_passages(docs: DataFrame, work: Workspace | None = None, texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts, also kept (the remaining bytes of changed documents, else null).
 
-    A null text is empty. Rows without an id keep everything and take nothing from others. Rows that share an id and a text are one document,
-    given as often; ids that have several texts are not meant to be, and then what is found in one of their texts is removed, by place, from all. An empty table gives no rows.
+    A null text is empty. Rows without an id keep everything and take nothing from others. Rows that share an id and a text are one document, given as often; several
+    texts of one id are documents of their own that take nothing from each other, as none has a smaller id. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "suffix")
     t = F.coalesce("text", F.lit(""))
-    rows = work.keep(docs.select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("digest")), "digests")
+    document = ["doc_id", "version"]
+    rows = work.keep(docs.select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("digest"), F.xxhash64(t).alias("version")), "digests")
     firsts = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = work.keep(firsts.where("first <> last").select("digest", "first"), "firsts")
-    marked = work.keep(rows.join(firsts, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "marked")
+    firsts = firsts.where("first <> last").select("digest", "first")
+    marked = work.keep(rows.join(firsts, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first"), "marked")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    work.drop(rows)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * BUCKET_ANCHORS)))
-    named = docs.where("doc_id is not null and octet_length(text) >= 50").select("doc_id", "text")
-    entries = named.mapInArrow(_send_keys(buckets), _ENTRIES)
-    met = entries.groupBy("bucket").applyInArrow(_meet_keys, "run long, keys binary, docs binary, ids binary")
-    shared = met.groupBy("run").applyInArrow(_by_document, "doc_id long, keys binary").where("octet_length(keys) > 0")
-    copies = marked.where("copy").select("doc_id").distinct()
-    sharing = named.join(shared, "doc_id").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    sharing = work.keep(sharing.select("doc_id", "text", "keys"), "sharing")
+    # Texts move to their marks once, and each distinct one that no smaller id has is written; the steps read that. What a step has written goes when no later one reads it.
+    named = docs.where(f"doc_id is not null and octet_length(text) >= {SPAN}").select("doc_id", F.xxhash64("text").alias("version"), "text")
+    single = named.join(marked.where("not copy").select(*document), document, "left_semi").groupBy(*document).agg(F.first("text").alias("text"))
+    single = work.keep(single, "single")
+    entries = single.mapInArrow(_send_keys(buckets), _ENTRIES)
+    met = work.keep(entries.groupBy("bucket").applyInArrow(_meet_keys, "run long, keys binary, docs binary, ids binary"), "met")
+    shared = work.keep(met.groupBy("run").applyInArrow(_by_document, "doc_id long, version long, keys binary").where("octet_length(keys) > 0"), "shared")
+    work.drop(met)
+    sharing = work.keep(single.join(shared, document), "sharing")
+    work.drop(single, shared)
     owned = work.keep(sharing.mapInArrow(_send_suffixes(buckets), _RUN).groupBy("bucket").applyInArrow(_merge_bucket, _OWNED), "owned")
-    ranges = owned.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    cut = sharing.select("doc_id", "text").join(ranges, "doc_id").mapInArrow(_drop, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    ranges = owned.groupBy(*document).agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    cut = sharing.drop("keys").join(ranges, document).mapInArrow(_drop, "doc_id long, version long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not texts:
-        cut = cut.drop("kept")
+        cut = work.keep(cut.drop("kept"), "cut")
+        work.drop(sharing, owned)
     gone = F.col("copy") & (F.col("n_bytes") >= SPAN)
-    out = marked.join(cut, "doc_id", "left")
+    out = marked.join(cut, document, "left")
     cols = [
         "doc_id",
         "n_bytes",

@@ -48,6 +48,8 @@ def test_planted(spark):
     rows = [(i, text(rng.randint(0, 30)) + (passage if i % 3 else passage[3:30]) + text(rng.randint(0, 30))) for i in range(60)]
     rows += [(100 + i, period[: 300 + 17 * i]) for i in range(8)] + [(200, "x" * 49), (201, "x" * 49), (202, "x" * 50), (203, "x" * 50), (204, "x" * 500)]
     rows += [(300, None), (301, ""), (None, passage), (302, passage), (302, passage), (50_000_000_000, text(20) + passage), (-5, "neg " + passage)]
+    # Ids with several texts: each text is a document of its own, and none takes from another of its id.
+    rows += [(400, text(25) + passage), (400, text(60)), (401, rows[0][1] + passage), (401, text(5) + passage + text(5)), (402, p2 := text(50)), (402, "x" + p2), (403, "yy" + p2), (403, text(44))]
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, starts string").repartition(5)
     got = sorted((tuple(r) for r in repeated_passages(df).collect()), key=str)
@@ -82,3 +84,19 @@ def test_loser_tree_and_front_coding():
         assert strings == sorted(plain)
         for (_, _, s), a, b in zip(got[1:], strings, strings[1:], strict=False):
             assert s == next((n for n in range(6) if a[n] != b[n]), 6)
+
+
+def test_anchors_in_pieces(monkeypatch):
+    """Texts longer than a piece, a periodic one among them: every string has the same anchor as when looked at whole."""
+    from skein.llm import suffix_dedup as sd
+
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.integers(97, 123, 3000), np.tile([1, 2, 3, 4, 5], 900), rng.integers(97, 100, 2000)]).astype(np.uint8)
+    off = np.array([0, 40, 2900, 2900, 9400, len(data)])
+
+    def places():
+        return sorted((int(r), int(s), int(p), int(g)) for r, p, a, b, g in zip(*sd.anchors(data, off), strict=True) for s in range(a, b + 1))
+
+    whole = places()
+    monkeypatch.setattr(sd, "PIECE", 700)
+    assert places() == whole and len(whole) == sum(max(0, b - a - sd.SPAN + 1) for a, b in zip(off[:-1], off[1:], strict=True))
