@@ -10,7 +10,7 @@ adaptive map from gate and mixed probability to the frequency observed refines t
 
 Gathering is distributed. A task counts over its runs of documents; after each run it looks at the run's decisions once more, each with its own occurrence taken out of the
 counts, predicts, and updates the mixer's weights and the map online, batch by batch. Counts are additive and the weights of tasks are averaged by how often they used a gate;
-all are of fixed size and summed in blocks. All training documents count, whole. What a run holds several times (a token to spell, a class in its context) is computed
+all are of fixed size and summed in blocks, in two rounds. All training documents count, whole. What a run holds several times (a token to spell, a class in its context) is computed
 once, and counts as often as it occurs.
 
 The tables are of fixed size, so what they know of rare tokens does not grow. Whole tokens and pairs of a token and the one before it are therefore counted for all training tokens, exactly (by 64-bit hash),
@@ -42,8 +42,8 @@ CLASSES, TOP, DELTA = 254, 65_536, 0.4
 STEP, SEEN = 2.8, np.array([1, 4, 32])
 #: Decisions are numbered 0-255 in spelling and 256-511 before it; a gate is a decision and how often the longest context was seen.
 GATES, MAP_BUCKETS, RATE, BATCH = 512 * 4, 33, 0.15, 1 << 15
-#: Text of a run, tokens of a block, tasks that count at most (each sends tables of fixed size).
-RUN_BYTES, RUN_DOCS, BLOCK, COUNT_TASKS = 5 << 20, 60_000, 20_000, 4096
+#: Text of a run, tokens of a block, groups in which the tables of tasks (of fixed size) are summed first.
+RUN_BYTES, RUN_DOCS, BLOCK, SUM_GROUPS = 5 << 20, 60_000, 20_000, 64
 CHUNK = 1 << 16
 CACHE_TOKENS = 2_000_000
 END = np.uint64(0x0A0A0A0A0A0A0A0A)
@@ -102,11 +102,11 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(11)).astype(np.float64) / float(1 << 53) * buckets).astype(np.int64).clip(0, buckets - 1)
 
 
-def pairs_of(t: Tokens) -> np.ndarray:
+def pairs_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A hash of each token with the one before it."""
-    before = np.concatenate([[END], t.hashes[:-1]])
-    before[t.first[:-1]] = END
-    return mix64(t.hashes + mix64(before) * _ODD)
+    before = np.concatenate([[END], hashes[:-1]])
+    before[first[:-1]] = END
+    return mix64(hashes + mix64(before) * _ODD)
 
 
 # ------------------------------------------------------------------ counts of tokens, pairs and bytes
@@ -123,7 +123,7 @@ def _count_tokens(buckets: int):
             of_bytes = np.bincount(t.data, minlength=256)
             of_bytes[[9, 10, 11, 12, 13, 32]] = 0
             of_bytes[32], of_bytes[10] = len(t.hashes) - part.num_rows, part.num_rows
-            for kind, what in ((TOKEN, t.hashes), (PAIR, pairs_of(t))):
+            for kind, what in ((TOKEN, t.hashes), (PAIR, pairs_of(t.hashes, t.first))):
                 hashes, count = np.unique(what, return_counts=True)
                 cut = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cut))
@@ -215,13 +215,18 @@ class Items:
     rare: np.ndarray  # places of the tokens to spell
 
 
-def items_of(t: Tokens, codes: Codes) -> Items:
-    kind = _symbols(codes.classes, t.hashes)
+def _context_keys(kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each token's class, that before and that two before as one number; 255 before the first token of a document."""
     before = np.concatenate([[255], kind[:-1]])
-    before[t.first[:-1]] = 255
+    before[first[:-1]] = 255
     earlier = np.concatenate([[255], before[:-1]])
-    earlier[t.first[:-1]] = 255
-    keys, of_token, times = np.unique(kind + (before << 8) + (earlier << 16), return_inverse=True, return_counts=True)
+    earlier[first[:-1]] = 255
+    return kind + (before << 8) + (earlier << 16)
+
+
+def items_of(t: Tokens, codes: Codes) -> Items:
+    kind = _symbols(codes.classes, t.hashes)
+    keys, of_token, times = np.unique(_context_keys(kind, t.first), return_inverse=True, return_counts=True)
     rare = np.flatnonzero(kind == 0)
     distinct, place, spelled_of, spelled_times = np.unique(t.hashes[rare], return_index=True, return_inverse=True, return_counts=True)
     return Items(t, np.stack([keys & 255, keys >> 8 & 255, keys >> 16]), times, of_token, rare[place], spelled_times, spelled_of, _symbols(codes.others, distinct) > 0, rare)
@@ -395,23 +400,37 @@ def _gather(codes: Codes):
                     mixer.update(_gate(node[j].astype(np.int64), _seen(n0 + n1)), one, times[j], st)
             del held
         if some:
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId() % SUM_GROUPS
             used = mixer.all.reshape(GATES, -1).sum(1)
             learned = np.concatenate([(mixer.weights * used[:, None]).ravel(), used, mixer.ones, mixer.all])
             for kind, table in enumerate([*(t.view(np.float32) for t in tables), learned]):
                 for k in range(0, len(table), CHUNK):
                     block = table[k : k + CHUNK]
                     if block.any():
-                        raw = block.astype(np.uint32) if kind < len(tables) else block
-                        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([k // CHUNK], pa.int64()), pa.array([zlib.compress(raw.tobytes(), 1)], pa.binary())], names=["kind", "chunk", "block"])
+                        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([k // CHUNK], pa.int64()), pa.array([part], pa.int64()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], names=["kind", "chunk", "part", "block"])
 
     return run
 
 
+def _total(kind: int, table: pa.Table, raw: type) -> np.ndarray:
+    total = 0
+    for x in table.column("block"):
+        total = total + np.frombuffer(zlib.decompress(x.as_buffer()), raw if kind < len(TABLE_BITS) else np.float64).astype(np.float64)
+    return total
+
+
+def _sum_part(key, table):
+    """A block summed over a group of tasks."""
+    kind, chunk, part = (k.as_py() for k in key)
+    return pa.table([pa.array([kind]), pa.array([chunk]), pa.array([part]), pa.array([zlib.compress(_total(kind, table, np.float32).tobytes(), 1)], pa.binary())], names=["kind", "chunk", "part", "block"])
+
+
 def _sum_blocks(key, table):
-    """A block summed over tasks: of a table, its entries of 6 and 2 bits; of what the mixers learned, the sums."""
-    kind, total = key[0].as_py(), 0
-    for x in table.column("block").to_pylist():
-        total = total + np.frombuffer(zlib.decompress(x), np.uint32 if kind < len(TABLE_BITS) else np.float64).astype(np.float64)
+    """A block summed over all groups: of a table, its entries of 6 and 2 bits; of what the mixers learned, the sums."""
+    kind = key[0].as_py()
+    total = _total(kind, table, np.float64)
     if kind < len(TABLE_BITS):
         n = total.reshape(-1, 2)
         st = np.clip(np.round((np.log(n[:, 1] + DELTA) - np.log(n[:, 0] + DELTA)) * STEP), -31, 31).astype(np.int64) + 32
@@ -446,6 +465,13 @@ class Model:
 
     def each(self, t: Tokens) -> np.ndarray:
         """log10 probability of each token by the mixing model."""
+        items, of_context, of_spelled = self.values_of(t)
+        each = of_context[items.of_token]
+        each[items.rare] += of_spelled[items.spelled_of]
+        return each
+
+    def values_of(self, t: Tokens) -> tuple[Items, np.ndarray, np.ndarray]:
+        """The items of a run and log10 probabilities: of each class in its context, and of each spelled token (by hash, in order)."""
         items = items_of(t, self.codes)
         hashes = t.hashes[items.spelled]
         slot = np.minimum(np.searchsorted(self.spelled, hashes), max(0, len(self.spelled) - 1))
@@ -464,19 +490,17 @@ class Model:
                 x = 0.5 * (x + self.refined[at] * (1 - part) + self.refined[at + 1] * part)
                 logs[k : k + BATCH] = np.log1p(np.exp(np.where(bit[k : k + BATCH] == 1, -x, x)))
             value[spell][i] = np.add.reduceat(logs, np.cumsum(n) - n) * (-1 / np.log(10))
-        each = value[False][items.of_token]
         spelled = np.empty(len(hashes))
         spelled[new] = value[True]
         if len(self.spelled):
             spelled[~new] = self.values[slot[~new]]
-        each[items.rare] += spelled[items.spelled_of]
         if len(self.spelled) + len(fresh.spelled) > CACHE_TOKENS:
             self.spelled, self.values = hashes, spelled
         else:
             keys, values = np.concatenate([self.spelled, hashes[new]]), np.concatenate([self.values, spelled[new]])
             order = np.argsort(keys)
             self.spelled, self.values = keys[order], values[order]
-        return each
+        return items, value[False], spelled
 
 
 def priors(n: int, tokens: np.ndarray, pairs: np.ndarray) -> tuple[float, float]:
@@ -557,69 +581,78 @@ def train(docs: DataFrame, work: Workspace) -> tuple[Model, DataFrame, int]:
     order = np.argsort(top)
     top, counts = top[order], counts[order]
     codes = codes_of(top, counts, n, spelling)
-    blocks = texts.coalesce(COUNT_TASKS).mapInArrow(_gather(codes), "kind long, chunk long, block binary")
-    summed = blocks.groupBy("kind", "chunk").applyInArrow(_sum_blocks, "kind long, chunk long, block binary").toArrow()
+    blocks = texts.mapInArrow(_gather(codes), "kind long, chunk long, part long, block binary")
+    parts = blocks.groupBy("kind", "chunk", "part").applyInArrow(_sum_part, "kind long, chunk long, part long, block binary")
+    summed = parts.groupBy("kind", "chunk").applyInArrow(_sum_blocks, "kind long, chunk long, block binary").toArrow()
     token_prior, pair_prior = priors(n, sizes, by_place("sizes", 512, PAIR))
     return Model(codes, *assemble(summed), top, counts, n, v, token_prior=token_prior, pair_prior=pair_prior), vocabulary, buckets
 
 
 # ------------------------------------------------------------------ scoring
 
-#: A row of a run, with what is known of its documents (rows), each token's log10 probability by the mixing model, its place among the distinct ones, the bucket of its pair, and
-#: the counts of the distinct ones (-1: to be looked up); and rows of hashes to look up by kind and bucket.
-_PARTS = "bucket long, run long, kind long, hashes binary, rows binary, each binary, places binary, buckets binary, counts binary"
+#: A row of a run: its documents (rows), its distinct tokens' hashes, counts (-1: to be looked up), classes and spelled log10 probabilities, each token's place among them, and the log10
+#: probabilities of its distinct contexts, in order. Other rows have distinct hashes to look up, by kind and bucket, in order.
+_PARTS = "bucket long, run long, kind long, hashes binary, rows binary, counts binary, classes binary, spelled binary, places binary, contexts binary"
 _ROWS = [("id", "i8"), ("null", "?"), ("held", "?"), ("n", "i8"), ("size", "i8")]
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
 def _score_runs(shared, buckets: int):
-    """A row per run, and rows of its rarer tokens (each once) and of its pairs (in order) by bucket."""
+    """A row per run, and rows of its rarer tokens and of its pairs, each once, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for number, part in runs_of(batches):
             t = tokens_of(*text_arrays(part.column("text")))
-            each, n = m.each(t), np.diff(t.first)
+            items, of_context, of_spelled = m.values_of(t)
             hashes, place = np.unique(t.hashes, return_inverse=True)
             at = np.minimum(np.searchsorted(m.top, hashes), max(0, len(m.top) - 1))
             known = m.top[at] == hashes if len(m.top) else np.zeros(len(hashes), bool)
             counts = np.where(known, m.top_counts[at], -1) if len(m.top) else np.full(len(hashes), -1)
-            ids = part.column("doc_id")
+            spelled = np.zeros(len(hashes), np.float32)
+            spelled[np.searchsorted(hashes, t.hashes[items.spelled])] = of_spelled
+            ids, n = part.column("doc_id"), np.diff(t.first)
             table = np.zeros(len(n), _ROWS)
             table["id"], table["null"], table["held"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), part.column("held").to_numpy(zero_copy_only=False)
             table["n"], table["size"] = n, np.add.reduceat(t.sizes + 1, t.first[:-1])
-            pairs = pairs_of(t)
-            bucket = _bucket(pairs, buckets)
-            sent = [each.astype(np.float32), place.astype(np.uint32), bucket.astype(np.uint32), counts.astype(np.int64)]
-            rows = [(number % buckets, number, None, None, table.tobytes(), *(x.tobytes() for x in sent))]
-            pairs = pairs[np.argsort(bucket, kind="stable")]
-            for kind, x, of in ((TOKEN, hashes[~known], _bucket(hashes[~known], buckets)), (PAIR, pairs, np.sort(bucket))):
-                cut = np.searchsorted(of, np.arange(buckets + 1))
-                rows += [(int(b), number, kind, x[cut[b] : cut[b + 1]].tobytes(), *[None] * 5) for b in np.flatnonzero(np.diff(cut))]
-            names, types = [f.split()[0] for f in _PARTS.split(", ")], [pa.int64()] * 3 + [pa.binary()] * 6
+            sent = [counts.astype(np.int64), _symbols(m.codes.classes, hashes).astype(np.uint8), spelled]
+            rows = [(number % buckets, number, None, hashes.tobytes(), table.tobytes(), *(x.tobytes() for x in sent), _narrow(place), of_context.astype(np.float32).tobytes())]
+            # A bucket is a range of hashes, so what is in order is in order of buckets too.
+            for kind, x in ((TOKEN, hashes[~known]), (PAIR, np.unique(pairs_of(t.hashes, t.first)))):
+                cut = np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1))
+                rows += [(int(b), number, kind, x[cut[b] : cut[b + 1]].tobytes(), *[None] * 6) for b in np.flatnonzero(np.diff(cut))]
+            names, types = [f.split()[0] for f in _PARTS.split(", ")], [pa.int64()] * 3 + [pa.binary()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _look_up(key, parts, vocabulary):
-    """The rows of runs as they are, and the counts in place of the hashes of a bucket."""
+    """The rows of runs as they are, and counts in place of the hashes to look up."""
     known = {k: (np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)) for k, h, c in zip(*(vocabulary.column(c).to_pylist() for c in ("kind", "hashes", "counts")), strict=True)}
     found = []
     for kind, raw in zip(parts.column("kind").to_pylist(), parts.column("hashes"), strict=True):
         if kind is None:
-            found.append(None)
+            found.append(raw.as_py())
             continue
         hashes = np.frombuffer(raw.as_buffer(), np.uint64)
         out = np.zeros(len(hashes), np.int64)
         if kind in known:
             words, counts = known[kind]
-            # In sorted order, which finds its places faster.
-            order = np.argsort(hashes)
-            at = np.minimum(np.searchsorted(words, hashes[order]), len(words) - 1)
-            out[order] = np.where(words[at] == hashes[order], counts[at], 0)
-        found.append(out.tobytes())
-    return parts.drop_columns(["hashes"]).append_column("found", pa.array(found, pa.binary()))
+            at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+            out = np.where(words[at] == hashes, counts[at], 0)
+        found.append(_narrow(out))
+    return parts.set_column(parts.column_names.index("hashes"), "hashes", pa.array(found, pa.binary()))
 
 
 def _finish(n_train: int, v_train: int, token_prior: float, pair_prior: float):
@@ -627,18 +660,20 @@ def _finish(n_train: int, v_train: int, token_prior: float, pair_prior: float):
         rows = sorted(table.to_pylist(), key=lambda r: (-1 if r["kind"] is None else r["kind"], r["bucket"]))
         own = rows[0]
         t = np.frombuffer(own["rows"], _ROWS)
-        each, place, bucket, counts = (np.frombuffer(own[c], k) for c, k in (("each", np.float32), ("places", np.uint32), ("buckets", np.uint32), ("counts", np.int64)))
-        got = [np.frombuffer(b"".join(r["found"] for r in rows if r["kind"] == k), np.int64) for k in (TOKEN, PAIR)]
+        hashes, counts, classes, spelled, contexts = (np.frombuffer(own[c], k) for c, k in (("hashes", np.uint64), ("counts", np.int64), ("classes", np.uint8), ("spelled", np.float32), ("contexts", np.float32)))
+        got = [np.concatenate([np.empty(0, np.int64), *(_wide(r["hashes"]) for r in rows if r["kind"] == k)]) for k in (TOKEN, PAIR)]
         counts = counts.copy()
         counts[counts < 0] = got[TOKEN]
-        pair = np.empty(len(place), np.int64)
-        pair[np.argsort(bucket, kind="stable")] = got[PAIR]
+        place = _wide(own["places"])
         stop = np.cumsum(t["n"])
         start = stop - t["n"]
+        first = np.append(start, stop[-1])
+        each = contexts[np.unique(_context_keys(classes[place].astype(np.int64), first), return_inverse=True)[1]].astype(float) + spelled[place]
+        pair = got[PAIR][np.unique(pairs_of(hashes[place], first), return_inverse=True)[1]]
         before = np.roll(place, 1)
         before[start] = place[stop[0] - 1]  # the end, which every document has
         n = counts[place]
-        p = (n + token_prior * 10.0 ** each.astype(float)) / (n_train + token_prior)
+        p = (n + token_prior * 10.0**each) / (n_train + token_prior)
         p = np.log10(pair + pair_prior * p) - np.log10(counts[before] + pair_prior)
         score = np.add.reduceat(p, start)
         base, known = np.add.reduceat(np.log10(n + 1.0), start) - t["n"] * np.log10(n_train + v_train + 1.0), np.add.reduceat((n > 0).astype(np.int64), start)
@@ -666,5 +701,5 @@ def score_documents(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     shared = spark.sparkContext.broadcast(model)
     parts = docs.select("doc_id", "text", held.alias("held")).mapInArrow(_score_runs(shared, buckets), _PARTS)
     counted = vocabulary.select("kind", "bucket", "hashes", "counts").groupBy("bucket")
-    looked = parts.groupBy("bucket").cogroup(counted).applyInArrow(_look_up, _PARTS.replace("hashes binary, ", "") + ", found binary")
+    looked = parts.groupBy("bucket").cogroup(counted).applyInArrow(_look_up, _PARTS)
     return looked.groupBy("run").applyInArrow(_finish(model.train_tokens, model.train_types, model.token_prior, model.pair_prior), _RESULT)
