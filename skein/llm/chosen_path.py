@@ -7,10 +7,9 @@ again. One tree finds a pair at the threshold with probability 0.63 at depth 1 a
 resolve at depth 2 with probability 1e-7, over the agreement of its signatures. The FIRST_TREES trees of depth 1 get no credit: on large tables their nodes are beside unlike documents.
 
 A node that stays large is one of documents that share something very common, such as a passage. Tokens of that do not part its members, and paths through them would go from one large node to the
-next. Its members therefore branch by the tokens that they do not share with the node's first member only (as long as they have NEAR of them): such a token is chosen so often that a pair at the
-threshold still shares OFTEN branches on average where all tokens in which it differs are among those, and more otherwise. Members that are near the first member branch by all tokens. In simulations of
-30,000 pairs at the threshold, all of whose nodes stay large down to depth 5, none was missed where the first member has none, a third, 0.6 or 0.7 of a document's tokens; in the worst case (0.6, and
-the pair differs in the other tokens only) 5 were, 1.7e-4.
+next. Its members therefore branch by the tokens only that they share with none of HUBS members of the node (as long as they have APART of them): such a token is chosen so often that a pair at the
+threshold still shares OFTEN branches on average where all tokens in which it differs are among those, and more otherwise. A member that differs from one of these in fewer than NEAR tokens is a guest of that
+one's cluster: guests are compared with it, and each other, exhaustively. Members that are near none, but have fewer than NEAR tokens of their own, branch by all tokens too.
 
 What keeps the work in proportion to the input, also where a third of all documents are copies:
 - documents with the same set are one from the start (their smallest id);
@@ -37,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, mix64, shingle_sets, slices, spanning, text_arrays
 from .components import components
 
-TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, BLOCK, WEAK = 64, 28, 8, 20, 8, 512, 0.5
-#: Below NEAR[0] tokens that differ from the first member's a document branches by all of its tokens, from NEAR[1] on by those, between them by both. How often: by those (but once at depth 2), by all.
-NEAR, REPEATS, NEAR_REPEATS, OFTEN = (6, 24), 2, 2, 1.5
+TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, BLOCK, WEAK = 64, 24, 8, 20, 8, 512, 0.5
+#: From APART tokens on that no hub of its node has a document branches by those; below NEAR it is near a hub. How often it branches, but once at depth 2, and by all tokens.
+HUBS, APART, NEAR, OFTEN, REPEATS, ALL_REPEATS = 3, 6, 24, 1.5, 2, 2
 _SEEDS = np.random.default_rng(0xC4A1).integers(1, 1 << 31, (TOKENS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = np.random.default_rng(0xC4A2).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 
@@ -117,27 +116,31 @@ def _branches(similarity: float, trees: range, depth: int):
 
 
 def _deeper(similarity: float, repeats: int):
-    """Rows of (node, doc, comp, used, sig, hub_sig) one level further down, in independent repeats; hub_sig is that of the node's first member."""
+    """Rows of (node, doc, comp, used, sig, hub_comps, hub_sigs) one level further down, in independent repeats; guests have the cluster that they are compared with instead of a node. hub_*: of some members of the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lost = (1 - similarity) * TOKENS
+        none = pa.scalar(None, pa.int64())
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sig, hub = (_signatures(part.column(c)) for c in ("sig", "hub_sig"))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sig, hubs = _signatures(part.column("sig")), _signatures(part.column("hub_sigs")).reshape(-1, HUBS, TOKENS)
+                comps = np.frombuffer(b"".join(part.column("hub_comps").to_pylist()), np.int64).reshape(-1, HUBS)
                 node, used = (part.column(c).to_numpy().view(np.uint64) for c in ("node", "used"))
-                free = _unused(used)
-                own = free & (sig != hub)
-                n = own.sum(1)
-                for r in range(repeats):
-                    # By what the first member has not: what may be left of that in a partner, but three tenths at least.
-                    x = np.flatnonzero(n >= NEAR[0])
-                    row, child, token = _chosen(sig[x], mix64(node[x] + np.uint64(2 * r + 1)), own[x], np.maximum(n[x] - lost, 0.3 * n[x]) / OFTEN)
-                    yield _branch_rows(child, part, x[row], used[x[row]] | token)
-                for r in range(NEAR_REPEATS):
-                    x = np.flatnonzero(n < NEAR[1])
-                    row, child, token = _chosen(sig[x], mix64(node[x] + np.uint64(2 * r)), free[x], np.full(len(x), similarity * TOKENS))
-                    yield _branch_rows(child, part, x[row], used[x[row]] | token)
+                free, like = _unused(used), hubs == sig[:, None, :]
+                apart = (~like & free[:, None, :]).sum(2)
+                first, own = apart.argmin(1), free & ~like.any(1)
+                n, close = own.sum(1), apart.min(1) < NEAR
+                near = np.flatnonzero(close)
+                guests = _branch_rows(np.zeros(len(near), np.uint64), part, near, used[near])
+                yield guests.append_column("guest_of", pa.array(comps[near, first[near]]))
+                # By what no hub has: what may be left of that in a partner, but three tenths at least.
+                ways = [(np.flatnonzero(n >= APART), own, np.maximum(n - lost, 0.3 * n) / OFTEN, r) for r in range(repeats)]
+                ways += [(np.flatnonzero(~close & (n < NEAR)), free, np.full(len(n), similarity * TOKENS), repeats + r) for r in range(ALL_REPEATS)]
+                for x, allowed, per, salt in ways:
+                    row, child, token = _chosen(sig[x], mix64(node[x] + np.uint64(salt)), allowed[x], per[x])
+                    rows = _branch_rows(child, part, x[row], used[x[row]] | token)
+                    yield rows.append_column("guest_of", pa.nulls(rows.num_rows, none.type))
 
     return run
 
@@ -238,11 +241,22 @@ class Join:
         self.docs, self.sets, self.work, self.width, self.percent = docs, sets, work, width, percent
         self.similarity = percent / 100
 
-    def _nodes(self, rows: DataFrame) -> DataFrame:
-        """Nodes of at least two documents of different clusters, with their size and first member in a hashed order."""
-        first = F.min(F.struct(F.xxhash64("doc", "node").alias("h"), "doc", "comp"))
-        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), first.alias("hub"))
-        return nodes.where("n > 1 and lo < hi").select("node", "n", F.col("hub.doc").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+    def _nodes(self, rows: DataFrame, hubs: int = 1) -> DataFrame:
+        """Nodes of at least two documents of different clusters, with their size and first members in hashed orders (hub0, hub0_comp, ...)."""
+        first = [F.min(F.struct(F.xxhash64("doc", "node", F.lit(k)).alias("h"), "doc", "comp")).alias(f"_{k}") for k in range(hubs)]
+        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *first)
+        return nodes.where("n > 1 and lo < hi").select("node", "n", *(x for k in range(hubs) for x in (F.col(f"_{k}.doc").alias(f"hub{k}"), F.col(f"_{k}.comp").alias(f"hub{k}_comp"))))
+
+    def _with_hubs(self, large: DataFrame) -> DataFrame:
+        """Rows of large nodes with their signatures, and their nodes' hubs as two binaries. The hubs are looked up once a node."""
+        names = [f"hub{k}" for k in range(HUBS)]
+        nodes = large.select("node", *names, *(f"{h}_comp" for h in names)).dropDuplicates(["node"])
+        for h in names:
+            nodes = nodes.join(self.sets.select(F.col("doc").alias(h), F.col("sig").alias(f"{h}_sig")), h)
+        as_bytes = lambda c: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(8))))
+        nodes = nodes.select("node", F.concat(*(as_bytes(F.col(f"{h}_comp")) for h in names)).alias("hub_comps"), F.concat(*(f"{h}_sig" for h in names)).alias("hub_sigs"))
+        rows = large.select("node", "doc", "comp", "used").join(self.sets.select("doc", "sig"), "doc")
+        return rows.join(self.work.keep(nodes, "hubs"), "node").select("node", "doc", "comp", "used", "sig", "hub_comps", "hub_sigs")
 
     def _likely(self, pairs: DataFrame, least: float) -> DataFrame:
         """Pairs whose sizes and signatures do not rule out that similarity."""
@@ -255,8 +269,8 @@ class Join:
     def clusters(self) -> DataFrame:
         """(node, component) of documents in clusters by weak links."""
         rows = self.sets.select("doc", F.col("doc").alias("comp"), "sig").mapInArrow(_branches(self.similarity, range(FIRST_TREES), 1), _BRANCHES)
-        nodes = self._nodes(rows).select("node", "hub")
-        stars = rows.select("node", "doc").join(nodes, "node").where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
+        nodes = self._nodes(rows).select("node", "hub0")
+        stars = rows.select("node", "doc").join(nodes, "node").where("doc <> hub0").select(F.col("doc").alias("a"), F.col("hub0").alias("b")).distinct()
         return self.work.keep(components(self._likely(stars, WEAK), self.work), "clusters")
 
     def candidates(self, trees: range, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,24 +280,29 @@ class Join:
         rows = start.mapInArrow(_branches(self.similarity, trees, 2), _BRANCHES)
         pairs, guests = [], []
         for depth in range(2, MAX_DEPTH + 1):
-            live = self.work.keep(rows.join(self._nodes(rows), "node"), "live")
+            live = self.work.keep(rows.join(self._nodes(rows, HUBS), "node"), "live")
             small = live.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("doc", "comp"))).alias("m"))
             two = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SMALL)), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b"), (x["comp"] != y["comp"]).alias("new")))))
             pairs.append(small.select(F.explode(F.filter(two, lambda p: p["new"])).alias("p")).select("p.a", "p.b"))
             large = live.where(F.col("n") > SMALL)
             if not large.take(1):
                 break
-            of_hub = F.sum(F.when(F.col("comp") == F.col("hub_comp"), 1).otherwise(0))
+            of_hub = F.sum(F.when(F.col("comp") == F.col("hub0_comp"), 1).otherwise(0))
             mostly_one = self.work.keep(large.groupBy("node").agg(of_hub.alias("same"), F.max("n").alias("n")).where("2 * same >= n").select("node"), "mostly_one")
-            guests.append(large.join(mostly_one, "node", "left_semi").where("comp <> hub_comp").select(F.col("doc").alias("node"), F.col("hub_comp").alias("component")))
+            guests.append(large.join(mostly_one, "node", "left_semi").where("comp <> hub0_comp").select(F.col("doc").alias("node"), F.col("hub0_comp").alias("component")))
             large = large.join(mostly_one, "node", "left_anti")
             if depth < MAX_DEPTH:
-                with_sig = large.join(self.sets.select("doc", "sig"), "doc").join(self.sets.select(F.col("doc").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-                rows = with_sig.select("node", "doc", "comp", "used", "sig", "hub_sig").mapInArrow(_deeper(self.similarity, 1 if depth == 2 else REPEATS), _BRANCHES)
+                rows = self._with_hubs(large).mapInArrow(_deeper(self.similarity, 1 if depth == 2 else REPEATS), _BRANCHES + ", guest_of long")
+                rows = self.work.keep(rows, "rows")
+                near = rows.where("guest_of is not null and comp <> guest_of").select(F.col("doc").alias("node"), F.col("guest_of").alias("component")).distinct()
+                guests.append(near)
+                # A first member without a cluster is one of its own, with its guests.
+                guests.append(near.select(F.col("component").alias("node"), "component").distinct())
+                rows = rows.where("guest_of is null").drop("guest_of")
             else:
                 # Members outside the first member's cluster, against all others.
-                q = large.where("comp <> hub_comp").select("node", F.col("doc").alias("q"), F.col("comp").alias("q_comp"))
-                cross = large.join(q, "node").where("comp <> q_comp and (comp = hub_comp or doc < q)")
+                q = large.where("comp <> hub0_comp").select("node", F.col("doc").alias("q"), F.col("comp").alias("q_comp"))
+                cross = large.join(q, "node").where("comp <> q_comp and (comp = hub0_comp or doc < q)")
                 pairs.append(cross.select(F.least("doc", "q").alias("a"), F.greatest("doc", "q").alias("b")))
         found = pairs[0]
         for p in pairs[1:]:
@@ -291,6 +310,7 @@ class Join:
         of_clusters = clusters.limit(0)
         for g in guests:
             of_clusters = of_clusters.unionByName(g)
+        of_clusters = of_clusters.join(clusters, ["node", "component"], "left_anti")
         return self.work.keep(self._likely(found.distinct(), self.similarity - 0.25), "likely"), self.work.keep(of_clusters.distinct(), "guests")
 
     def links(self, clusters: DataFrame, likely: DataFrame) -> DataFrame:
