@@ -24,7 +24,6 @@ tokens (a bound, not a share of the vocabulary) are broadcast. The base score ne
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -47,7 +46,8 @@ RUN_BYTES, RUN_DOCS, BLOCK, SUM_GROUPS = 5 << 20, 60_000, 20_000, 64
 CHUNK = 1 << 16
 CACHE_TOKENS = 2_000_000
 END = np.uint64(0x0A0A0A0A0A0A0A0A)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _PAIR_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFF00)
+_CODEC = pa.Codec("zstd", compression_level=1)
 _NODE_MIX = np.random.default_rng(0x11).integers(1, 1 << 32, 512, dtype=np.uint32)
 
 
@@ -86,6 +86,29 @@ def tokens_of(data: np.ndarray, off: np.ndarray) -> Tokens:
     return Tokens(low, hashes, first, at, size)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """An array in few bytes: its bytes by place, those that say most first, compressed. It begins with the width and the number of its elements."""
+    if x.dtype.kind in "iu":
+        x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def loosened(raw: bytes, kind: str = "u") -> np.ndarray:
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    body = _CODEC.decompress(raw[9:], width * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, n).T).view(f"{kind}{width}").ravel()
+
+
+def squeezed_sorted(x: np.ndarray) -> bytes:
+    """Sorted 64-bit hashes, by their differences."""
+    return squeezed(np.diff(x, prepend=np.uint64(0)))
+
+
+def loosened_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(loosened(raw).astype(np.uint64), dtype=np.uint64)
+
+
 def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Numbered slices of a task's rows."""
     from pyspark import TaskContext
@@ -103,10 +126,10 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pairs_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it."""
+    """A hash of each token with the one before it, 56 bits of it."""
     before = np.concatenate([[END], hashes[:-1]])
     before[first[:-1]] = END
-    return mix64(hashes + mix64(before) * _ODD)
+    return mix64(hashes + mix64(before) * _ODD) & _PAIR_BITS
 
 
 # ------------------------------------------------------------------ counts of tokens, pairs and bytes
@@ -131,8 +154,8 @@ def _count_tokens(buckets: int):
                     [
                         pa.array(np.full(len(some), kind), pa.int64()),
                         pa.array(some, pa.int64()),
-                        pa.array([hashes[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-                        pa.array([count[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
+                        pa.array([squeezed_sorted(hashes[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
+                        pa.array([squeezed(count[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
                         pa.array([of_bytes.tobytes() if kind == TOKEN and k == 0 else None for k in range(len(some))], pa.binary()),
                     ],
                     names=["kind", "bucket", "hashes", "counts", "bytes"],
@@ -142,12 +165,12 @@ def _count_tokens(buckets: int):
 
 
 def _sum_tokens(key, table):
-    hashes, inverse = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()]), minlength=len(hashes)).astype(np.int64)
+    hashes, inverse = np.unique(np.concatenate([loosened_sorted(x.as_py()) for x in table.column("hashes")]), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([loosened(x.as_py()) for x in table.column("counts")]), minlength=len(hashes)).astype(np.int64)
     of_bytes = sum((np.frombuffer(x, np.int64) for x in table.column("bytes").to_pylist() if x is not None), np.zeros(256, np.int64))
     sizes = np.bincount(np.floor(np.log2(counts) * 8).astype(np.int64), minlength=512)
     return pa.table(
-        [*(pa.array([k.as_py()], pa.int64()) for k in key), pa.array([hashes.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(hashes)]), pa.array([of_bytes.tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))],
+        [*(pa.array([k.as_py()], pa.int64()) for k in key), pa.array([squeezed_sorted(hashes)], pa.binary()), pa.array([squeezed(counts)], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(hashes)]), pa.array([of_bytes.tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))],
         names=[c.split()[0] for c in _VOCABULARY.split(", ")],
     )
 
@@ -409,33 +432,33 @@ def _gather(codes: Codes):
                 for k in range(0, len(table), CHUNK):
                     block = table[k : k + CHUNK]
                     if block.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([k // CHUNK], pa.int64()), pa.array([part], pa.int64()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], names=["kind", "chunk", "part", "block"])
+                        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([k // CHUNK], pa.int64()), pa.array([part], pa.int64()), pa.array([squeezed(block)], pa.binary())], names=["kind", "chunk", "part", "block"])
 
     return run
 
 
-def _total(kind: int, table: pa.Table, raw: type) -> np.ndarray:
+def _total(table: pa.Table) -> np.ndarray:
     total = 0
     for x in table.column("block"):
-        total = total + np.frombuffer(zlib.decompress(x.as_buffer()), raw if kind < len(TABLE_BITS) else np.float64).astype(np.float64)
+        total = total + loosened(x.as_py(), "f").astype(np.float64)
     return total
 
 
 def _sum_part(key, table):
     """A block summed over a group of tasks."""
     kind, chunk, part = (k.as_py() for k in key)
-    return pa.table([pa.array([kind]), pa.array([chunk]), pa.array([part]), pa.array([zlib.compress(_total(kind, table, np.float32).tobytes(), 1)], pa.binary())], names=["kind", "chunk", "part", "block"])
+    return pa.table([pa.array([kind]), pa.array([chunk]), pa.array([part]), pa.array([squeezed(_total(table).astype(np.float32 if kind < len(TABLE_BITS) else np.float64))], pa.binary())], names=["kind", "chunk", "part", "block"])
 
 
 def _sum_blocks(key, table):
     """A block summed over all groups: of a table, its entries of 6 and 2 bits; of what the mixers learned, the sums."""
     kind = key[0].as_py()
-    total = _total(kind, table, np.float64)
+    total = _total(table)
     if kind < len(TABLE_BITS):
         n = total.reshape(-1, 2)
         st = np.clip(np.round((np.log(n[:, 1] + DELTA) - np.log(n[:, 0] + DELTA)) * STEP), -31, 31).astype(np.int64) + 32
         total = (st * 4 + np.searchsorted(SEEN, n.sum(1), "right")).astype(np.uint8)
-    return pa.table([pa.array([kind]), pa.array([key[1].as_py()]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["kind", "chunk", "block"])
+    return pa.table([pa.array([kind]), pa.array([key[1].as_py()]), pa.array([squeezed(total)], pa.binary())], names=["kind", "chunk", "block"])
 
 
 _ENTRY = ((np.arange(256) >> 2) - 32).astype(np.float32) / np.float32(STEP)
@@ -523,12 +546,11 @@ def assemble(blocks: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     width = 1 + len(TABLE_BITS)
     learned = np.zeros(GATES * (width + 1 + 2 * MAP_BUCKETS))
     for kind, chunk, block in zip(*(blocks.column(c).to_pylist() for c in ("kind", "chunk", "block")), strict=True):
-        raw = zlib.decompress(block)
+        x = loosened(block, "u" if kind < len(tables) else "f")
         if kind < len(tables):
             k = chunk * (CHUNK // 2)
-            tables[kind][k : k + len(raw)] = np.frombuffer(raw, np.uint8)
+            tables[kind][k : k + len(x)] = x
         else:
-            x = np.frombuffer(raw)
             learned[chunk * CHUNK : chunk * CHUNK + len(x)] = x
     w, used, ones, all_ = np.split(learned, np.cumsum([GATES * width, GATES, GATES * MAP_BUCKETS]))
     mixer = Mixer.new()
@@ -571,7 +593,7 @@ def train(docs: DataFrame, work: Workspace) -> tuple[Model, DataFrame, int]:
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
+                h, c = loosened_sorted(h), loosened(c).astype(np.int64)
                 some = c >= np.ceil(least - 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array([h[some].tobytes()], pa.binary()), pa.array([c[some].tobytes()], pa.binary())], names=["hashes", "counts"])
 
@@ -583,7 +605,7 @@ def train(docs: DataFrame, work: Workspace) -> tuple[Model, DataFrame, int]:
     codes = codes_of(top, counts, n, spelling)
     blocks = texts.mapInArrow(_gather(codes), "kind long, chunk long, part long, block binary")
     parts = blocks.groupBy("kind", "chunk", "part").applyInArrow(_sum_part, "kind long, chunk long, part long, block binary")
-    summed = parts.groupBy("kind", "chunk").applyInArrow(_sum_blocks, "kind long, chunk long, block binary").toArrow()
+    summed = work.keep(parts, "tables").groupBy("kind", "chunk").applyInArrow(_sum_blocks, "kind long, chunk long, block binary").toArrow()
     token_prior, pair_prior = priors(n, sizes, by_place("sizes", 512, PAIR))
     return Model(codes, *assemble(summed), top, counts, n, v, token_prior=token_prior, pair_prior=pair_prior), vocabulary, buckets
 
@@ -615,43 +637,33 @@ def _score_runs(shared, buckets: int):
             table = np.zeros(len(n), _ROWS)
             table["id"], table["null"], table["held"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), part.column("held").to_numpy(zero_copy_only=False)
             table["n"], table["size"] = n, np.add.reduceat(t.sizes + 1, t.first[:-1])
-            sent = [counts.astype(np.int64), _symbols(m.codes.classes, hashes).astype(np.uint8), spelled]
-            rows = [(number % buckets, number, None, hashes.tobytes(), table.tobytes(), *(x.tobytes() for x in sent), _narrow(place), of_context.astype(np.float32).tobytes())]
+            sent = [counts + 1, _symbols(m.codes.classes, hashes).astype(np.uint8), spelled]
+            rows = [(number % buckets, number, None, squeezed_sorted(hashes), table.tobytes(), *map(squeezed, sent), squeezed(place), squeezed(of_context.astype(np.float32)))]
             # A bucket is a range of hashes, so what is in order is in order of buckets too.
             for kind, x in ((TOKEN, hashes[~known]), (PAIR, np.unique(pairs_of(t.hashes, t.first)))):
                 cut = np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1))
-                rows += [(int(b), number, kind, x[cut[b] : cut[b + 1]].tobytes(), *[None] * 6) for b in np.flatnonzero(np.diff(cut))]
+                rows += [(int(b), number, kind, squeezed_sorted(x[cut[b] : cut[b + 1]]), *[None] * 6) for b in np.flatnonzero(np.diff(cut))]
             names, types = [f.split()[0] for f in _PARTS.split(", ")], [pa.int64()] * 3 + [pa.binary()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs; the first byte says how many."""
-    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
-    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
-
-
 def _look_up(key, parts, vocabulary):
     """The rows of runs as they are, and counts in place of the hashes to look up."""
-    known = {k: (np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)) for k, h, c in zip(*(vocabulary.column(c).to_pylist() for c in ("kind", "hashes", "counts")), strict=True)}
+    known = {k: (loosened_sorted(h), loosened(c).astype(np.int64)) for k, h, c in zip(*(vocabulary.column(c).to_pylist() for c in ("kind", "hashes", "counts")), strict=True)}
     found = []
     for kind, raw in zip(parts.column("kind").to_pylist(), parts.column("hashes"), strict=True):
         if kind is None:
             found.append(raw.as_py())
             continue
-        hashes = np.frombuffer(raw.as_buffer(), np.uint64)
+        hashes = loosened_sorted(raw.as_py())
         out = np.zeros(len(hashes), np.int64)
         if kind in known:
             words, counts = known[kind]
             at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
             out = np.where(words[at] == hashes, counts[at], 0)
-        found.append(_narrow(out))
+        found.append(squeezed(out))
     return parts.set_column(parts.column_names.index("hashes"), "hashes", pa.array(found, pa.binary()))
 
 
@@ -660,11 +672,11 @@ def _finish(n_train: int, v_train: int, token_prior: float, pair_prior: float):
         rows = sorted(table.to_pylist(), key=lambda r: (-1 if r["kind"] is None else r["kind"], r["bucket"]))
         own = rows[0]
         t = np.frombuffer(own["rows"], _ROWS)
-        hashes, counts, classes, spelled, contexts = (np.frombuffer(own[c], k) for c, k in (("hashes", np.uint64), ("counts", np.int64), ("classes", np.uint8), ("spelled", np.float32), ("contexts", np.float32)))
-        got = [np.concatenate([np.empty(0, np.int64), *(_wide(r["hashes"]) for r in rows if r["kind"] == k)]) for k in (TOKEN, PAIR)]
-        counts = counts.copy()
+        hashes, counts = loosened_sorted(own["hashes"]), loosened(own["counts"]).astype(np.int64) - 1
+        classes, spelled, contexts = loosened(own["classes"]), loosened(own["spelled"], "f"), loosened(own["contexts"], "f")
+        got = [np.concatenate([np.empty(0, np.int64), *(loosened(r["hashes"]).astype(np.int64) for r in rows if r["kind"] == k)]) for k in (TOKEN, PAIR)]
         counts[counts < 0] = got[TOKEN]
-        place = _wide(own["places"])
+        place = loosened(own["places"]).astype(np.int64)
         stop = np.cumsum(t["n"])
         start = stop - t["n"]
         first = np.append(start, stop[-1])
