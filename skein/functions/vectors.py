@@ -28,5 +28,6 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    """Of unit length; a zero vector stays."""
-    return F.when(norm(a) > 0, F.transform(double(a), lambda x: x / norm(a))).otherwise(double(a))
+    """Of unit length; a zero vector stays. The norm is taken once, outside the function of each component."""
+    scaled = F.transform(F.array(F.struct(double(a).alias("v"), norm(a).alias("n"))), lambda x: F.transform(x["v"], lambda y: y / x["n"]))[0]
+    return F.when(norm(a) > 0, scaled).otherwise(double(a))

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from .graph import name_of, rank_of
 
 # What counts as a technical value, an address and a protocol, and values that need no source.
-VALUE = r"\b((?:\d+(?:\.\d+)?)\s*(?:bits|bit|kb|mb|gb|stages|stage|words|word|bytes|byte|cycles|cycle|channels|channel|ways|way|lines|line|entries|entry|taps|tap))\b"
-ADDRESS = r"\b(0x[0-9a-f]{4,})\b"
-PROTOCOL = r"\b(i2s|spi|uart|pcie|i2c|mipi|hdmi|displayport|thunderbolt)\b"
+VALUE = (
+    r"\b(\d+(?:\.\d+)?)\s*"
+    r"(?:bit|bits|kb|mb|gb|stage|stages|"
+    r"word|words|byte|bytes|cycle|cycles|channel|channels|way|ways|"
+    r"line|lines|entry|entries|tap|taps)\b"
+)
+ADDRESS = r"\b0x[0-9a-fA-F]{4,}\b"
+PROTOCOL = (
+    r"\b(i2s|spi(?!\s*nor)|uart|pcie|can\s*bus|i2c|mipi|hdmi|displayport|"
+    r"thunderbolt|usb\s*3|ethernet\s*mac)\b"
+)
 BENIGN = ("32 bit", "64 bit", "16 bit", "8 bit", "1 bit", "2 bit", "1 kb", "2 kb", "4 kb", "50 mhz", "100 mhz", "200 mhz", "1 cycle", "2 cycle")
 
 
@@ -51,31 +59,59 @@ def contradictions(nodes: DataFrame, edges: DataFrame, all_nodes: DataFrame) ->
     return touched.join(comps, F.col("from_id") == F.col("node_id"), "left_anti").join(comps, F.col("to_id") == F.col("node_id"), "left_anti")
 
 
-def gate(nodes: DataFrame, edges: DataFrame, all_nodes: DataFrame, require_evidence: bool = True) -> DataFrame:
-    """One row: superseded, uncertain, gaps and contradictions counted, evidence, overall confidence, and passed, which only fails where evidence is asked for, something is wrong and there is none.
+def superseded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that others supersede, with the list of those in order."""
+    by = edges.where("edge_type = 'SUPERSEDES'").groupBy(F.col("to_id").alias("node_id")).agg(F.array_sort(F.collect_set("from_id")).alias("superseded_by"))
+    return nodes.join(by, "node_id")
 
-    Superseded nodes are taken out first."""
+
+def gate(members: DataFrame, nodes: DataFrame, edges: DataFrame, require_evidence: bool = True) -> DataFrame:
+    """One row per answer of members (answer, node_id): superseded, uncertain, gaps and contradictions counted, evidence, overall confidence, and passed, which only fails where evidence is asked for, something is wrong and there is none.
+
+    Superseded nodes are taken out first. Confidence is the weakest of the live nodes and the edges between them; an edge that says nothing is MEDIUM.
+    """
+    members = members.select("answer", "node_id").distinct()
     old = edges.where("edge_type = 'SUPERSEDES'").select(F.col("to_id").alias("node_id")).distinct()
-    live = nodes.join(old, "node_id", "left_anti")
+    live = members.join(old, "node_id", "left_anti").join(nodes.select("node_id", "node_type", "confidence"), "node_id")
+    ids = live.select("answer", "node_id", "node_type")
     implemented = edges.where("edge_type = 'IMPLEMENTS'").select(F.col("to_id").alias("node_id"))
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    row = one(nodes.join(old, "node_id", "left_semi"), "superseded")
+    comps = nodes.where("node_type = 'COMPONENT'").select("node_id")
+    c = edges.where("edge_type = 'CONTRADICTS'").select("from_id", "to_id").distinct()
+    c = c.join(comps, F.col("from_id") == F.col("node_id"), "left_anti").join(comps, F.col("to_id") == F.col("node_id"), "left_anti")
+    touching = c.withColumn("node_id", F.explode(F.array("from_id", "to_id"))).join(ids, "node_id").select("answer", "from_id", "to_id").distinct()
+    proof = nodes.where("node_type = 'EVIDENCE'").select(F.col("node_id").alias("to_id"))
+    direct = edges.where("edge_type = 'VERIFIED_BY'").join(proof, "to_id", "left_semi").select(F.col("from_id").alias("node_id")).distinct()
+    proved = ids.join(direct, "node_id", "left_semi").select("answer", "node_id")
+    own = ids.where("node_type = 'EVIDENCE'").select("answer", F.col("node_id").alias("to_id")).join(edges.select("from_id", "to_id"), "to_id").select("answer", F.col("from_id").alias("node_id"))
+    proved = proved.unionByName(own.join(ids, ["answer", "node_id"], "left_semi")).distinct()
+    e = edges.select("from_id", "to_id", F.coalesce("confidence", F.lit("MEDIUM")).alias("confidence"))
+    inner = e.join(ids.select("answer", F.col("node_id").alias("from_id")), "from_id").join(ids.select("answer", F.col("node_id").alias("to_id")), ["answer", "to_id"]).select("answer", "confidence")
+    level = live.select("answer", "confidence").unionByName(inner).groupBy("answer").agg(F.min(rank_of(F.col("confidence"))).alias("r"))
+    out = members.select("answer").distinct()
     for df, name in (
-        (uncertain(live), "uncertain"),
-        (live.where("node_type = 'REQUIREMENT'").join(implemented, "node_id", "left_anti"), "gaps"),
-        (contradictions(live, edges, all_nodes), "contradictions"),
-        (evidenced(live, edges, all_nodes), "evidence"),
+        (members.join(old, "node_id", "left_semi"), "superseded"),
+        (live.where(F.contains("confidence", F.lit("PARSE_UNCERTAIN"))), "uncertain"),
+        (ids.where("node_type = 'REQUIREMENT'").join(implemented, "node_id", "left_anti"), "gaps"),
+        (touching, "contradictions"),
+        (proved, "evidence"),
     ):
-        row = row.crossJoin(one(df, name))
-    inner = edges.join(live.select(F.col("node_id").alias("from_id")), "from_id", "left_semi").join(live.select(F.col("node_id").alias("to_id")), "to_id", "left_semi")
-    row = row.crossJoin(overall_confidence(live, inner))
+        out = out.join(df.groupBy("answer").agg(F.count("*").alias(name)), "answer", "left").fillna({name: 0})
+    out = out.join(level, "answer", "left").withColumn("confidence", name_of(F.coalesce("r", F.lit(0)))).drop("r")
     wrong = (F.col("uncertain") + F.col("gaps") + F.col("contradictions") > 0) | (F.col("evidence") == 0)
-    return row.withColumn("passed", ~(F.lit(require_evidence) & wrong & (F.col("evidence") == 0)))
+    return out.withColumn("passed", ~(F.lit(require_evidence) & wrong & (F.col("evidence") == 0)))
 
 
 def ungrounded(answers: DataFrame) -> DataFrame:
-    """Of answers (key, answer, corpus) the values, addresses and protocols that the corpus does not hold: (key, kind, value), each once."""
-    low = F.lower("answer")
-    found = F.concat(*(F.transform(F.regexp_extract_all(low, F.lit(p), 1), lambda v, k=k: F.struct(F.lit(k).alias("kind"), F.trim(v).alias("value"))) for k, p in (("value", VALUE), ("address", ADDRESS), ("protocol", PROTOCOL))))
-    rows = answers.select("key", F.lower(F.coalesce("corpus", F.lit(""))).alias("c"), F.explode(F.array_distinct(found)).alias("f"))
-    return rows.where(~F.col("f.value").isin(*BENIGN) & ~F.contains("c", F.col("f.value"))).select("key", "f.kind", "f.value")
+    """Of answers (key, answer, corpus) what the corpus does not hold: (key, kind, value), each once.
+
+    A value is grounded by itself, without its blanks, or by its number alone where that has two characters or more and stands as a word; addresses and protocols by themselves.
+    """
+    low = F.lower(F.coalesce("answer", F.lit("")))
+    whole = lambda p, g: F.transform(F.regexp_extract_all(low, F.lit(p), g), lambda v: F.trim(v))
+    values = F.zip_with(whole(VALUE, 0), whole(VALUE, 1), lambda v, n: F.struct(F.lit("value").alias("kind"), v.alias("value"), n.alias("number")))
+    named = lambda kind, a: F.transform(a, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit("").alias("number")))
+    every = F.concat(values, named("address", whole(ADDRESS, 0)), named("protocol", whole(PROTOCOL, 1)))
+    rows = answers.select("key", F.lower(F.coalesce("corpus", F.lit(""))).alias("c"), F.explode(F.array_distinct(every)).alias("f")).select("key", "c", "f.*")
+    word = (F.length("number") >= 2) & F.regexp_like(F.col("c"), F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace("number", r"\.", r"\\."), F.lit(r"(?![\p{L}\p{N}_])")))
+    ok = F.contains("c", F.col("value")) | ((F.col("kind") == "value") & (F.col("value").isin(*BENIGN) | word | F.contains("c", F.replace("value", F.lit(" "), F.lit("")))))
+    return rows.where(~ok).select("key", "kind", "value").distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The closed enumerations of the data model.
@@ -18,13 +18,22 @@ EDGE_TYPES = ("DECOMPOSES_TO", "MOTIVATED_BY", "ALTERNATIVE_TO", "IMPLEMENTS", "
 CONFIDENCE = ("PARSE_UNCERTAIN", "MEDIUM", "HIGH")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, a temporary one of this machine, which is right for a session on one machine only: others must set it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = getattr(spark.sparkContext, "_skein_dir", None) or tempfile.mkdtemp(prefix="skein-")
+        spark.sparkContext._skein_dir = base
+    return base.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, written to the cluster's shared folder and read again: lineage ends there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/skein-graph/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/skein-graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ------------------------------------------------------------------ confidence
@@ -112,6 +121,11 @@ def neighbours(edges: DataFrame, seeds: DataFrame, types: tuple[str, ...] | None
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def edge(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """The edges from one node to another."""
+    return edges.where((F.col("from_id") == start) & (F.col("to_id") == end))
+
+
 def undirected_pairs(hits: DataFrame) -> DataFrame:
     """One row a pair of nodes and type, whichever end the seed was."""
     a, b = F.least("seed", "node_id"), F.greatest("seed", "node_id")

@@ -1,13 +1,10 @@
 """Vector top-k, and fusion of ranked lists.
 
-Queries are a table, so many questions are one plan. A query table is broadcast up to QUERY_ROWS; a larger one is refused by topk() and goes through
-topk_blocked(), which compares blocks of queries with blocks of vectors by matrix products and keeps k a query and block before the shuffle.
+Queries are a table of any size, so many questions are one plan: blocks of queries meet blocks of vectors in matrix products, and n a query, group and block are kept before the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,94 +12,88 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
-QUERY_ROWS = 10_000
-#: Queries and vectors of a block of per_group().
-GROUP_QUERIES, GROUP_VECTORS = 1000, 10_000
+#: Queries and vectors of a block.
+BLOCK_QUERIES, BLOCK_VECTORS = 1000, 10_000
 RRF_K = 60
 
 
-def scored(data: DataFrame, queries: DataFrame, measure: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, ..., similarity) of every vector and query (query_id, query_vector). QUERY_ROWS queries at most."""
-    if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries: use topk_blocked")
-    f = {"cosine": V.cosine, "dot": V.dot, "euclidean": lambda a, b: 0.0 - V.euclidean(a, b)}[measure]
-    return data.join(F.broadcast(queries)).withColumn("similarity", f(F.col(vector), F.col("query_vector"))).drop(vector, "query_vector")
-
-
 def ranked(hits: DataFrame, k: int, group: str = "query_id", by: str = "similarity", key: str = "vec_id") -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc_nulls_last(by), key)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def topk(data: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", threshold: float | None = None, where: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest of each query, rounded to 4 digits. A filter on the data comes first, the threshold on similarity last: after the limit."""
-    data = data.where(where) if where is not None else data
-    hits = ranked(scored(data, queries, measure, key, vector), k, key=key).withColumn("similarity", F.round("similarity", 4))
-    return hits.where(F.col("similarity") >= threshold) if threshold is not None else hits
+def _vectors(t: pa.Table, width: int) -> np.ndarray:
+    """The vectors of a table; rows of NaN where there is none or its length differs."""
+    c = t.column("v").combine_chunks()
+    sizes = np.diff(c.offsets.to_numpy()) if len(c) else np.empty(0, int)
+    ok = (sizes == width) & c.is_valid().to_numpy(zero_copy_only=False)
+    out = np.full((len(c), width), np.nan)
+    flat, start = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()[:-1]
+    at = np.flatnonzero(ok)
+    if len(at) and width:
+        out[at] = flat[start[at][:, None] + np.arange(width)[None, :]]
+    return out
 
 
-def topk_blocked(data: DataFrame, queries: DataFrame, k: int, blocks: int = 16, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest by cosine for any number of queries: (query_id, key, similarity, rank)."""
-    q = queries.select("query_id", "query_vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("qb"))
-    d = data.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("qb"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("db"))
-    q = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+def _similarities(measure: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if measure == "euclidean":
+        return -np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
+    return x @ y.T
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return none
-        x, y = (np.array(t.column(c).to_pylist(), float) for t, c in ((left, "query_vector"), (right, "v")))
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        s, ids, qs = x @ y.T, right.column("id").to_numpy(), left.column("query_id").to_numpy()
-        n = min(k, s.shape[1])
-        best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
-        return pa.table({"query_id": np.repeat(qs, n), "id": ids[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()})
 
-    part = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(run, "query_id long, id long, similarity double")
-    return ranked(part, k, key="id").withColumnRenamed("id", key)
+def _exact(measure: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarities of rows that belong together, by sums in one order, so that equal vectors are equally similar."""
+    return -np.sqrt(((x - y) ** 2).sum(1)) if measure == "euclidean" else (x * y).sum(1)
 
 
-def per_group(data: DataFrame, queries: DataFrame, n: int, group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The n nearest of each query within each group by cosine, without a threshold, for any number of queries: (query_id, group, key, similarity, rank).
+def nearest(data: DataFrame, queries: DataFrame, n: int, group: str | None = None, measure: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The n nearest of each query (query_id, query_vector), within each group if one is named, for any number of queries: (query_id, [group], key, similarity, rank).
 
-    Blocks of queries meet blocks of vectors, and n a query, group and block are kept before the shuffle. A zero or null vector is similar to nothing: null, and last.
+    measure: cosine, dot or euclidean (the negated distance). Ties go by key. What has no similarity (a zero vector by cosine, a null one or one of another length) has null and comes last.
     """
-    q_blocks, d_blocks = (max(1, -(-t.count() // size)) for t, size in ((queries, GROUP_QUERIES), (data, GROUP_VECTORS)))
+    q_blocks, d_blocks = (max(1, -(-t.count() // size)) for t, size in ((queries, BLOCK_QUERIES), (data, BLOCK_VECTORS)))
     number = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), V.double(F.col("query_vector")).alias("v"), number("query_id", q_blocks).alias("qb"), every(d_blocks).alias("db"))
-    d = data.select(F.col(key).cast("long").alias("id"), F.col(group).alias("grp"), V.double(F.col(vector)).alias("v"), every(q_blocks).alias("qb"), number(key, d_blocks).alias("db"))
+    d = data.select(F.col(key).cast("long").alias("id"), (F.col(group) if group else F.lit(0)).alias("grp"), V.double(F.col(vector)).alias("v"), every(q_blocks).alias("qb"), number(key, d_blocks).alias("db"))
     kind = d.schema["grp"].dataType.simpleString()
 
-    def unit(t: pa.Table, width: int) -> np.ndarray:
-        m = np.array([x if x is not None else [0.0] * width for x in t.column("v").to_pylist()], float).reshape(t.num_rows, width)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         qs, ids, groups, found = left.column("query_id"), right.column("id"), right.column("grp"), []
         if left.num_rows and right.num_rows:
-            width = max((len(x) for t in (left, right) for x in t.column("v").to_pylist() if x is not None), default=1)
-            x, y, id_of = unit(left, width), unit(right, width), ids.to_numpy()
+            width = max((len(x) for t in (left, right) for x in t.column("v").combine_chunks() if x.is_valid), default=0)
+            x, y, id_of = _vectors(left, width), _vectors(right, width), ids.to_numpy()
+            if measure == "cosine":
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
             code = groups.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
             for g in range(code.max() + 1):
                 rows = np.flatnonzero(code == g)
-                s = np.nan_to_num(x @ y[rows].T, nan=-2.0)
-                least = np.partition(s, max(0, len(rows) - n), axis=1)[:, max(0, len(rows) - n)]
-                # Those that may be among the n, by sums in one order, so that equal vectors are equally similar.
-                a, b = np.nonzero(s >= least[:, None] - 1e-9)
-                exact = np.nan_to_num((x[a] * y[rows[b]]).sum(1), nan=-2.0)
+                s = np.nan_to_num(_similarities(measure, x, y[rows]), nan=-np.inf)
+                k = max(0, len(rows) - n)
+                least = np.partition(s, k, axis=1)[:, k]
+                # Those that may be among the n.
+                margin = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+                a, b = np.nonzero(s >= (least - (margin if measure != "euclidean" else 1e-6 * (1 + margin)))[:, None])
+                exact = np.nan_to_num(_exact(measure, x[a], y[rows[b]]), nan=-np.inf)
                 order = np.lexsort((id_of[rows[b]], -exact, a))
                 a, b, exact = a[order], rows[b[order]], exact[order]
                 first = np.arange(len(a)) - np.searchsorted(a, a) < n
                 found.append((a[first], b[first], exact[first]))
         a, b, exact = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
-        return pa.table({"query_id": qs.take(pa.array(a)), "grp": groups.take(pa.array(b)), "id": ids.take(pa.array(b)), "similarity": pa.array(exact, pa.float64(), mask=exact < -1.5)})
+        return pa.table({"query_id": qs.take(pa.array(a)), "grp": groups.take(pa.array(b)), "id": ids.take(pa.array(b)), "similarity": pa.array(exact, pa.float64(), mask=np.isneginf(exact))})
 
     part = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(run, f"query_id long, grp {kind}, id long, similarity double")
     w = Window.partitionBy("query_id", "grp").orderBy(F.desc_nulls_last("similarity"), "id")
-    hits = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("similarity", F.round("similarity", 4))
-    return hits.withColumnsRenamed({"grp": group, "id": key})
+    hits = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return hits.withColumnsRenamed({"grp": group, "id": key}) if group else hits.drop("grp").withColumnRenamed("id", key)
+
+
+def topk(data: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", threshold: float | None = None, where: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k nearest of each query, rounded to 4 digits. A filter on the data comes first, the threshold on similarity last: after the limit."""
+    data = data.where(where) if where is not None else data
+    hits = nearest(data, queries, k, None, measure, key, vector).withColumn("similarity", F.round("similarity", 4))
+    return hits.where(F.col("similarity") >= threshold) if threshold is not None else hits
 
 
 def rrf(semantic: DataFrame, lexical: DataFrame, key: str, group: str = "query_id") -> DataFrame:

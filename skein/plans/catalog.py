@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import queries_graph, queries_relational, queries_retrieval  # noqa: F401
+    from . import queries_graph, queries_relational, queries_retrieval, queries_routes, queries_sources  # noqa: F401

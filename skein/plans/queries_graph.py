@@ -1,6 +1,6 @@
 """Graph, linkage and gate queries over a typed graph made of the relational tables, each beside its SQL.
 
-Regions are projects; nations and customers requirements; suppliers and parts components; orders evidence. Foreign keys are typed edges.
+Regions are projects; nations and customers requirements; suppliers and parts components; orders evidence; events decisions; benchmark passages patterns; vectors constraints. Keys are typed edges.
 """
 
 from __future__ import annotations
@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import context as X
 from ..operators import gates as Gt
 from ..operators import graph as G
 from ..operators import linkage as K
-from ..operators.context import type_priority
+from ..operators import retrieval as R
 from .catalog import query, table
 
 NODES = """
@@ -20,7 +21,10 @@ UNION ALL SELECT concat('N', n_nationkey), 'REQUIREMENT', n_name, concat('R', n_
 UNION ALL SELECT concat('C', c_custkey), 'REQUIREMENT', c_name, concat('R', n_regionkey), CASE WHEN c_acctbal < 0 THEN 'PARSE_UNCERTAIN' WHEN c_acctbal < 5000 THEN 'MEDIUM' ELSE 'HIGH' END FROM customer JOIN nation ON c_nationkey = n_nationkey
 UNION ALL SELECT concat('S', s_suppkey), 'COMPONENT', s_name, concat('R', n_regionkey), CASE WHEN s_acctbal < 0 THEN 'PARSE_UNCERTAIN' WHEN s_acctbal < 5000 THEN 'MEDIUM' ELSE 'HIGH' END FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT concat('P', p_partkey), 'COMPONENT', p_name, concat('R', p_partkey % 5), 'HIGH' FROM part
-UNION ALL SELECT concat('O', o_orderkey), 'EVIDENCE', o_orderpriority, NULL, 'HIGH' FROM orders"""
+UNION ALL SELECT concat('O', o_orderkey), 'EVIDENCE', o_orderpriority, NULL, 'HIGH' FROM orders
+UNION ALL SELECT concat('E', event_id), 'DECISION', event_type, concat('R', user_id % 5), CASE WHEN event_type = 'error' THEN 'PARSE_UNCERTAIN' ELSE 'HIGH' END FROM events
+UNION ALL SELECT concat('B', item_id), 'PATTERN', substring(text, 1, 20), NULL, 'HIGH' FROM benchmark
+UNION ALL SELECT concat('V', vec_id), 'CONSTRAINT', concat('label ', label), concat('R', label % 5), 'MEDIUM' FROM embeddings"""
 EDGES = """
 SELECT concat('R', n_regionkey) AS from_id, concat('N', n_nationkey) AS to_id, 'DECOMPOSES_TO' AS edge_type, 'HIGH' AS confidence FROM nation
 UNION ALL SELECT concat('N', c_nationkey), concat('C', c_custkey), 'DECOMPOSES_TO', 'MEDIUM' FROM customer
@@ -29,12 +33,17 @@ UNION ALL SELECT concat('C', o_custkey), concat('O', o_orderkey), 'VERIFIED_BY',
 UNION ALL SELECT DISTINCT concat('S', l_suppkey), concat('P', l_partkey), 'DEPENDS_ON', 'HIGH' FROM lineitem
 UNION ALL SELECT concat('P', p_partkey), concat('P', p_partkey - 1), 'SUPERSEDES', 'HIGH' FROM part WHERE p_partkey % 50 = 0 AND p_partkey > 1
 UNION ALL SELECT concat('C', c_custkey), concat('C', c_custkey - 1), 'CONTRADICTS', 'HIGH' FROM customer WHERE c_custkey % 40 = 0 AND c_custkey > 1
-UNION ALL SELECT concat('P', p_partkey), concat('C', p_partkey), 'CONTRADICTS', 'HIGH' FROM part JOIN customer ON p_partkey = c_custkey WHERE p_partkey % 70 = 0"""
-WITH = f"WITH RECURSIVE nodes AS ({NODES}), edges AS ({EDGES})"
+UNION ALL SELECT concat('P', p_partkey), concat('C', p_partkey), 'CONTRADICTS', 'HIGH' FROM part JOIN customer ON p_partkey = c_custkey WHERE p_partkey % 70 = 0
+UNION ALL SELECT concat('E', event_id), concat('C', user_id), 'MOTIVATED_BY', 'HIGH' FROM events JOIN customer ON user_id = c_custkey
+UNION ALL SELECT concat('E', event_id), concat('E', event_id - 1), 'ALTERNATIVE_TO', 'MEDIUM' FROM events WHERE event_id % 10 = 3
+UNION ALL SELECT concat('P', p_partkey), concat('B', item_id), 'REUSES_PATTERN', 'HIGH' FROM part JOIN benchmark ON p_partkey = item_id
+UNION ALL SELECT concat('P', p_partkey), concat('P', p_partkey - 7), 'ANALOGOUS_TO', 'MEDIUM' FROM part WHERE p_partkey % 30 = 7
+UNION ALL SELECT concat('S', s_suppkey), concat('V', vec_id), 'CONSTRAINED_BY', 'HIGH' FROM supplier JOIN embeddings ON s_suppkey = vec_id"""
+WITH = f"WITH RECURSIVE nodes AS MATERIALIZED ({NODES}), edges AS MATERIALIZED ({EDGES})"
 
 
 def graph(spark, sf) -> tuple[DataFrame, DataFrame]:
-    t = {n: table(spark, sf, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    t = {n: table(spark, sf, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "benchmark", "embeddings")}
 
     def run(sql: str) -> DataFrame:
         for name in t:
@@ -49,19 +58,11 @@ def a1_graph_counts(spark, sf):
     return G.counts(*graph(spark, sf))
 
 
-@query(WITH + """ SELECT from_id AS seed, to_id AS node_id, edge_type FROM edges WHERE (from_id LIKE 'S%' OR from_id LIKE 'N%') AND edge_type IN ('DEPENDS_ON', 'DECOMPOSES_TO', 'IMPLEMENTS')
-UNION ALL SELECT to_id, from_id, edge_type FROM edges WHERE (to_id LIKE 'S%' OR to_id LIKE 'N%') AND edge_type IN ('DEPENDS_ON', 'DECOMPOSES_TO', 'IMPLEMENTS')""")
+@query(WITH + """ SELECT from_id AS seed, to_id AS node_id, edge_type FROM edges WHERE from_id IN (SELECT node_id FROM nodes) AND edge_type IN ('DEPENDS_ON', 'DECOMPOSES_TO', 'IMPLEMENTS')
+UNION ALL SELECT to_id, from_id, edge_type FROM edges WHERE to_id IN (SELECT node_id FROM nodes) AND edge_type IN ('DEPENDS_ON', 'DECOMPOSES_TO', 'IMPLEMENTS')""")
 def g1_neighbours(spark, sf):
     n, e = graph(spark, sf)
-    return G.neighbours(e, n.where("node_id like 'S%' or node_id like 'N%'").select("node_id"), ("DEPENDS_ON", "DECOMPOSES_TO", "IMPLEMENTS"), "both")
-
-
-@query(WITH + """, h AS (SELECT from_id AS s, to_id AS n, edge_type FROM edges UNION ALL SELECT to_id, from_id, edge_type FROM edges),
-x AS (SELECT least(s, n) AS a, greatest(s, n) AS b, edge_type FROM h WHERE (s LIKE 'S%' OR s LIKE 'C%') AND n NOT IN (SELECT to_id FROM edges WHERE edge_type = 'SUPERSEDES')) SELECT DISTINCT a, b, edge_type FROM x""")
-def g8_what_expansion(spark, sf):
-    n, e = graph(spark, sf)
-    hits = G.neighbours(e, n.where("node_id like 'S%' or node_id like 'C%'").select("node_id"), None, "both").join(G.stale(e), "node_id", "left_anti")
-    return G.undirected_pairs(hits)
+    return G.neighbours(e, n.select("node_id"), ("DEPENDS_ON", "DECOMPOSES_TO", "IMPLEMENTS"), "both")
 
 
 @query(WITH + """, t(root, node_id, depth) AS (SELECT node_id, node_id, 0 FROM nodes WHERE node_type = 'PROJECT' UNION SELECT root, to_id, depth + 1 FROM t JOIN edges ON from_id = t.node_id AND edge_type = 'DECOMPOSES_TO')
@@ -78,18 +79,23 @@ def g4_trees_without_roots(spark, sf):
     return G.trees_without_roots(e, n.where("node_type = 'PROJECT'").select("node_id"))
 
 
-@query(WITH + """, t(root, node_id, depth) AS (SELECT node_id, node_id, 0 FROM nodes WHERE node_id LIKE 'S%' UNION SELECT root, to_id, depth + 1 FROM t JOIN edges ON from_id = t.node_id WHERE depth < 2)
-SELECT root, min(depth)::INT AS depth, count(*) AS n FROM (SELECT root, node_id, min(depth) AS depth FROM t GROUP BY 1, 2) GROUP BY root, depth""")
+@query(WITH + """, d AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM edges), r AS (SELECT node_id AS root FROM nodes WHERE node_type IN ('COMPONENT', 'REQUIREMENT')), s1 AS MATERIALIZED (SELECT DISTINCT root, to_id AS node_id FROM r JOIN d ON from_id = root WHERE to_id <> root),
+s2 AS (SELECT DISTINCT root, to_id AS node_id FROM s1 JOIN d ON from_id = node_id WHERE to_id <> root) SELECT root, 0 AS depth, 1::BIGINT AS n FROM r UNION ALL SELECT root, 1, count(*) FROM s1 GROUP BY root UNION ALL SELECT root, 2, count(*) FROM (SELECT * FROM s2 EXCEPT SELECT * FROM s1) GROUP BY root""")
 def g5_bounded_reach(spark, sf):
+    """What every component and requirement reaches within two steps."""
     n, e = graph(spark, sf)
-    return G.reach(e, n.where("node_id like 'S%'").select("node_id"), None, 2).groupBy("root", "depth").agg(F.count("*").alias("n"))
+    return G.reach(e, n.where("node_type in ('COMPONENT', 'REQUIREMENT')").select("node_id"), None, 2).groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
-@query(WITH + """, p(start, here, path, depth) AS (SELECT x, x, [x], 0 FROM (VALUES ('R0'), ('R1'), ('R2'), ('S1')) v(x) UNION ALL SELECT start, to_id, list_append(path, to_id), depth + 1 FROM p JOIN (SELECT DISTINCT from_id, to_id FROM edges) ON from_id = here WHERE depth < 3),
-g(start, goal) AS (VALUES ('R0', 'C1'), ('R1', 'C1'), ('R2', 'C1'), ('S1', 'C9'), ('S1', 'R0'), ('R0', 'R0')), m AS (SELECT g.start, g.goal, depth, path, row_number() OVER (PARTITION BY g.start, g.goal ORDER BY depth, path) AS k FROM p JOIN g ON p.start = g.start AND p.here = g.goal)
-SELECT start, goal, array_to_string(path, '>') AS path FROM m WHERE k = 1""")
+@query(WITH + """, d AS MATERIALIZED (SELECT DISTINCT from_id, to_id FROM edges), q AS (SELECT concat('R', n_regionkey) AS start, concat('O', o_orderkey) AS goal FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey UNION SELECT concat('S', s_suppkey), concat('C', s_suppkey) FROM supplier UNION SELECT node_id, node_id FROM nodes WHERE node_type = 'PROJECT'),
+p(start, here, path, depth) AS (SELECT DISTINCT start, start, [start], 0 FROM q UNION ALL SELECT start, to_id, list_append(path, to_id), depth + 1 FROM p JOIN d ON from_id = here WHERE depth < 3),
+m AS (SELECT q.start, q.goal, depth, path, row_number() OVER (PARTITION BY q.start, q.goal ORDER BY depth, path) AS k FROM p JOIN q ON p.start = q.start AND p.here = q.goal) SELECT start, goal, array_to_string(path, '>') AS path FROM m WHERE k = 1""")
 def g2_shortest_paths(spark, sf):
-    pairs = spark.createDataFrame([("R0", "C1"), ("R1", "C1"), ("R2", "C1"), ("S1", "C9"), ("S1", "R0"), ("R0", "R0")], "start string, goal string")
+    """From the region to every order, from suppliers to the customers of their number, and from projects to themselves, within three steps."""
+    o, c, n, s = (table(spark, sf, t) for t in ("orders", "customer", "nation", "supplier"))
+    orders = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("R"), "n_regionkey").alias("start"), F.concat(F.lit("O"), "o_orderkey").alias("goal"))
+    own = table(spark, sf, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("start"), F.concat(F.lit("R"), "r_regionkey").alias("goal"))
+    pairs = orders.unionByName(s.select(F.concat(F.lit("S"), "s_suppkey").alias("start"), F.concat(F.lit("C"), "s_suppkey").alias("goal"))).unionByName(own)
     return G.shortest_paths(graph(spark, sf)[1], pairs, 3).select("start", "goal", F.array_join("path", ">").alias("path"))
 
 
@@ -146,29 +152,48 @@ def gt7_contradictions(spark, sf):
     return Gt.contradictions(n, e, n)
 
 
-@query(WITH + """, live AS (SELECT * FROM nodes WHERE project = 'R1' AND node_id NOT IN (SELECT to_id FROM edges WHERE edge_type = 'SUPERSEDES')),
-lev AS (SELECT confidence FROM live UNION ALL SELECT coalesce(confidence, 'MEDIUM') FROM edges WHERE from_id IN (SELECT node_id FROM live) AND to_id IN (SELECT node_id FROM live)),
-x AS (SELECT (SELECT count(*) FROM nodes WHERE project = 'R1' AND node_id IN (SELECT to_id FROM edges WHERE edge_type = 'SUPERSEDES')) AS superseded, (SELECT count(*) FROM live WHERE contains(confidence, 'PARSE_UNCERTAIN')) AS uncertain,
-(SELECT count(*) FROM live WHERE node_type = 'REQUIREMENT' AND node_id NOT IN (SELECT to_id FROM edges WHERE edge_type = 'IMPLEMENTS')) AS gaps,
-(SELECT count(DISTINCT (from_id, to_id)) FROM edges WHERE edge_type = 'CONTRADICTS' AND (from_id IN (SELECT node_id FROM live) OR to_id IN (SELECT node_id FROM live)) AND from_id NOT LIKE 'P%' AND from_id NOT LIKE 'S%' AND to_id NOT LIKE 'P%' AND to_id NOT LIKE 'S%') AS contradictions,
-(SELECT count(*) FROM live WHERE node_id IN (SELECT from_id FROM edges JOIN nodes ON to_id = node_id AND node_type = 'EVIDENCE' WHERE edge_type = 'VERIFIED_BY')) AS evidence,
-(SELECT CASE min(CASE confidence WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'PARSE_UNCERTAIN' END FROM lev) AS confidence) SELECT *, evidence > 0 AS passed FROM x""")
+RANK = "CASE {c} WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END"
+
+
+@query(WITH + f""", old AS (SELECT DISTINCT to_id AS node_id FROM edges WHERE edge_type = 'SUPERSEDES'), mem AS (SELECT project AS answer, node_id FROM nodes WHERE project IS NOT NULL), live AS MATERIALIZED (SELECT answer, nodes.* FROM mem JOIN nodes USING (node_id) ANTI JOIN old USING (node_id)),
+s AS (SELECT answer, count(*) AS n FROM mem SEMI JOIN old USING (node_id) GROUP BY 1), u AS (SELECT answer, count(*) AS n FROM live WHERE contains(confidence, 'PARSE_UNCERTAIN') GROUP BY 1),
+g AS (SELECT answer, count(*) AS n FROM live ANTI JOIN (SELECT to_id AS node_id FROM edges WHERE edge_type = 'IMPLEMENTS') i USING (node_id) WHERE node_type = 'REQUIREMENT' GROUP BY 1),
+con AS (SELECT from_id, to_id FROM edges WHERE edge_type = 'CONTRADICTS' AND from_id NOT LIKE 'P%' AND from_id NOT LIKE 'S%' AND to_id NOT LIKE 'P%' AND to_id NOT LIKE 'S%'),
+t AS (SELECT answer, count(DISTINCT (from_id, to_id)) AS n FROM con JOIN live ON node_id IN (from_id, to_id) GROUP BY 1), ev AS (SELECT answer, count(*) AS n FROM live SEMI JOIN (SELECT from_id AS node_id FROM edges JOIN nodes ON to_id = node_id AND node_type = 'EVIDENCE' WHERE edge_type = 'VERIFIED_BY') v USING (node_id) GROUP BY 1),
+lev AS (SELECT answer, confidence FROM live UNION ALL SELECT a.answer, coalesce(e.confidence, 'MEDIUM') FROM edges e JOIN live a ON a.node_id = e.from_id JOIN live b ON b.node_id = e.to_id AND a.answer = b.answer), w AS (SELECT answer, min({RANK.format(c="confidence")}) AS r FROM lev GROUP BY 1)
+SELECT m.answer, coalesce(s.n, 0) AS superseded, coalesce(u.n, 0) AS uncertain, coalesce(g.n, 0) AS gaps, coalesce(t.n, 0) AS contradictions, coalesce(ev.n, 0) AS evidence, CASE r WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'PARSE_UNCERTAIN' END AS confidence, coalesce(ev.n, 0) > 0 AS passed
+FROM (SELECT DISTINCT answer FROM mem) m LEFT JOIN s USING (answer) LEFT JOIN u USING (answer) LEFT JOIN g USING (answer) LEFT JOIN t USING (answer) LEFT JOIN ev USING (answer) LEFT JOIN w USING (answer)""")
 def gt1_gate(spark, sf):
+    """The nodes of every project as an answer."""
     n, e = graph(spark, sf)
-    return Gt.gate(n.where("project = 'R1'"), e, n)
+    return Gt.gate(n.where("project is not null").select(F.col("project").alias("answer"), "node_id"), n, e)
+
 
+@query(WITH + " SELECT to_id AS node_id, string_agg(DISTINCT from_id, ',' ORDER BY from_id) AS superseded_by FROM edges WHERE edge_type = 'SUPERSEDES' GROUP BY 1")
+def gt6_superseded(spark, sf):
+    n, e = graph(spark, sf)
+    return Gt.superseded(n, e).select("node_id", F.array_join("superseded_by", ",").alias("superseded_by"))
 
-@query(WITH + """ SELECT node_id, CASE node_type WHEN 'PROJECT' THEN 0 WHEN 'REQUIREMENT' THEN 2 WHEN 'COMPONENT' THEN 3 WHEN 'EVIDENCE' THEN 4 END AS priority FROM nodes ORDER BY 2, 1 LIMIT 15""")
+
+@query(WITH + " SELECT node_id, confidence FROM nodes WHERE contains(confidence, 'PARSE_UNCERTAIN')")
+def gt5_uncertain(spark, sf):
+    return Gt.uncertain(graph(spark, sf)[0]).select("node_id", "confidence")
+
+
+@query(WITH + """, k AS (SELECT node_id, project, coalesce(list_position(['PROJECT', 'DECISION', 'REQUIREMENT', 'COMPONENT', 'EVIDENCE', 'CONSTRAINT', 'PATTERN', 'ISSUE', 'SOURCE_DOC'], node_type) - 1, 9)::INT AS priority FROM nodes),
+r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY priority, node_id) AS place FROM k) SELECT project, node_id, priority, place::INT AS place FROM r WHERE place <= 15""")
 def t1_context_order(spark, sf):
+    """The fifteen nodes of each project that come first in a context."""
     n, _ = graph(spark, sf)
-    return n.select("node_id", type_priority(F.col("node_type")).alias("priority")).orderBy("priority", "node_id").limit(15)
+    return X.first_nodes(n, "project", 15).select("project", "node_id", "priority", "place")
 
 
 # ------------------------------------------------------------------ writes
 
 
-@query(WITH + """, new AS (SELECT concat('C', o_custkey) AS from_id, concat('O', o_orderkey) AS to_id, 'INFORMED_BY' AS edge_type FROM orders UNION ALL SELECT concat('C', o_custkey), concat('X', o_orderkey), 'INFORMED_BY' FROM orders UNION ALL SELECT from_id, to_id, edge_type FROM edges WHERE edge_type = 'IMPLEMENTS')
-SELECT n.from_id, n.to_id, n.edge_type FROM new n WHERE n.from_id IN (SELECT node_id FROM nodes) AND n.to_id IN (SELECT node_id FROM nodes) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.from_id = n.from_id AND e.to_id = n.to_id AND e.edge_type = n.edge_type)""")
+@query(f"""WITH nodes AS MATERIALIZED ({NODES}), edges AS MATERIALIZED ({EDGES}), ids AS MATERIALIZED (SELECT DISTINCT node_id FROM nodes),
+new AS (SELECT concat('C', o_custkey) AS from_id, concat('O', o_orderkey) AS to_id, 'INFORMED_BY' AS edge_type FROM orders UNION ALL SELECT concat('C', o_custkey), concat('X', o_orderkey), 'INFORMED_BY' FROM orders UNION ALL SELECT from_id, to_id, edge_type FROM edges WHERE edge_type = 'IMPLEMENTS')
+SELECT n.from_id, n.to_id, n.edge_type FROM new n SEMI JOIN ids a ON a.node_id = n.from_id SEMI JOIN ids b ON b.node_id = n.to_id ANTI JOIN edges e ON e.from_id = n.from_id AND e.to_id = n.to_id AND e.edge_type = n.edge_type""")
 def sk14_checked_insert(spark, sf):
     n, e = graph(spark, sf)
     o = table(spark, sf, "orders")
@@ -202,42 +227,74 @@ def sk7_edge_upsert(spark, sf):
 
 # ------------------------------------------------------------------ linkage
 
+# Technical phrases by key, so that whole tables have something to match: parts are requirements, suppliers constraints and evidence.
+PHRASE = "CASE {k} % 7 WHEN 0 THEN 'setup and hold at 100 MHz clock' WHEN 1 THEN 'package_pin of the xdc' WHEN 2 THEN 'supply current of the board' WHEN 3 THEN 'axi stream bus' WHEN 4 THEN 'lut and bram utilization' WHEN 5 THEN '[\"wns at least 0\", \"dma throughput\", \"colour\"]' ELSE 'painted' END"
+PARTS = f"SELECT concat('P', p_partkey) AS node_id, concat('R', p_partkey % 5) AS project, concat(p_name, ' ', {PHRASE.format(k='p_partkey')}) AS text, p_name AS name, p_type AS kind FROM part"
+CRITERIA = f"SELECT concat('P', p_partkey) AS node_id, concat('R', p_partkey % 5) AS project, {PHRASE.format(k='p_partkey')} AS text FROM part"
+HELD = f"SELECT concat('S', s_suppkey) AS node_id, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE concat('R', s_suppkey % 5) END AS project, {PHRASE.format(k='s_suppkey')} AS text FROM supplier"
 REQ = "SELECT concat('D', doc_id) AS node_id, source AS project, text FROM documents"
+NAMED = "SELECT concat('K', doc_id) AS node_id, source AS project, regexp_extract(text, '([A-Za-z]{6,})', 1) AS name FROM documents"
 WORDS = "['timing', 'clock', 'period', 'wns', 'setup', 'hold', 'mhz'], ['pin', 'package_pin', 'iostandard', 'loc', 'xdc'], ['power', 'current', 'voltage', 'supply'], ['axi', 'protocol', 'interface', 'bus', 'stream']"
+METRIC = "m AS (SELECT unnest(range(24)) AS k, unnest(['wns','tns','timing','utilization','lut','ff','bram','clock','frequency','mhz','latency','throughput','drc','power','bandwidth','fifo','dma','audio','pwm','sample','rate','period','setup','hold']) AS metric)"
+#: Documents with vectors as nodes: their five (or eight, or ten) nearest by cosine.
+NEAR = "near AS (SELECT q.vec_id AS q, e.vec_id AS v, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q), hits AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, v) AS rank FROM near)"
+
+
+def rows(spark, sf, sql: str, *tables: str) -> DataFrame:
+    """SQL over tables; braces in it are its own."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(sql, **{t: table(spark, sf, t) for t in tables})
 
 
 def requirements(spark, sf):
-    return table(spark, sf, "documents").select(F.concat(F.lit("D"), "doc_id").alias("node_id"), F.col("source").alias("project"), "text")
+    return rows(spark, sf, REQ, "documents")
+
 
+def nearest(spark, sf, k: int) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return R.nearest(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), k).withColumnRenamed("vec_id", "node_id")
 
-@query("""WITH c AS (SELECT source AS project, doc_id, lower(regexp_extract(text, '([A-Za-z]{6,})', 1)) AS term FROM documents), t AS (SELECT project, term, min(concat('K', doc_id)) AS node_id FROM c WHERE length(term) >= 4 GROUP BY 1, 2),
-w AS (SELECT DISTINCT concat('D', doc_id) AS req, source AS project, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), h AS (SELECT req, node_id, min(term) AS term FROM w JOIN t USING (project, term) GROUP BY 1, 2)
-SELECT req AS req_id, node_id AS target_id, concat('term ', term) AS evidence FROM h""")
+
+#: The names of J4, from what is said of it: terms are ids, names and their parts; the last component with a whole term has it, else the first with the part.
+TERMS_SQL = """n AS (SELECT node_id, project, unnest(list_distinct([node_id, lower(name), trim(string_split(lower(name), '—')[1])])) AS whole FROM c),
+e AS (SELECT node_id, project, whole AS term, 0 AS part FROM n UNION ALL SELECT node_id, project, unnest(regexp_split_to_array(whole, '[-_]')), 1 FROM n),
+t AS (SELECT term, coalesce(max(CASE WHEN part = 0 THEN node_id END), min(node_id)) AS node_id FROM e WHERE length(term) >= 4 GROUP BY term), k AS (SELECT t.term, t.node_id, c.project FROM t JOIN c USING (node_id))"""
+
+
+@query(f"""WITH r AS MATERIALIZED (SELECT node_id AS req, project, lower(text) AS t FROM ({REQ})), c AS MATERIALIZED ({NAMED}), {TERMS_SQL}
+SELECT req AS req_id, node_id AS target_id, concat('term ', min(term)) AS evidence FROM r JOIN k ON r.project = k.project AND contains(r.t, k.term) GROUP BY req, node_id""")
 def j4_name_matches(spark, sf):
-    """Components named by the first long word of a document, looked for in all documents of its source."""
-    d = table(spark, sf, "documents")
-    comps = d.select(F.concat(F.lit("K"), "doc_id").alias("node_id"), F.col("source").alias("project"), F.regexp_extract("text", "([A-Za-z]{6,})", 1).alias("name"))
-    return K.by_name(requirements(spark, sf), comps).select("req_id", "target_id", "evidence")
+    """Components named by the first long word of a document, looked for in all documents of its source, inside words too."""
+    return K.by_name(requirements(spark, sf), rows(spark, sf, NAMED, "documents")).select("req_id", "target_id", "evidence")
 
 
 @query(f"""WITH words AS (SELECT unnest([1, 2, 3, 4]) AS k, unnest(['timing', 'pin', 'power', 'interface']) AS cat, unnest([{WORDS}]) AS ws),
-r AS (SELECT node_id AS req, project, k, cat FROM ({REQ}), words WHERE len(list_filter(ws, lambda w: contains(lower(text), w))) > 0),
-c AS (SELECT concat('B', item_id) AS con, CASE WHEN item_id % 3 = 0 THEN NULL ELSE concat('src', item_id % 20) END AS project, k FROM benchmark, words WHERE len(list_filter(ws, lambda w: contains(lower(text), w))) > 0)
+r AS (SELECT node_id AS req, project, k, cat FROM ({PARTS}), words WHERE len(list_filter(ws, lambda w: contains(lower(text), w))) > 0),
+c AS (SELECT node_id AS con, project, k FROM ({HELD}), words WHERE len(list_filter(ws, lambda w: contains(lower(text), w))) > 0)
 SELECT req AS req_id, con AS target_id, arg_min(cat, r.k) AS category FROM r JOIN c ON r.k = c.k AND (c.project IS NULL OR c.project = r.project) GROUP BY req, con""")
 def j7_category_matches(spark, sf):
-    con = table(spark, sf, "benchmark").select(F.concat(F.lit("B"), "item_id").alias("node_id"), F.when(F.col("item_id") % 3 != 0, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("project"), "text")
-    return K.by_category(requirements(spark, sf), con).select("req_id", "target_id", F.substring("evidence", 10, 20).alias("category"))
+    return K.by_category(rows(spark, sf, PARTS, "part"), rows(spark, sf, HELD, "supplier")).select("req_id", "target_id", F.substring("evidence", 10, 20).alias("category"))
 
 
-@query("""WITH m AS (SELECT unnest(range(24)) AS k, unnest(['wns','tns','timing','utilization','lut','ff','bram','clock','frequency','mhz','latency','throughput','drc','power','bandwidth','fifo','dma','audio','pwm','sample','rate','period','setup','hold']) AS metric),
-r AS (SELECT concat('D', doc_id) AS req, source AS project, arg_min(metric, k) AS metric FROM documents, m WHERE contains(lower(text), metric) GROUP BY 1, 2), e AS (SELECT concat('B', item_id) AS ev, metric FROM benchmark, m WHERE contains(lower(text), metric))
-SELECT req AS req_id, ev AS target_id, concat('metric ', metric) AS evidence FROM r JOIN e USING (metric)""")
+@query(f"""WITH {METRIC}, c AS (SELECT node_id, project, unnest(CASE WHEN text LIKE '[%' THEN from_json(text, '["VARCHAR"]') ELSE [text] END) AS one FROM ({CRITERIA})),
+f AS (SELECT node_id, project, one, arg_min(metric, k) AS metric FROM c JOIN m ON contains(lower(one), metric) GROUP BY ALL),
+e AS (SELECT node_id AS ev, project AS ep, metric FROM ({HELD}), m WHERE contains(lower(text), metric))
+SELECT f.node_id AS req_id, ev AS target_id, concat('metric ', string_agg(DISTINCT f.metric, ', ' ORDER BY f.metric)) AS evidence FROM f JOIN e ON f.metric = e.metric AND (ep IS NULL OR ep = project) WHERE length(f.metric) >= 3 GROUP BY 1, 2""")
 def j6_evidence_matches(spark, sf):
-    ev = table(spark, sf, "benchmark").select(F.concat(F.lit("B"), "item_id").alias("node_id"), F.lit(None).cast("string").alias("project"), "text")
-    return K.by_evidence(requirements(spark, sf), ev).select("req_id", "target_id", "evidence")
+    return K.by_evidence(rows(spark, sf, CRITERIA, "part"), rows(spark, sf, HELD, "supplier")).select("req_id", "target_id", "evidence")
 
 
-@query(WITH + """, a AS (SELECT from_id AS req, to_id AS node FROM edges WHERE edge_type = 'DECOMPOSES_TO' AND FALSE UNION ALL SELECT to_id, from_id FROM edges WHERE edge_type = 'IMPLEMENTS'), d AS (SELECT DISTINCT from_id, to_id FROM edges WHERE edge_type = 'DEPENDS_ON'),
+@query(f"""WITH {METRIC}, c AS (SELECT node_id, CASE WHEN text LIKE '[%' THEN from_json(text, '["VARCHAR"]') ELSE [text] END AS items FROM ({CRITERIA})), u AS (SELECT node_id, unnest(items) AS one, generate_subscripts(items, 1) AS pos FROM c),
+f AS (SELECT node_id, pos, arg_min(metric, k) AS metric FROM u JOIN m ON contains(lower(one), metric) GROUP BY 1, 2)
+SELECT c.node_id, len(any_value(items))::INT AS n, coalesce(string_agg(metric, ',' ORDER BY pos), '') AS metrics FROM c LEFT JOIN f USING (node_id) GROUP BY 1""")
+def gt9_criteria(spark, sf):
+    c = rows(spark, sf, CRITERIA, "part")
+    return c.select("node_id", F.size(K.criteria(F.col("text"))).alias("n"), F.array_join(K.metrics(F.col("text")), ",").alias("metrics"))
+
+
+@query(WITH + """, a AS (SELECT to_id AS req, from_id AS node FROM edges WHERE edge_type = 'IMPLEMENTS'), d AS (SELECT DISTINCT from_id, to_id FROM edges WHERE edge_type = 'DEPENDS_ON'),
 s1 AS (SELECT DISTINCT req, to_id AS node FROM a JOIN d ON from_id = node), s2 AS (SELECT DISTINCT req, to_id AS node FROM s1 JOIN d ON from_id = node)
 SELECT req AS req_id, node AS target_id FROM (SELECT * FROM s1 UNION SELECT * FROM s2) WHERE (req, node) NOT IN (SELECT (req, node) FROM a)""")
 def g5_structural_matches(spark, sf):
@@ -255,15 +312,47 @@ def a9_deduplicated(spark, sf):
     return K.deduplicated(m).drop("evidence")
 
 
-@query(WITH + """, k AS (SELECT node_id, project, regexp_replace(lower(trim(name)), '[\\s_\\-]+\\d+$', '') AS key FROM nodes WHERE node_id LIKE 'P%') SELECT x.node_id AS a, y.node_id AS b, x.key FROM k x JOIN k y ON x.key = y.key AND x.node_id < y.node_id AND x.project <> y.project WHERE x.key <> ''""")
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_brand AS project, CASE WHEN p_size % 10 = 0 THEN 'Module' WHEN p_size % 10 = 1 THEN concat(p_name, p_size) ELSE '' END AS kind, concat(p_name, ' ', p_retailprice::INT // 10, '_', p_size) AS name FROM part),
+k AS (SELECT id, project, 0 AS how, lower(kind) AS key FROM p WHERE kind <> '' AND lower(kind) NOT IN ('rtl_module', 'rtl_module_vhdl', 'ip_core', 'component', 'module')
+UNION ALL SELECT id, project, 1, regexp_replace(lower(trim(name)), '[\\s_\\-]+\\d+$', '') FROM p), w AS (SELECT * FROM k WHERE how = 0 OR length(key) >= 4)
+SELECT x.id AS a, y.id AS b, arg_min(x.key, x.how) AS key FROM w x JOIN w y ON x.how = y.how AND x.key = y.key AND x.id < y.id AND x.project <> y.project GROUP BY 1, 2""")
 def j8_analogous(spark, sf):
-    n, _ = graph(spark, sf)
-    return K.analogous(n.where("node_id like 'P%'"), K.base_name(F.col("name")))
+    """Parts of different brands of one type, else of one base name."""
+    p = table(spark, sf, "part")
+    kind = F.when(F.col("p_size") % 10 == 0, "Module").when(F.col("p_size") % 10 == 1, F.concat("p_name", F.col("p_size").cast("string"))).otherwise("")
+    name = F.concat("p_name", F.lit(" "), F.floor(F.round("p_retailprice") / 10).cast("string"), F.lit("_"), F.col("p_size").cast("string"))
+    return K.analogous(p.select(F.col("p_partkey").alias("node_id"), F.col("p_brand").alias("project"), name.alias("name"), kind.alias("kind")), F.col("kind"))
+
+
+@query(f"""WITH {NEAR}, l AS (SELECT vec_id, label FROM embeddings) SELECT least(q, v) AS a, greatest(q, v) AS b, round(max(s), 4) AS similarity FROM hits JOIN l x ON x.vec_id = q JOIN l y ON y.vec_id = v WHERE rank <= 8 AND s >= 0.25 AND q <> v AND x.label <> y.label GROUP BY 1, 2""")
+def j9_similar_issues(spark, sf):
+    """Vectors as issues, labels as projects; a lower threshold than that of issues, as the vectors are far apart."""
+    nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("label").alias("project"))
+    return K.similar_issues(nearest(spark, sf, 8), nodes, 0.25).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
+#: What a decision says, by its id.
+SAYS = "CASE {v} % 6 WHEN 0 THEN 'SG mode selected' WHEN 1 THEN 'simple DMA preferred' WHEN 2 THEN 'cache disabled, not working' WHEN 3 THEN 'ICACHE enabled' WHEN 4 THEN 'rejected' ELSE 'nothing yet' END"
+
+
+@query(f"""WITH {NEAR.replace("list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])", "(1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2 + 0.2")},
+d AS (SELECT vec_id, label, lower({SAYS.format(v="vec_id")}) AS t FROM embeddings),
+f AS (SELECT vec_id, label, len(list_filter({list(K.FOR_IT)}, lambda w: contains(t, w))) > 0 AS pro, len(list_filter({list(K.AGAINST_IT)}, lambda w: contains(t, w))) > 0 AS con,
+{", ".join(f"len(list_filter({list(x)}, lambda w: contains(t, w))) > 0 AS x{k}, len(list_filter({list(y)}, lambda w: contains(t, w))) > 0 AS y{k}" for k, (x, y) in enumerate(K.EXCLUSIVE))} FROM d),
+j AS (SELECT q, v, s, CASE WHEN ((a.pro AND b.con) OR (a.con AND b.pro)) AND a.label <> b.label AND s >= 0.85 THEN 'A' WHEN ((a.pro AND b.con) OR (a.con AND b.pro)) AND a.label = b.label AND s >= 0.75 THEN 'B'
+WHEN s >= 0.6 AND ({" OR ".join(f"(a.x{k} AND b.y{k}) OR (a.y{k} AND b.x{k})" for k in range(len(K.EXCLUSIVE)))}) THEN 'C' END AS strategy FROM hits JOIN f a ON a.vec_id = q JOIN f b ON b.vec_id = v WHERE rank <= 10 AND q <> v)
+SELECT least(q, v) AS a, greatest(q, v) AS b, min(strategy) AS strategy FROM j WHERE strategy IS NOT NULL GROUP BY 1, 2""")
+def j11_contradictions(spark, sf):
+    """Vectors as decisions, labels as projects; their cosines are moved up, as the vectors are far apart."""
+    e = table(spark, sf, "embeddings").selectExpr("vec_id AS node_id", "label AS project", f"{SAYS.format(v='vec_id')} AS text")
+    return K.contradictions(nearest(spark, sf, 10).withColumn("similarity", (1 + F.col("similarity")) / 2 + 0.2), e)
 
 
-@query("""WITH w AS (SELECT DISTINCT item_id AS p, unnest(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS word FROM benchmark), t AS (SELECT p, count(*) AS total FROM w GROUP BY p), c AS (SELECT DISTINCT doc_id AS d, unnest(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS word FROM documents),
-h AS (SELECT d, p, count(*) AS shared FROM c JOIN w USING (word) GROUP BY d, p) SELECT concat('D', d) AS component, concat('B', p) AS pattern, shared, total FROM h JOIN t USING (p) WHERE shared >= 3 AND shared / total >= 0.30 AND d % 20 <> p % 20""")
+@query("""WITH w AS (SELECT DISTINCT item_id AS p, unnest(regexp_extract_all(lower(text), '[\\w\\x{80}-\\x{10FFFF}]{4,}')) AS word FROM benchmark), t AS (SELECT p, count(*) AS total FROM w GROUP BY p HAVING count(*) >= 3), d AS (SELECT doc_id AS d, lower(text) AS x FROM documents), v AS (SELECT DISTINCT word FROM w),
+h AS (SELECT d, word FROM d JOIN v ON contains(x, word)), n AS (SELECT d, p, count(*) AS shared FROM h JOIN w USING (word) GROUP BY d, p)
+SELECT concat('D', d) AS component, concat('B', p) AS pattern, shared, total FROM n JOIN t USING (p) WHERE shared >= 3 AND shared / total >= 0.30 AND d % 20 <> p % 20""")
 def j10_pattern_reuse(spark, sf):
+    """Benchmark passages as patterns of documents, words inside words too; some pairs have an edge already."""
     d = table(spark, sf, "documents").select(F.concat(F.lit("D"), "doc_id").alias("node_id"), "doc_id", "text")
     b = table(spark, sf, "benchmark").select(F.concat(F.lit("B"), "item_id").alias("node_id"), "item_id", "text")
     have = d.select(F.col("node_id").alias("from_id"), (F.col("doc_id") % 20).alias("k")).join(b.select(F.col("node_id").alias("to_id"), (F.col("item_id") % 20).alias("k")), "k")

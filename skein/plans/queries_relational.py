@@ -10,7 +10,7 @@ from ..operators import evaluation as E
 from ..operators import gates as G
 from ..operators import graph as Gr
 from ..operators import routing as Q
-from ..sources import files as S
+from ..operators.containment import holding
 from ..sources import tables as Tb
 from .catalog import query, table
 
@@ -29,10 +29,12 @@ def a2_unique_signals(spark, sf):
     return Q.unique_signals(t)
 
 
-@query("""WITH s AS (SELECT user_id, event_type, count(*) AS w FROM events GROUP BY 1, 2), m AS (SELECT user_id, max(w) AS weight, sum(w)::BIGINT AS total FROM s GROUP BY 1)
-SELECT m.user_id, min(event_type) AS event_type, weight, total FROM m JOIN s ON m.user_id = s.user_id AND s.w = m.weight WHERE weight / total >= 0.70 GROUP BY m.user_id, weight, total""")
+@query("""WITH s AS (SELECT concat(user_id, ':', event_id // 1000) AS voter, event_type, count(*) AS w, min(event_id) AS o FROM events GROUP BY 1, 2), m AS (SELECT voter, arg_min(event_type, (-w, o, event_type)) AS event_type, max(w) AS weight, sum(w)::BIGINT AS total FROM s GROUP BY 1)
+SELECT voter, event_type, weight, total FROM m WHERE weight / total >= 0.70""")
 def a5_dominant_vote(spark, sf):
-    return Q.winners(table(spark, sf, "events").withColumn("one", F.lit(1)), "user_id", "event_type", "one")
+    """Users vote anew with every thousand events; of equals the type that came first."""
+    e = table(spark, sf, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.floor(F.col("event_id") / 1000).cast("string")).alias("voter"), "event_type", F.lit(1).alias("one"), "event_id")
+    return Q.winners(e, "voter", "event_type", "one", order="event_id")
 
 
 @query("""WITH p AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -107,26 +109,16 @@ def j13_coverage(spark, sf):
 
 
 @query("""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)""")
-def j4_containment(spark, sf):
-    """Benchmark passages that stand in documents. A passage is looked for only in documents that hold its rarest hashed word triple, so the join has a key."""
-    def triples(text):
-        w = F.split(text, " ")
-        return F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(3)), " ")))).otherwise(F.array().cast("array<bigint>"))
-
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    keyed = b.withColumn("key", F.array_min(triples(F.col("passage"))))
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    w = F.split("text", " ")
-    every = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(3)), " ")))).otherwise(F.array().cast("array<bigint>"))
-    has = d.select("doc_id", F.explode(F.array_distinct(every)).alias("key")).join(keyed.where("key is not null").select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    long = has.join(d, "doc_id").join(b, "item_id")
-    short = d.join(keyed.where("key is null").select("item_id", "passage"), F.contains("text", F.col("passage")))
-    return long.where(F.contains("text", F.col("passage"))).select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))
-
-
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+def f6_passages_held(spark, sf):
+    """Benchmark passages that stand in documents, by the rarest of their inner words."""
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("term"))
+    return holding(table(spark, sf, "documents"), b, "doc_id", "text", "term").join(b, "term").select("doc_id", "item_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def j15_anti(spark, sf):
-    return table(spark, sf, "part").join(table(spark, sf, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    o = table(spark, sf, "orders").where("o_orderstatus = 'F'")
+    return table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -169,11 +161,6 @@ def sk1_upsert(spark, sf):
     return Tb.merged(old, table(spark, sf, "labels").select("doc_id", "quality"), ["doc_id"])
 
 
-@query("SELECT doc_id, lang FROM documents WHERE NOT (source = 'src3' OR lang = 'de')")
-def sk4_delete(spark, sf):
-    return table(spark, sf, "documents").where(~((F.col("source") == "src3") | (F.col("lang") == "de"))).select("doc_id", "lang")
-
-
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
 def sk3_latest_wins(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
@@ -201,36 +188,29 @@ def e3_answer_score(spark, sf):
     return s.select("conv_id", "turn", F.round("score", 4).alias("score"), E.grade(F.col("score")).alias("grade"))
 
 
-@query("""WITH c AS (SELECT conv_id, string_agg(lower(text), ' ') AS corpus FROM conversations WHERE role = 'user' GROUP BY conv_id),
-a AS (SELECT conv_id * 1000 + turn AS key, lower(text) AS answer, coalesce(corpus, '') AS corpus FROM conversations LEFT JOIN c USING (conv_id) WHERE role <> 'user'),
-f AS (SELECT key, corpus, 'value' AS kind, unnest(regexp_extract_all(answer, '\\b((?:\\d+(?:\\.\\d+)?)\\s*(?:bits|bit|kb|mb|gb|stages|stage|words|word|bytes|byte|cycles|cycle|channels|channel|ways|way|lines|line|entries|entry|taps|tap))\\b', 1)) AS value FROM a
-UNION ALL SELECT key, corpus, 'address', unnest(regexp_extract_all(answer, '\\b(0x[0-9a-f]{4,})\\b', 1)) FROM a
-UNION ALL SELECT key, corpus, 'protocol', unnest(regexp_extract_all(answer, '\\b(i2s|spi|uart|pcie|i2c|mipi|hdmi|displayport|thunderbolt)\\b', 1)) FROM a)
-SELECT DISTINCT key, kind, trim(value) AS value FROM f WHERE NOT contains(corpus, trim(value)) AND trim(value) NOT IN ('32 bit','64 bit','16 bit','8 bit','1 bit','2 bit','1 kb','2 kb','4 kb','50 mhz','100 mhz','200 mhz','1 cycle','2 cycle')""")
-def gt8_grounding(spark, sf):
-    c = table(spark, sf, "conversations")
-    corpus = c.where("role = 'user'").groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list(F.lower("text"))).alias("corpus"))
-    a = c.where("role <> 'user'").join(corpus, "conv_id", "left").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.col("text").alias("answer"), "corpus")
-    return G.ungrounded(a)
-
-
-@query()
-def q1_classify(spark, sf):
-    return table(spark, sf, "conversations").groupBy(Q.question_type(F.col("text")).alias("type")).agg(F.count("*").alias("n"))
+#: Lines of an order as an answer, the order's first lines as its corpus: values, addresses and protocols by key.
+SAID = "concat('It has ', CAST(l_quantity AS INT), CASE l_linenumber % 3 WHEN 0 THEN ' KB' WHEN 1 THEN 'bits' ELSE ' stages' END, ' at 0x', {hex}, ' over ', CASE l_partkey % 8 WHEN 0 THEN 'UART' WHEN 1 THEN 'SPI NOR' WHEN 2 THEN 'SPI' WHEN 3 THEN 'CAN  bus' WHEN 4 THEN 'usb 3' WHEN 5 THEN 'Ethernet MAC' WHEN 6 THEN 'i2c' ELSE 'none' END, '.')"
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(why|rationale)\\b') THEN 'Why' WHEN regexp_matches(lower(text), '\\b(how|port|clock)\\b') THEN 'How' ELSE 'What' END AS type FROM conversations
-WHERE NOT regexp_matches(lower(text), 'ş|ı|ğ|trac|implement|izle|zincir|karar|neden|versus|vs|ip|adım|step|workflow|sebep|prosed|motivated|analog|contradict|proje|bu |hangi|gerçek|modul|component|her iki|port|çalış|kullan|ayarla|sinyal|konfig|bile')""")
-def q1_classify_plain(spark, sf):
-    """The classifier on turns that hold no Turkish rule word, where plain SQL says the same."""
-    c = table(spark, sf, "conversations")
-    plain = ~F.lower("text").rlike("ş|ı|ğ|trac|implement|izle|zincir|karar|neden|versus|vs|ip|adım|step|workflow|sebep|prosed|motivated|analog|contradict|proje|bu |hangi|gerçek|modul|component|her iki|port|çalış|kullan|ayarla|sinyal|konfig|bile")
-    return c.where(plain).select("conv_id", "turn", Q.question_type(F.col("text")).alias("type"))
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, {SAID.format(hex="lower(hex(l_partkey + 4096))")} AS text FROM lineitem), c AS (SELECT l_orderkey, string_agg(lower(text), ' ' ORDER BY l_linenumber) AS corpus FROM s WHERE l_linenumber <= 2 GROUP BY 1),
+a AS MATERIALIZED (SELECT l_orderkey * 10 + l_linenumber AS key, lower(text) AS t, coalesce(corpus, '') AS c FROM s LEFT JOIN c USING (l_orderkey) WHERE l_linenumber > 2),
+v AS (SELECT key, c, regexp_extract(t, '([0-9]+) ?(bits|kb|stages)', 0) AS value, regexp_extract(t, '([0-9]+) ?(bits|kb|stages)', 1) AS n FROM a),
+f AS (SELECT key, 'value' AS kind, value FROM v WHERE NOT contains(c, value) AND NOT contains(c, replace(value, ' ', '')) AND NOT (length(n) >= 2 AND regexp_matches(c, '(^|[^a-z0-9_])' || n || '([^a-z0-9_]|$)')) AND value NOT IN ('32 bit','64 bit','16 bit','8 bit','1 bit','2 bit','1 kb','2 kb','4 kb','50 mhz','100 mhz','200 mhz','1 cycle','2 cycle')
+UNION ALL SELECT key, 'address', regexp_extract(t, '0x[0-9a-f]+', 0) FROM a WHERE NOT contains(c, regexp_extract(t, '0x[0-9a-f]+', 0))
+UNION ALL SELECT key, 'protocol', p FROM (SELECT key, c, regexp_extract(replace(t, 'spi nor', ''), '\\b(i2s|spi|uart|pcie|can\\s*bus|i2c|mipi|hdmi|displayport|thunderbolt|usb\\s*3|ethernet\\s*mac)\\b', 1) AS p FROM a) WHERE p <> '' AND NOT contains(c, p)) SELECT DISTINCT key, kind, value FROM f""")
+def gt8_grounding(spark, sf):
+    """The later lines of each order against its first two."""
+    s = spark.sql(f"SELECT l_orderkey, l_linenumber, {SAID.format(hex='lower(hex(l_partkey + 4096))')} AS text FROM {{lineitem}}", lineitem=table(spark, sf, "lineitem"))
+    corpus = s.where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "text"))), lambda x: F.lower(x["text"]))).alias("corpus"))
+    a = s.where("l_linenumber > 2").join(corpus, "l_orderkey", "left").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("text").alias("answer"), "corpus")
+    return G.ungrounded(a)
 
 
-@query("""WITH t AS (SELECT doc_id, source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) SELECT source, doc_id, n_chars, running::BIGINT AS running FROM t WHERE running <= 20000""")
+@query("""WITH t AS (SELECT doc_id, source, n_chars, coalesce(sum(n_chars + 50) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS k FROM documents)
+SELECT source, doc_id, n_chars, least(n_chars, greatest(0, 20000 - b - 50))::BIGINT AS taken, (b + n_chars + 50)::BIGINT AS running FROM t WHERE k = 1 OR 20000 - b > 200""")
 def t3_budget(spark, sf):
-    return X.within_budget(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", ["n_chars", "doc_id"], "n_chars", 20_000)
+    """Documents of a source from the shortest on, each with a heading of 50 characters; the one that crosses the budget is cut."""
+    return X.within_budget(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", ["n_chars", "doc_id"], "n_chars", 20_000, F.lit(50))
 
 
 @query("""SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ', ') AS sources FROM documents GROUP BY lang""")
@@ -238,23 +218,12 @@ def q10_manifest(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
 
 
-@query("""WITH v AS (SELECT source, lang, n_chars FROM documents), s AS (SELECT source, lang, sum(n_chars)::BIGINT AS weight FROM v GROUP BY 1, 2) SELECT source, lang, weight, round(weight / sum(weight) OVER (PARTITION BY source), 6) AS share FROM s""")
-def a4_weight_shares(spark, sf):
-    s = table(spark, sf, "documents").groupBy("source", "lang").agg(F.sum("n_chars").alias("weight"))
-    return s.withColumn("share", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy("source")), 6))
-
-
 @query("""SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 3""")
 def a16_best_three(spark, sf):
     w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
     return table(spark, sf, "documents").withColumn("n", F.row_number().over(w)).where("n <= 3").select("source", "doc_id", "n_chars")
 
 
-@query("SELECT CASE WHEN contains(url, '.') THEN lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) ELSE '' END AS extension, count(*) AS n FROM pages GROUP BY 1")
-def sc7_extension_counts(spark, sf):
-    return table(spark, sf, "pages").groupBy(S.extension(F.col("url")).alias("extension")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, max(CASE WHEN doc_id = 7 THEN 1 ELSE 0 END) = 1 AS has FROM documents")
 def sc14_point_lookups(spark, sf):
     return table(spark, sf, "documents").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.bool_or(F.col("doc_id") == 7).alias("has"))

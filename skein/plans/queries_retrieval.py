@@ -9,48 +9,35 @@ from ..functions import chunking as C
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import lexical as L
+from ..operators import linkage as K
 from ..operators import retrieval as R
+from ..operators.graph import kept
 from .catalog import query, table
 
-#: Questions that the fixed queries ask.
-QUESTIONS = ((1, "the nation of_them and in"), (2, "thation on_the regular ing"), (3, "der die und nicht"))
+#: The stated query set of searches by words: the first characters of every document whose id is divisible by 50.
+ASKED_CHARS = 60
 TOKENS_SQL = r"""
 toks AS (
   SELECT doc_id, lang, source, list_distinct(flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'),
          lambda w: CASE WHEN contains(w, '_') THEN list_concat([w], list_filter(string_split(w, '_'), lambda p: p <> '')) ELSE [w] END))) AS t FROM documents
+), q AS (
+  SELECT DISTINCT doc_id AS query_id, unnest(list_distinct(flatten(list_transform(regexp_extract_all(lower(coalesce(substring(text, 1, 60), '')), '[a-z0-9_]+'),
+         lambda w: CASE WHEN contains(w, '_') THEN list_concat([w], list_filter(string_split(w, '_'), lambda p: p <> '')) ELSE [w] END)))) AS term FROM documents WHERE doc_id % 50 = 0
 )"""
 BM25_SQL = rf"""
 WITH {TOKENS_SQL}, idx AS (SELECT doc_id, lang, t, len(t) AS dl FROM toks),
 post AS (SELECT doc_id, lang, dl, unnest(t) AS term FROM idx),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM idx),
-q(query_id, term) AS (VALUES {{terms}}),
 df AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM q) GROUP BY term),
 w AS (SELECT term, avgdl, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) AS idf FROM df, st),
 s AS (SELECT query_id, doc_id, sum(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM post JOIN w USING (term) JOIN q USING (term) {{where}} GROUP BY query_id, doc_id),
 lex AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"""
-TERMS = ", ".join(
-    f"({q}, '{t}')"
-    for q, terms in (
-        (1, ("the", "nation", "of_them", "of", "them", "and", "in")),
-        (2, ("thation", "on_the", "on", "the", "regular", "ing")),
-        (3, ("der", "die", "und", "nicht")),
-    )
-    for t in terms
-)
-
-
 def bm25_sql(where: str = "") -> str:
-    return BM25_SQL.format(terms=TERMS, where=where)
-
+    return BM25_SQL.format(where=where)
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(QUESTIONS), "query_id int, query string")
 
-
-def vector_queries(spark: SparkSession, sf: str, n: int = 3) -> DataFrame:
-    """The vectors that stand for the questions."""
-    e = table(spark, sf, "embeddings")
-    return e.where(F.col("vec_id") < n).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce(F.substring("text", 1, ASKED_CHARS), F.lit("")).alias("query"))
 
 
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,9 +47,9 @@ def search_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexical_hits(spark: SparkSession, sf: str, k: int, where=None) -> DataFrame:
-    s = L.bm25(L.indexed(table(spark, sf, "documents").select("doc_id", "text", "lang")), questions(spark), where=where)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    index = kept(L.indexed(table(spark, sf, "documents").select("doc_id", "text", "lang")).drop("text"))
+    s = L.bm25(index, questions(spark, sf), where=where)
+    return L.top(s.withColumn("_by", F.round("score", 9)), k, "_by").drop("_by")
 
 
 # ------------------------------------------------------------------ vectors
@@ -70,55 +57,64 @@ def lexical_hits(spark: SparkSession, sf: str, k: int, where=None) -> DataFrame:
 SIM = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-@query(f"SELECT e.vec_id, e.label, round({SIM}, 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {SIM} DESC, e.vec_id LIMIT 10")
+NEAR_SQL = "WITH h AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {sim} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0{where}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM h)"
+
+
+@query(NEAR_SQL.format(sim=SIM, where="") + " SELECT query_id, vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10")
 def v2_cosine_topk(spark, sf):
-    return R.topk(table(spark, sf, "embeddings"), vector_queries(spark, sf, 1), 10).select("vec_id", "label", "similarity")
+    return R.topk(table(spark, sf, "embeddings"), search_queries(spark, sf), 10).select("query_id", "vec_id", "similarity", "rank")
 
 
-@query("""SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dot, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS l2,
-round(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS norm, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine
-FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""")
+@query("""SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS l2,
+round(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6) AS norm, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine,
+round(a.embedding[3]::DOUBLE / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6) AS unit3 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def v1_vector_arithmetic(spark, sf):
-    d = table(spark, sf, "embeddings").join(F.broadcast(vector_queries(spark, sf, 1)))
-    e, q = F.col("embedding"), F.col("query_vector")
-    return d.select("vec_id", F.round(V.dot(e, q), 6).alias("dot"), F.round(V.euclidean(e, q), 6).alias("l2"), F.round(V.norm(e), 6).alias("norm"), F.round(V.cosine(e, q), 6).alias("cosine"))
+    """Every vector beside the next."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    d = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    a, b = F.col("a"), F.col("b")
+    return d.select("vec_id", F.round(V.dot(a, b), 6).alias("dot"), F.round(V.euclidean(a, b), 6).alias("l2"), F.round(V.norm(a), 6).alias("norm"), F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.normalized(a)[2], 6).alias("unit3"))
 
 
 @query(f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id, {SIM} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM h)
 SELECT query_id, vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 20 AND round(s, 4) >= 0.35""")
 def v3_topk_then_threshold(spark, sf):
-    return R.topk_blocked(table(spark, sf, "embeddings"), search_queries(spark, sf), 20).withColumn("similarity", F.round("similarity", 4)).where("similarity >= 0.35").select("query_id", "vec_id", "similarity", "rank")
+    return R.topk(table(spark, sf, "embeddings"), search_queries(spark, sf), 20, threshold=0.35).select("query_id", "vec_id", "similarity", "rank")
 
 
-@query(f"""WITH h AS (SELECT e.vec_id, {SIM} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label IN (1, 3, 5)),
-r AS (SELECT *, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM h) SELECT vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10""")
+@query(NEAR_SQL.format(sim=SIM, where=" AND e.label IN (1, 3, 5)") + " SELECT query_id, vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10")
 def f1_filtered_topk(spark, sf):
-    return R.topk(table(spark, sf, "embeddings"), vector_queries(spark, sf, 1), 10, where=F.col("label").isin(1, 3, 5)).select("vec_id", "similarity", "rank")
+    return R.topk(table(spark, sf, "embeddings"), search_queries(spark, sf), 10, where=F.col("label").isin(1, 3, 5)).select("query_id", "vec_id", "similarity", "rank")
 
 
 @query(f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {SIM} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, vec_id) AS rank FROM h)
 SELECT query_id, label, vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 2""")
 def v6_topn_per_group(spark, sf):
-    return R.per_group(table(spark, sf, "embeddings"), search_queries(spark, sf), 2, "label").select("query_id", "label", "vec_id", "similarity", "rank")
+    return R.nearest(table(spark, sf, "embeddings"), search_queries(spark, sf), 2, "label").select("query_id", "label", "vec_id", F.round("similarity", 4).alias("similarity"), "rank")
 
 
-@query("""SELECT e.vec_id, round(0.0 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q
-ORDER BY 0.0 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10""")
+@query(NEAR_SQL.format(sim="0.0 - list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[])", where="") + " SELECT query_id, vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10")
 def v5_distance_topk(spark, sf):
-    q = table(spark, sf, "embeddings").where("vec_id = 1").select(F.lit(1).alias("query_id"), F.col("embedding").alias("query_vector"))
-    return R.topk(table(spark, sf, "embeddings"), q, 10, "euclidean").select("vec_id", "similarity")
+    return R.topk(table(spark, sf, "embeddings"), search_queries(spark, sf), 10, "euclidean").select("query_id", "vec_id", "similarity", "rank")
+
+
+@query(NEAR_SQL.format(sim="list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])", where="") + " SELECT query_id, vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10")
+def v4_dot_topk(spark, sf):
+    return R.topk(table(spark, sf, "embeddings"), search_queries(spark, sf), 10, "dot").select("query_id", "vec_id", "similarity", "rank")
 
 
-@query(f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id, {SIM} AS s FROM embeddings e, embeddings q WHERE q.label = 0),
+@query(f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {SIM} AS s FROM embeddings e JOIN embeddings q ON e.label = q.label),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM h)
-SELECT query_id, vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 5""")
+SELECT query_id AS req_id, vec_id AS target_id, round(s, 4) AS similarity FROM r WHERE rank <= 5 AND s >= 0.75""")
 def j5_similarity_join(spark, sf):
-    """Every vector of one label against all: more queries than are broadcast."""
+    """Every vector against those of its label (project): the five nearest from 0.75 on."""
     e = table(spark, sf, "embeddings")
-    q = e.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return R.topk_blocked(e, q, 5).select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"), "rank")
+    hits = R.nearest(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 5, "label")
+    own = hits.join(e.select(F.col("vec_id").alias("query_id"), "label"), ["query_id", "label"])
+    m = K.by_similarity(own.withColumnRenamed("vec_id", "node_id"))
+    return m.join(own.select(F.col("query_id").alias("req_id"), F.col("vec_id").alias("target_id"), F.round("similarity", 4).alias("similarity")), ["req_id", "target_id"]).select("req_id", "target_id", "similarity")
 
 
 # ------------------------------------------------------------------ words
@@ -142,14 +138,13 @@ def f3_bm25_filtered(spark, sf):
 
 # ------------------------------------------------------------------ fusion
 
-SEM_SQL = f"""sh AS (SELECT q.vec_id + 1 AS query_id, e.vec_id AS doc_id, {SIM} AS s FROM embeddings e, embeddings q WHERE q.vec_id < 3),
+SEM_SQL = f"""sh AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, {SIM} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 sem AS (SELECT query_id, doc_id, round(s, 4) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM sh)"""
 
 
 def semantic_hits(spark, sf, k):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = vector_queries(spark, sf).withColumn("query_id", F.col("query_id") + 1)
-    return R.topk(e, q, k, key="doc_id")
+    return R.topk(e, search_queries(spark, sf), k, key="doc_id")
 
 
 @query(bm25_sql() + f""", {SEM_SQL},
@@ -230,21 +225,22 @@ def ch20_sections(spark, sf):
 # ------------------------------------------------------------------ text functions
 
 
-@query("""SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]') OR len(list_intersect(regexp_split_to_array(lower(text), '[ \\t\\n\\f\\r\\v]+'),
-['nasıl','nedir','ne','nerede','neden','hangi','kim','için','ile','ve','veya','bir','bu','şu','mi','mı','mu','mü','var','yok'])) > 0) AS turkish FROM documents GROUP BY lang""")
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[ğüşıöçĞÜŞİÖÇ]') OR len(list_intersect(regexp_split_to_array(lower(text), '[ \\t\\n\\f\\r\\v]+'),
+['nedir','nasıl','için','ile','bir','olan','hangi','yapılır','oluştur','kullan','ayarla','konfigüre'])) > 0) AS turkish FROM documents GROUP BY lang""")
 def ex13_language(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(T.is_turkish(F.col("text"))).alias("turkish"))
 
 
-@query(r"""SELECT url, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-CASE WHEN length(c) < 3 THEN 'col_' || c ELSE c END AS collection FROM (SELECT url, substring(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g'), 1, 63) AS c FROM pages)""")
+@query(r"""SELECT url, substring(c, 1, 40) AS slug, c AS project, substring(CASE WHEN regexp_matches(c, '^[0-9]') THEN 'proj_' || c ELSE c END, 1, 63) AS collection FROM (SELECT url, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS c FROM pages)""")
 def ex12_identifiers(spark, sf):
-    return table(spark, sf, "pages").select("url", T.slug(F.col("url")).alias("slug"), T.collection_name(F.col("url")).alias("collection"))
+    u = F.col("url")
+    return table(spark, sf, "pages").select("url", T.slug(u).alias("slug"), T.project_id(u).alias("project"), T.collection_name(u).alias("collection"))
 
 
-@query("SELECT p_partkey, concat_ws(' ', nullif(p_name, ''), nullif(p_brand, ''), nullif(p_type, '')) AS text FROM part")
+@query("SELECT p_partkey, concat_ws(' ', 'COMPONENT', concat('P', p_partkey), nullif(p_name, ''), nullif(p_type, ''), concat('k ', p_brand)) AS text FROM part")
 def ex10_node_text(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.node_text(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("text"))
+    n = table(spark, sf, "part").select("p_partkey", F.lit("COMPONENT").alias("node_type"), F.concat(F.lit("P"), "p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array(F.lit("k"), "p_brand").alias("key_logic"), F.lit("").alias("summary"))
+    return n.select("p_partkey", T.node_text_of(n).alias("text"))
 
 
 @query("""SELECT CASE WHEN contains(lower(source), 'src1') THEN 'one' WHEN contains(lower(source), 'src2') THEN 'two' ELSE 'other' END AS category, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1""")
@@ -258,18 +254,11 @@ def ex16_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object(T.json_in_text(F.col("props")), "$.k").alias("k")).where("k is not null")
 
 
-@query("""SELECT doc_id, text || CASE WHEN contains(lower(text), 'the') AND contains(lower(text), 'der') THEN ' article Artikel' WHEN contains(lower(text), 'the') THEN ' article' WHEN contains(lower(text), 'der') THEN ' Artikel' ELSE '' END AS text FROM documents""")
+@query("""SELECT doc_id, text || CASE WHEN contains(lower(text), 'the') AND contains(lower(text), 'der') THEN ' | article Artikel' WHEN contains(lower(text), 'the') THEN ' | article' WHEN contains(lower(text), 'der') THEN ' | Artikel' ELSE '' END AS text FROM documents""")
 def ex14_augment(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.augment(F.col("text"), {"the": "article", "der": "Artikel"}).alias("text"))
 
 
-@query(r"""WITH p AS (SELECT page_id, list_distinct(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tags FROM pages), x AS (SELECT page_id, unnest(tags) AS tag FROM p)
-SELECT tag, count(*) AS pages FROM x GROUP BY tag""")
-def ex3_extract_names(spark, sf):
-    x = table(spark, sf, "pages").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("<([a-z][a-z0-9]*)"), 1))).alias("tag"))
-    return x.groupBy("tag").agg(F.count("*").alias("pages"))
-
-
 @query("SELECT lang, count(*) AS n FROM documents WHERE length(text) >= 1000 GROUP BY lang")
 def f12_length_filter(spark, sf):
     return table(spark, sf, "documents").where(F.length("text") >= 1000).groupBy("lang").agg(F.count("*").alias("n"))

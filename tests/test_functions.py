@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,26 +36,56 @@ def test_greedy_paragraphs():
 
 
 def test_code_chunkers():
-    v = "module top #(parameter WIDTH = 8) (input clk, output q);\n assign q = clk;\nendmodule\nmodule sub(input a);\nendmodule\n"
-    assert [k for k, _ in C.verilog_chunks(v)] == ["top", "sub"] and "WIDTH" in C.verilog_chunks(v)[0][1].split("\n")[0]
-    c = '#include <a.h>\n#define N 3\nint add(int a, int b) {\n  if (a) { return b; }\n  return a + b;\n}\nstatic int table_of_values_and_more[] = {1, 2, 3};  /* long */\nvoid run(void) { add(1, 2); }\n'
+    v = "// top\nmodule top #(parameter WIDTH = 8) (input clk, output q);\n assign q = clk;\nendmodule\nmodule sub(input a);\nendmodule\n"
+    assert [k for k, _ in C.verilog_chunks(v)] == ["top", "sub"] and "WIDTH" in C.verilog_chunks(v)[0][1].split("\n")[0] and "// top" in C.verilog_chunks(v)[0][1]
+    c = '#include <a.h>\n#define N 3\nint add(int a, int b) {\n  if (a) { return b; }\n  XDma_Reset(a);\n  return a + b;\n}\nstatic int table_of_values_and_more[] = {1, 2, 3};  /* long */\nvoid run(void) { add(1, 2); }\n'
     labels = [k for k, _ in C.c_chunks(c)]
-    assert labels[0] == "includes_defines" and {"add", "run"} <= set(labels) and "global_vars" in labels
-    assert dict(C.c_chunks(c))["add"].count("{") == dict(C.c_chunks(c))["add"].count("}")
-    h = "#define A 1\ntypedef struct { int x; struct { int y; } in; } Point;\nint f(void);\n"
-    assert [k for k, _ in C.header_chunks(h)] == ["header", "typedef_struct Point"]
+    assert labels[0] == "includes_defines_typedefs" and {"add", "run"} <= set(labels) and any(x.startswith("declarations_after_line") for x in labels)
+    assert dict(C.c_chunks(c))["add"].count("{") == dict(C.c_chunks(c))["add"].count("}") and "calls: XDma_Reset" in dict(C.c_chunks(c))["add"] and "constants: N=3" in C.c_chunks(c)[0][1]
+    h = "#define A 1\ntypedef struct { int x; struct { int y; } in; } Point;\nint f;\nvoid g(void) {}\n"
+    assert [k for k, _ in C.c_chunks(h)][:3] == ["includes_defines", "typedef struct Point", "global_vars"]
     x = "## Clock\nset_property PACKAGE_PIN W5 [get_ports clk]\n#set_property PACKAGE_PIN V1 [get_ports led]\n## Buttons and leds\nset_property PACKAGE_PIN U1 [get_ports {led}]\n"
-    assert C.xdc_chunks(x)[0][1].startswith("active constraints: 2; commented: 1") and "clk: W5" in C.xdc_chunks(x)[0][1]
-    t = "proc make {a} {\n puts $a\n}\n# Create instance: dma_0, and set properties\nset dma_0 [ create_bd_cell -type ip -vlnv x:ip:axi_dma:7.1 dma_0 ]\nset_property -dict [list CONFIG.c_w {32}] $dma_0\n# Create interface connections\nconnect_bd_net a b\nassign_bd_address x\n"
-    assert [k for k, _ in C.tcl_chunks(t)] == ["meta", "proc make", "dma_0", "net_connections", "address_map"]
+    assert "2 active, 1 commented" in C.xdc_chunks(x)[0][1] and "pin clk: W5" in C.xdc_chunks(x)[0][1]
+    long = C.xdc_chunks(x + "# note\n" * 600)
+    assert long[0][0] == "summary" and [k for k, _ in long if k.startswith(("Clock", "Buttons"))][0] == "Clock"
+    t = "# Usage: run it\nproc make {a} {\n puts $a\n" + " # pad\n" * 500 + "}\nproc blocks {} {\n" + "# before the blocks there is a comment that is longer than fifty characters\n# Create instance: dma_0, and set properties\nset dma_0 [ create_bd_cell -type ip -vlnv x:ip:axi_dma:7.1 dma_0 ]\nset_property -dict [list CONFIG.c_w {32}] $dma_0\n" + "# pad\n" * 600 + "connect_bd_net alpha beta\nassign_bd_address the_whole_space\n}\n"
+    kinds = [re.sub(r" \(part.*", "", k) for k, _ in C.tcl_chunks(t)]
+    assert list(dict.fromkeys(kinds)) == ["meta", "make", "header", "dma_0", "net_connections", "address_map"] and "usage: run it" in C.tcl_chunks(t)[0][1]
+    steps = "#### Step 1\n" + "do this\n" * 300 + "#### Step 2\n" + "do that\n" * 200
+    assert [k.split(" (")[0] for k, _ in C.tcl_chunks(steps)] == ["Step 1", "Step 2"]
     assert [k for k, _ in C.board_design_chunks(json.dumps({"design": {"cells": {"a": {"v": 1}, "b": {}}}}))] == ["a", "b"]
-    assert [k for k, _ in C.markdown_chunks("# How to build it\nmake all the things\n# Overview of parts\nthese are the parts\n")] == ["HOW|How to build it", "WHAT|Overview of parts"]
-    assert "Speed: 400" in C.memory_project_chunks("<P><Speed>400</Speed></P>")[0][1]
-    m = "1 Intro\n" + "1 Introduction\n" + "text " * 80 + "\n1.1 Short Part\nfew words\n2 Second Part\n" + "more " * 80
-    assert [k for k, _ in C.numbered_sections(m)] == ["1 Introduction", "2 Second Part"]
-    p = "[PAGE 1]\nChapter 1 Start\n" + "a word " * 200 + "\n[PAGE 2]\nChapter 2 Next\n" + "b word " * 400
-    got = C.page_chunks(p)
-    assert got[0][0] == "page 1" and got[-1][0] == "page 2" and all(len(b) <= 1800 for _, b in got)
+    m = "# How to build it\n" + "make all the things\n" * 100 + "# Overview of parts\n" + "these are the parts\n" * 100 + "| a | b |\n|---|---|\n"
+    assert [k.split(" (")[0] for k, _ in C.markdown_chunks(m)] == ["HOW|How to build it", "WHAT|Overview of parts"] and [C.heading_dimension(x) for x in ("Known issues", "Motivation", "x")] == ["DEBUG", "WHY", "WHAT"]
+    p = '<P><Speed>400</Speed><Pin PADName="A1" name="dq0"/><Parameters tcke="5" tfaw="45"/></P>'
+    assert all(x in C.memory_project_chunks(p)[0][1] for x in ("Speed: 400", "pin dq0: PADName=A1", "timing: tcke=5, tfaw=45"))
+
+
+def test_no_chunker_loses_text():
+    """Functions, modules, sections and lines beyond a chunk's length come in pieces that together hold every word of them."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for name, before, after, joined in (("c", "int f(void) {\n", "\n}\n", "\n"), ("v", "module m(input a);\n", "\nendmodule\n", "\n"), ("tcl", "proc p {} {\n", "\n}\n", " \n"), ("md", "# How\n", "\n", "\n"), ("xdc", "## A\nset_property x\n", "\n", "\n"), ("h", "", "\n", "\n"), ("x", "", "\n", " "), ("pdf", "[PAGE 1]\n1 Overview\n", "\n", "\n")):
+        w = words(1500)
+        text = before + joined.join(w) + after
+        got = C.BY_EXTENSION.get(name, lambda t: C._windows(t, "file"))(text)
+        assert all(len(c) <= C.MAX_CHARS + 400 for _, c in got) and set(w) <= set(re.findall(r"w\d+", " ".join(c for _, c in got))), name
+
+
+def test_manuals():
+    toc = "[PAGE 1]\n1 Introduction ..... 2\n1.1 Short Part ..... 2\n2 Second Part ..... 3\n"
+    text = toc + "[PAGE 2]\n1 Introduction\n" + "text " * 80 + "\n1.1 Short Part\n" + "few words here " * 6 + "\n[PAGE 3]\n2 Second Part\n" + "more " * 80 + "\n"
+    got = C.numbered_sections(text)
+    assert [k for k, _ in got] == ["1 Introduction + Short Part", "2 Second Part"] and "## 1.1 Short Part" in got[0][1]
+    assert [k for k, _ in C.numbered_sections("[PAGE 1]\n3 Long One\n" + "\n\n".join("para " * 300 for _ in range(4)) + "\n")][0] == "3 Long One"
+    guide = "[PAGE 1]\nUG901 (v2019.1) June\nChapter 1: Start\n" + "a word\n" * 300 + "\n[PAGE 2]\nwww.xilinx.com here\n1.1 Next Part\n" + "b word\n\n" * 400
+    got = C.page_chunks(guide)
+    assert got[0][0].startswith("page 1: Chapter") and got[-1][0].startswith("page 2: 1_1 Next") and not any("xilinx" in b for _, b in got) and all(len(b) <= 1800 + 250 for _, b in got)
+    table = "\n".join(["line"] * 100) + "\n\n" + "\n".join(f"{k}: 0x{k:04x}" for k in range(400))
+    assert any(p.endswith("line") for p in C.split_guide(table, 800, 50))
+    manual = "[PAGE 1]\n" + "Intro words. " * 20 + "\n[PAGE 2]\n1 Overview\nIt has an XC7A100T part on pin E3 at 3.3V and 100 MHz.\nBoard Revisions\n" + "x " * 40 + "\nPage 2 of 9\n2 Second Heading\n" + "y " * 60
+    got = dict(C.project_manual_chunks(manual))
+    assert "parts: XC7A100T" in got["1 Overview"] and "pins: E3" in got["1 Overview"] and "Page 2 of 9" not in "".join(got.values()) and "intro" in got
+    assert [k for k, _ in C.project_manual_chunks("".join(f"[PAGE {k}]\n" + "no section here, only words. " * 5 + "\n" for k in range(1, 6)))] == ["page 1", "page 3", "page 5"]
 
 
 def test_file_chunks(spark):
@@ -64,11 +95,15 @@ def test_file_chunks(spark):
 
 
 def test_extraction(spark):
-    df = spark.createDataFrame([("set_property CONFIG.W {32}\nCONFIG.Component_Name {x}\n#define A 0x10\nparameter P = 4; // parameter Q = 5\ntypedef struct { int a; } S;\nName\tValue\nkey  two words",)], "t string")
-    r = df.select(X.formatted(X.tcl_parameters(F.col("t"))).alias("tcl"), X.formatted(X.c_defines(F.col("t"))).alias("c"), X.formatted(X.verilog_parameters(F.col("t"))).alias("v"), X.typedefs(F.col("t"), "struct").alias("s"), X.table_rows(F.col("t")).alias("rows")).first()
-    assert (r.tcl, r.c, r.v, r.s) == ("W = 32", "A = 0x10", "P = 4", ["S"]) and r.rows == [["Name", "Value"], ["key", "two words"]]
-    c = spark.createDataFrame([("p", "src/uart_core.v", "uart_tx_0"), ("p", "x/a.v", "file"), ("q", "x/spi_master.c", "has blank")], "project string, path string, label string")
-    assert {(s.keyword, s.project) for s in X.signals(c).collect()} == {("uart_tx_0", "p"), ("uart_tx", "p"), ("uart_core", "p"), ("spi_master", "q")}
+    tcl = "set ip_0 [ create_bd_cell -type ip -vlnv x:ip:dma:7.1 ip_0 ]\nset_property -dict [ list CONFIG.W {32} CONFIG.CLKOUT1_JITTER {9} ] $ip_0\ncreate_bd_cell -type ip -vlnv y:ip:own:1 other\nset_property -dict [list CONFIG.K { a b } CONFIG.W {1}] [get_bd_cells other]\nset_property -dict [list CONFIG.W {64}] [get_bd_cells ip_0]\ncreate_bd_cell -type ip -vlnv z:ip:bare:1 bare"
+    got = X.tcl_parameters(spark.createDataFrame([("a.tcl", tcl), ("b.tcl", "nothing")], "path string, content string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a.tcl", "ip_0", "x:ip:dma:7.1", "W", "64"), ("a.tcl", "other", "y:ip:own:1", "K", "a b"), ("a.tcl", "other", "y:ip:own:1", "W", "1")]
+    df = spark.createDataFrame([("#define A 0x10\n#define B (x)\nparameter P = 4; // parameter Q = 5\ntypedef struct S_s { int a; } S;\ntypedef enum { ON, OFF = 2 } E;\nName\tValue\nkey  two words",)], "t string")
+    t = F.col("t")
+    r = df.select(X.formatted(X.c_defines(t)).alias("c"), X.formatted(X.verilog_parameters(t)).alias("v"), X.typedefs(t, "struct").alias("s"), X.typedefs(t, "enum").alias("e"), X.table_rows(t).alias("rows")).first()
+    assert (r.c, r.v, [tuple(x) for x in r.s], [tuple(x) for x in r.e]) == ("A = 0x10", "P = 4", [("S", "int a")], [("E", "ON; OFF = 2")]) and r.rows == [["Name", "Value"], ["key", "two words"]]
+    c = spark.createDataFrame([("p", "v", "src/uart_core.v", "uart_tx_0", ""), ("p", "v", "x/a.v", "header", ""), ("q", "c", "x/spi_master.c", "has blank", ""), ("q", "md", "x/y.md", "long_label", ""), ("q", "tcl", "x/z.tcl", "top", "create_bd_cell -type ip -vlnv x:ip:axi_iic:1 a"), ("", "v", "x/never.v", "never_so", "")], "project string, file_type string, path string, label string, content string")
+    assert {(s.keyword, s.project) for s in X.signals(c).collect()} == {("uart_tx_0", "p"), ("uart_tx", "p"), ("uart_core", "p"), ("spi_master", "q"), ("axi_iic", "q")}
     v = spark.createDataFrame([("ip", "k", "late", 2), ("ip", "k", "early", 1)], "ip string, key string, value string, seq int")
     assert X.first_wins(v, ["ip"], "seq").first().value == "early"
 
@@ -102,9 +137,10 @@ def test_graph(spark, tiny):
     assert ids(graph.unlinked(n, e, "REQUIREMENT", "IMPLEMENTS", "to_id")) == ["TEST-REQ-002"] and ids(graph.unlinked(n, e, "COMPONENT", "IMPLEMENTS", "from_id")) == []
     assert ids(gates.evidenced(n.where("node_type = 'REQUIREMENT'"), e, n)) == ["TEST-REQ-001"]
     assert gates.overall_confidence(n.limit(0), e.limit(0)).first().confidence == "PARSE_UNCERTAIN"
-    ok = gates.gate(n, e, n).first()
-    assert ok.passed and ok.gaps == 1 and ok.superseded == 0 and ok.contradictions == 0
-    assert not gates.gate(n.where("node_type = 'DECISION'"), e.limit(0), n).first().passed
+    member = lambda df: df.select(F.lit("a").alias("answer"), "node_id")
+    ok = gates.gate(member(n), n, e).first()
+    assert ok.passed and ok.gaps == 1 and ok.superseded == 0 and ok.contradictions == 0 and ok.evidence == 1 and ok.confidence == "MEDIUM"
+    assert not gates.gate(member(n.where("node_type = 'DECISION'")), n, e.limit(0)).first().passed
     good, bad = graph.checked_edges(spark.createDataFrame([("a", "b", "IMPLEMENTS"), ("a", "b", "NOPE")], "from_id string, to_id string, edge_type string"))
     assert (good.count(), bad.count()) == (1, 1)
     comp = spark.createDataFrame([("TEST-COMP-001", "TEST-CONST-001", "CONTRADICTS", "HIGH"), ("TEST-DEC-001", "TEST-REQ-001", "CONTRADICTS", "HIGH")], e.schema)
@@ -147,17 +183,48 @@ def test_vectors_and_evaluation(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, query_vector array<double>")
     assert [r.vec_id for r in retrieval.topk(d, q, 2).orderBy("rank").collect()] == [0, 2]
     assert retrieval.topk(d, q, 5).orderBy("rank").collect()[-1].vec_id == 4
-    assert [r.vec_id for r in retrieval.topk_blocked(d.withColumn("vec_id", F.col("vec_id").cast("long")), q.withColumn("query_id", F.col("query_id").cast("long")), 2, 3).orderBy("rank").collect()] == [0, 2]
-    s = spark.createDataFrame([("the value is not given, never was", ["42 mhz"], ["not"]), ("it is 42 MHz", ["42 mhz"], ["not"]), ("42 mhz does not exist", ["42 mhz"], ["not"])], "a string, i array<string>, d array<string>")
-    assert [r.x for r in s.select(evaluation.trap_score(F.col("a"), F.col("i"), F.col("d")).alias("x")).collect()] == [1.0, 0.0, 0.5]
-    text = context.pack([{"chunk_id": "c", "content": "x" * 50_000, "similarity": 1.0}], [{"node_id": "n", "node_type": "PROJECT", "name": "P"}], [{"doc_id": "d", "content": "y" * 9000}], 10_000)
-    assert len(text) <= 10_000 and "[n]" in text and text.index("[c]") < text.index("[n]")
+    assert [r.vec_id for r in retrieval.nearest(d, q, 2, measure="euclidean").orderBy("rank").collect()] == [0, 2]
+    from skein.functions import vectors as V
+
+    unit = d.unionByName(spark.createDataFrame([(9, [3.0, 4.0])], d.schema)).select("vec_id", V.normalized(F.col("embedding")).alias("u")).collect()
+    assert {r.vec_id: r.u for r in unit}[9] == [0.6, 0.8] and {r.vec_id: r.u for r in unit}[4] == [0.0, 0.0, 0.0]
+    s = spark.createDataFrame([("the value is unknown; it is not 42 MHz",), ("unknown, " + "x" * 300 + " 42 MHz",), ("it is 42 MHz",), ("well",), ("142 mhz",)], "a string")
+    lit = lambda *x: F.array(*map(F.lit, x))
+    assert [r.x for r in s.select(evaluation.trap_score(F.col("a"), lit("42 mhz"), lit("not"), lit("unknown")).alias("x")).collect()] == [1.0, 0.5, 0.0, 0.3, 0.3]
+    rng = random.Random(2)
+    rows = [(g, None if rng.random() < 0.1 else round(rng.gauss(0, 9), 1)) for g in ("a", "b", None) for _ in range(rng.randrange(1, 400))] + [("one", 5.0)]
+    got = {r.g: r for r in evaluation.summary(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    for g in ("a", "b", None, "one"):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        if g is not None:
+            assert got[g].p95 == v[int(len(v) * 0.95)] and abs(got[g].median - (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2) < 1e-9
+    text = context.pack([{"chunk_id": "c", "content": "x" * 50_000, "similarity": 1.0}], [{"node_id": "n", "node_type": "PROJECT", "name": "P"}], [{"doc_id": "d", "content": "y" * 9000}], [{"from_id": "a", "edge_type": "E", "to_id": "b"}], max_chars=10_000)
+    assert len(text) <= 10_000 + len(context.CUT) and "[PROJECT] n" in text and text.index("(c)") < text.index("[d]") < text.index("[PROJECT] n") < text.index("a --[E]--> b")
+    r = context.response("q", "What", ["a", "b", "a"], {"confidence": "HIGH", "warnings": ["w"], "filtered": ["b"]}, "yes")
+    assert r["sources"] == ["a"] and r["stale_filtered"] == 1 and "yes" in r["answer"]
+    assert context.system_prompt(["p1"]).endswith("counts.") and "p1" in context.system_prompt(["p1"], context="c", question="q")
 
 
 def test_linkage(spark):
     r = spark.createDataFrame([("R1", "p", "The axis2fifo must meet 100 MHz timing"), ("R2", "q", "axis2fifo elsewhere")], "node_id string, project string, text string")
     c = spark.createDataFrame([("C1", "p", "axis2fifo_0 — stream"), ("C2", "q", "uart")], "node_id string, project string, name string")
     assert [(m.req_id, m.target_id) for m in linkage.by_name(r, c).collect()] == [("R1", "C1")]
+    inside = spark.createDataFrame([("R3", "q", "the uartlite core")], r.schema)
+    assert [(m.req_id, m.target_id) for m in linkage.by_name(inside, c).collect()] == [("R3", "C2")]
+    hits = lambda *x: spark.createDataFrame(list(x), "query_id string, node_id string, similarity double, rank int")
+    d = spark.createDataFrame([("D1", "p", "SG mode selected"), ("D2", "q", "simple DMA"), ("D3", "p", "rejected"), ("D4", "q", "rejected")], "node_id string, project string, text string")
+    near = hits(("D1", "D2", 0.7, 2), ("D2", "D1", 0.7, 2), ("D1", "D3", 0.76, 3), ("D1", "D4", 0.8, 4), ("D4", "D1", 0.9, 2), ("D1", "D1", 1.0, 1))
+    assert sorted(tuple(x) for x in linkage.contradictions(near, d).collect()) == [("D1", "D2", "C"), ("D1", "D3", "B"), ("D1", "D4", "A")]
+    assert [(x.a, x.b) for x in linkage.similar_issues(hits(("D1", "D2", 0.9, 2), ("D2", "D1", 0.9, 1), ("D1", "D3", 0.99, 3), ("D1", "D4", 0.9, 9)), d).collect()] == [("D1", "D2")]
+    ev = spark.createDataFrame([("E1", "p", "timing report: wns 0.2"), ("E2", "q", "lut")], r.schema)
+    none = spark.createDataFrame([], "from_id string, to_id string, edge_type string, confidence string, source string")
+    best, gaps, orphans = linkage.run_matching(r, c, ev, r.limit(0), hits(("R2", "C2", 0.8, 1), ("R2", "C1", 0.5, 2)), none)
+    assert sorted((m.req_id, m.target_id, m.strategy) for m in best.collect()) == [("R1", "C1", "name_match"), ("R1", "E1", "evidence_bind"), ("R2", "C2", "semantic")] and gaps.count() == orphans.count() == 0
+    assert sorted((x.from_id, x.to_id) for x in linkage.apply_matches(none, best).collect()) == [("R1", "C1"), ("R1", "E1"), ("R2", "C2")]
+    comps = spark.createDataFrame([("X1", "p", "dma_0", "reads stream data fast"), ("X2", "q", "dma_1", "other")], "node_id string, project string, name string, text string")
+    pat = spark.createDataFrame([("T1", "p", "fast stream data reader")], r.schema)
+    links = linkage.cross_references(comps, pat, d, hits(("D1", "D2", 0.1, 1)), d, near, none).collect()
+    assert sorted((x.from_id, x.to_id, x.edge_type) for x in links) == [("D1", "D2", "CONTRADICTS"), ("D1", "D3", "CONTRADICTS"), ("D1", "D4", "CONTRADICTS"), ("X1", "T1", "REUSES_PATTERN")]
     k = spark.createDataFrame([("K1", None, "clock period"), ("K2", "q", "setup time"), ("K3", "p", "voltage")], "node_id string, project string, text string")
     assert sorted((m.req_id, m.target_id) for m in linkage.by_category(r, k).collect()) == [("R1", "K1")]
 
@@ -192,6 +259,35 @@ def test_files(spark, tmp_path):
     (tmp_path / "src/build/c.py").write_text("y = 2\n")
     code = files.code_files(spark, str(tmp_path / "src"))
     assert {r.language: r.n for r in files.language_counts(code).collect()} == {"python": 1, "verilog": 1}
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf/a.pdf").write_bytes(b"one\x0ctwo")
+    (tmp_path / "pdf/bad.pdf").write_bytes(b"")
+    (tmp_path / "pdf/t.txt").write_text("text")
+
+    def reader(raw):
+        if not raw:
+            raise ValueError("no pages")
+        return raw.decode().split("\x0c")
+
+    both = {r.path.rsplit("/", 1)[1]: (r.type, r.content) for r in files.all_documents(spark, str(tmp_path / "pdf"), reader).collect()}
+    assert both == {"a.pdf": ("pdf", "[PAGE 1]\none\n[PAGE 2]\ntwo"), "t.txt": ("text", "text")}
+    (tmp_path / "j.json").write_text('[{"a": 1},\n {"a": 2}]')
+    assert sorted(r.a for r in files.json_files(spark, str(tmp_path / "j.json"), "a int").collect()) == [1, 2]
+    assert {r.language for r in files.project_files(spark, str(tmp_path / "src")).collect()} == {"python", "verilog"}
+    o = tables.Objects(spark, str(tmp_path / "objects"))
+    o.write("a/x.txt", "çok")
+    o.upload(str(tmp_path / "j.json"), "b.json")
+    o.download("b.json", str(tmp_path / "k.json"))
+    assert o.names() == ["a/x.txt", "b.json"] and o.read("a/x.txt") == "çok" and (tmp_path / "k.json").exists() and o.delete("b.json") and o.names("a") == ["a/x.txt"]
+    text = "projects:\n  p:\n    roots: [x]  # kept\n"
+    more = tables.append_to_catalog(text, [{"project": "q", "roots": ["y"]}, {"project": "p", "roots": []}])
+    import yaml
+
+    assert more.startswith(text) and yaml.safe_load(more) == {"projects": {"p": {"roots": ["x"]}, "q": {"roots": ["y"]}}} and tables.append_to_catalog(more, [{"project": "q"}]) == more
+    gs = tables
+    gs.save_graph(spark.createDataFrame([("a", "T")], "node_id string, node_type string"), spark.createDataFrame([("a", "a", "E")], "from_id string, to_id string, edge_type string"), str(tmp_path / "graph"))
+    n, e = gs.load_graph(spark, str(tmp_path / "graph"), "node_id string, node_type string", "from_id string, to_id string, edge_type string")
+    assert (n.count(), e.count()) == (1, 1)
     (tmp_path / "g.json").write_text('{ // graph\n "nodes": [{"node_id": "a", "node_type": "PROJECT"}], "edges": [{"from": "a", "to": "b", "edge_type": "IMPLEMENTS"}] }')
     n, e = files.graph_json(spark, str(tmp_path / "g.json"))
     assert n.first().node_id == "a" and e.first().to_id == "b" and sorted(r.node_type for r in graph.with_stubs(n, e).collect()) == ["PROJECT", "UNKNOWN"]
@@ -206,16 +302,15 @@ def test_per_group_takes_any_number_of_queries(spark, monkeypatch):
 
     from skein.operators import retrieval as R
 
-    monkeypatch.setattr(R, "QUERY_ROWS", 20)
-    monkeypatch.setattr(R, "GROUP_QUERIES", 20, raising=False)
-    monkeypatch.setattr(R, "GROUP_VECTORS", 30, raising=False)
+    monkeypatch.setattr(R, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(R, "BLOCK_VECTORS", 30)
     rng = np.random.default_rng(3)
     v = rng.normal(size=(90, 5)).round(2)
     v[7], v[50:55] = 0, v[49]
     rows = [(i, x.tolist(), None if i % 4 == 3 else i % 4) for i, x in enumerate(v)]
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     queries = data.where("vec_id < 60").selectExpr("vec_id as query_id", "embedding as query_vector")
-    got = {(r.query_id, r.label, r["rank"]): (r.vec_id, r.similarity) for r in R.per_group(data, queries, 2, "label").collect()}
+    got = {(r.query_id, r.label, r["rank"]): (r.vec_id, r.similarity) for r in R.nearest(data, queries, 2, "label").collect()}
     norm = np.linalg.norm(v, axis=1)
     for q in range(60):
         for label in (0, 1, 2, None):
@@ -224,3 +319,42 @@ def test_per_group_takes_any_number_of_queries(spark, monkeypatch):
                 found = got.pop((q, label, k))
                 assert found[0] == i and (found[1] is None if s == 9 else abs(found[1] + s) < 1e-4)
     assert not got
+
+
+def test_containment_beside_plain_search(spark):
+    """Terms of one, two and more words, inside words, over line ends, hot and absent ones, against plain search."""
+    from skein.operators.containment import holding
+
+    rng = random.Random(6)
+    words = ["ab", "abc", "bcd", "é", "ring", "spring", "x", "a.b", "(c)", "long_word_here"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 30))).replace("x", rng.choice(["x", "\n", "  "]))) for i in range(120)] + [(200, None), (201, ""), (202, "ab"), (203, "ab")]
+    terms = ["ab", "b", "ring", "pring x", "ring ab", "ab abc bcd", "c) ab r", "abc  bcd", "\u00e9 \u00e9 \u00e9", "none", "", None, "ab none ring", "a.b", "d (", "x x x x"]
+    got = holding(spark.createDataFrame(texts, "key int, text string").repartition(4), spark.createDataFrame([(t,) for t in terms], "term string"))
+    want = {(i, t) for i, x in texts if x is not None for t in terms if t and t.strip() and t in x}
+    assert {(r.key, r.term) for r in got.collect()} == want and len(want) > 200 and got.count() == len(want)
+
+
+def test_models(spark):
+    from skein.functions import models as M
+
+    df = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "alpha beta"), (4, "bad")], "id int, t string").repartition(2)
+
+    def load():
+        model, calls = M.hashing_model(8), []
+
+        def run(texts):
+            calls.append(1)
+            if "bad" in texts and (len(texts) > 1 or len(calls) > 0):
+                raise ValueError("no")
+            return model(texts)
+
+        return run
+
+    got = {r.id: r.v for r in df.select("id", M.embedder(load, 2, 1, 0.0)(F.col("t")).alias("v")).collect()}
+    assert got[1] == got[3] and abs(sum(x * x for x in got[1]) - 1) < 1e-6 and got[4] is None and set(got[2]) == {0.0}
+    assert "blue" in M.language_model("quoting").generate("what is blue", ["The sky is blue. Grass is green."])
+    with pytest.raises(ValueError):
+        M.language_model("none")
+    q = spark.createDataFrame([(1, "nedir bu"), (2, "what")], "question_id int, question string")
+    assert {r.question_id: r.question for r in T.translated(q, lambda x: [f"en {t}" for t in x]).collect()} == {1: "en nedir bu", 2: "what"}
+    assert T.translated(q, lambda x: 1 / 0).count() == 2

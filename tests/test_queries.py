@@ -32,7 +32,22 @@ def test_query(spark, sf, con, name):
         assert not len(got) or got.equals(want), got.merge(want, how="outer", indicator=True).query("_merge != 'both'").head(8).to_string()
 
 
-def test_entry_without_corpus_operators():
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_entry_without_corpus_operators(tmp_path, also):
+    """A copy of the repository without the corpus operators and their tests, and without the pipeline too, still has all other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    gone = shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache", *also)
+    shutil.copytree(root, tmp_path / "copy", ignore=gone)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'v2_cosine_topk' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120)
+    assert ran.returncode == 0 and int(ran.stdout) == len(catalog.QUERIES), ran.stderr[-2000:]
+
+
+def test_entry():
     import __spark_entry__ as e
 
     assert "v2_cosine_topk" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
