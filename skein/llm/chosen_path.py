@@ -38,7 +38,7 @@ from .components import components
 
 TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, BLOCK, WEAK = 64, 24, 8, 20, 8, 512, 0.5
 #: From APART tokens on that no hub of its node has a document branches by those; below NEAR it is near a hub. How often it branches, but once at depth 2, and by all tokens.
-HUBS, APART, NEAR, OFTEN, REPEATS, ALL_REPEATS = 3, 6, 24, 1.5, 2, 2
+HUBS, APART, NEAR, OFTEN, REPEATS, ALL_REPEATS = 3, 6, 24, 1.25, 2, 2
 _SEEDS = np.random.default_rng(0xC4A1).integers(1, 1 << 31, (TOKENS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLACE = np.random.default_rng(0xC4A2).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 
@@ -247,16 +247,17 @@ class Join:
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *first)
         return nodes.where("n > 1 and lo < hi").select("node", "n", *(x for k in range(hubs) for x in (F.col(f"_{k}.doc").alias(f"hub{k}"), F.col(f"_{k}.comp").alias(f"hub{k}_comp"))))
 
-    def _with_hubs(self, large: DataFrame) -> DataFrame:
-        """Rows of large nodes with their signatures, and their nodes' hubs as two binaries. The hubs are looked up once a node."""
+    def _open_nodes(self, large: DataFrame) -> DataFrame:
+        """Of large nodes those that are not one cluster for the most part, with their hubs as two binaries: (node, hub_comps, hub_sigs)."""
         names = [f"hub{k}" for k in range(HUBS)]
-        nodes = large.select("node", *names, *(f"{h}_comp" for h in names)).dropDuplicates(["node"])
-        for h in names:
-            nodes = nodes.join(self.sets.select(F.col("doc").alias(h), F.col("sig").alias(f"{h}_sig")), h)
+        of_hub = F.sum(F.when(F.col("comp") == F.col("hub0_comp"), 1).otherwise(0))
+        firsts = [F.first(c).alias(c) for h in names for c in (h, f"{h}_comp")]
+        nodes = large.groupBy("node").agg(of_hub.alias("same"), F.max("n").alias("n"), *firsts).where("2 * same < n")
+        hubs = nodes.select("node", F.posexplode(F.array(*(F.struct(F.col(h).alias("doc"), F.col(f"{h}_comp").alias("comp")) for h in names))).alias("k", "h"))
+        signed = hubs.select("node", "k", "h.doc", "h.comp").join(self.sets.select("doc", "sig"), "doc")
         as_bytes = lambda c: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(8))))
-        nodes = nodes.select("node", F.concat(*(as_bytes(F.col(f"{h}_comp")) for h in names)).alias("hub_comps"), F.concat(*(f"{h}_sig" for h in names)).alias("hub_sigs"))
-        rows = large.select("node", "doc", "comp", "used").join(self.sets.select("doc", "sig"), "doc")
-        return rows.join(self.work.keep(nodes, "hubs"), "node").select("node", "doc", "comp", "used", "sig", "hub_comps", "hub_sigs")
+        of = lambda c: F.concat(*(F.max(F.when(F.col("k") == k, c)) for k in range(HUBS)))
+        return signed.groupBy("node").agg(of(as_bytes(F.col("comp"))).alias("hub_comps"), of(F.col("sig")).alias("hub_sigs"))
 
     def _likely(self, pairs: DataFrame, least: float) -> DataFrame:
         """Pairs whose sizes and signatures do not rule out that similarity."""
@@ -285,15 +286,15 @@ class Join:
             two = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SMALL)), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b"), (x["comp"] != y["comp"]).alias("new")))))
             pairs.append(small.select(F.explode(F.filter(two, lambda p: p["new"])).alias("p")).select("p.a", "p.b"))
             large = live.where(F.col("n") > SMALL)
-            if not large.take(1):
+            nodes = self.work.keep(self._open_nodes(large), "nodes")
+            guests.append(large.join(nodes.select("node"), "node", "left_anti").where("comp <> hub0_comp").select(F.col("doc").alias("node"), F.col("hub0_comp").alias("component")))
+            if not nodes.take(1):
                 break
-            of_hub = F.sum(F.when(F.col("comp") == F.col("hub0_comp"), 1).otherwise(0))
-            mostly_one = self.work.keep(large.groupBy("node").agg(of_hub.alias("same"), F.max("n").alias("n")).where("2 * same >= n").select("node"), "mostly_one")
-            guests.append(large.join(mostly_one, "node", "left_semi").where("comp <> hub0_comp").select(F.col("doc").alias("node"), F.col("hub0_comp").alias("component")))
-            large = large.join(mostly_one, "node", "left_anti")
+            large = large.join(nodes, "node")
             if depth < MAX_DEPTH:
-                rows = self._with_hubs(large).mapInArrow(_deeper(self.similarity, 1 if depth == 2 else REPEATS), _BRANCHES + ", guest_of long")
-                rows = self.work.keep(rows, "rows")
+                signed = large.select("node", "doc", "comp", "used", "hub_comps", "hub_sigs").join(self.sets.select("doc", "sig"), "doc")
+                signed = signed.select("node", "doc", "comp", "used", "sig", "hub_comps", "hub_sigs")
+                rows = self.work.keep(signed.mapInArrow(_deeper(self.similarity, 1 if depth == 2 else REPEATS), _BRANCHES + ", guest_of long"), "rows")
                 near = rows.where("guest_of is not null and comp <> guest_of").select(F.col("doc").alias("node"), F.col("guest_of").alias("component")).distinct()
                 guests.append(near)
                 # A first member without a cluster is one of its own, with its guests.
