@@ -17,8 +17,7 @@ The tables are of fixed size, so what they know of rare tokens does not grow. Wh
 in buckets whose number grows with the input. A token's probability is its pair's count, smoothed by the token's count, which is smoothed by the mixing model: each adds up to one. How much each backs
 off is told by how many pairs and tokens occur once (priors()).
 
-No task holds these counts: runs send their pairs and rarer tokens to buckets by hash and get counts back; the TOP most frequent
-tokens (a bound, not a share of the vocabulary) are broadcast. The base score needs the same counts of tokens.
+No task holds these counts: runs send their distinct tokens and pairs to buckets by hash and get counts back. The base score needs the same counts of tokens.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +42,11 @@ STEP, SEEN = 2.8, np.array([1, 4, 32])
 #: Decisions are numbered 0-255 in spelling and 256-511 before it; a gate is a decision and how often the longest context was seen.
 GATES, MAP_BUCKETS, RATE, BATCH = 512 * 4, 33, 0.15, 1 << 15
 #: Text of a run, tokens of a block, groups in which the tables of tasks (of fixed size) are summed first.
-RUN_BYTES, RUN_DOCS, BLOCK, SUM_GROUPS = 5 << 20, 60_000, 20_000, 64
+RUN_BYTES, RUN_DOCS, BLOCK, SUM_GROUPS = 4 << 20, 60_000, 20_000, 64
 CHUNK = 1 << 16
 CACHE_TOKENS = 2_000_000
 END = np.uint64(0x0A0A0A0A0A0A0A0A)
-_ODD, _PAIR_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFF00)
+_ODD, _PAIR_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFF0000)
 _CODEC = pa.Codec("zstd", compression_level=1)
 _NODE_MIX = np.random.default_rng(0x11).integers(1, 1 << 32, 512, dtype=np.uint32)
 
@@ -126,7 +126,7 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pairs_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it, 56 bits of it."""
+    """A hash of each token with the one before it, 48 bits of it: among 10 thousand million pairs an unseen one is taken for one of them with probability 4e-5."""
     before = np.concatenate([[END], hashes[:-1]])
     before[first[:-1]] = END
     return mix64(hashes + mix64(before) * _ODD) & _PAIR_BITS
@@ -470,8 +470,6 @@ class Model:
     tables: list[np.ndarray]
     weights: np.ndarray
     refined: np.ndarray
-    top: np.ndarray  # sorted hashes of the most frequent tokens
-    top_counts: np.ndarray
     train_tokens: int
     train_types: int
     #: Spelled tokens that a scoring worker remembers, and their values; it only saves time.
@@ -605,22 +603,24 @@ def train(docs: DataFrame, work: Workspace) -> tuple[Model, DataFrame, int]:
     codes = codes_of(top, counts, n, spelling)
     blocks = texts.mapInArrow(_gather(codes), "kind long, chunk long, part long, block binary")
     parts = blocks.groupBy("kind", "chunk", "part").applyInArrow(_sum_part, "kind long, chunk long, part long, block binary")
-    summed = work.keep(parts, "tables").groupBy("kind", "chunk").applyInArrow(_sum_blocks, "kind long, chunk long, block binary").toArrow()
+    tables = work.keep(parts, "tables")
+    summed = tables.groupBy("kind", "chunk").applyInArrow(_sum_blocks, "kind long, chunk long, block binary").toArrow()
+    work.drop(tables)
     token_prior, pair_prior = priors(n, sizes, by_place("sizes", 512, PAIR))
-    return Model(codes, *assemble(summed), top, counts, n, v, token_prior=token_prior, pair_prior=pair_prior), vocabulary, buckets
+    return Model(codes, *assemble(summed), n, v, token_prior=token_prior, pair_prior=pair_prior), vocabulary, buckets
 
 
 # ------------------------------------------------------------------ scoring
 
-#: A row of a run: its documents (rows), its distinct tokens' hashes, counts (-1: to be looked up), classes and spelled log10 probabilities, each token's place among them, and the log10
-#: probabilities of its distinct contexts, in order. Other rows have distinct hashes to look up, by kind and bucket, in order.
-_PARTS = "bucket long, run long, kind long, hashes binary, rows binary, counts binary, classes binary, spelled binary, places binary, contexts binary"
+#: A row of a run: its documents (rows), its distinct tokens' classes and spelled log10 probabilities, each token's place among them, and the log10 probabilities of its distinct contexts, in order. Other rows
+#: have distinct hashes of tokens or pairs to look up, by kind and bucket, in order, and get their counts.
+_PARTS = "bucket long, run long, kind long, hashes binary, counts binary, rows binary, classes binary, spelled binary, places binary, contexts binary"
 _ROWS = [("id", "i8"), ("null", "?"), ("held", "?"), ("n", "i8"), ("size", "i8")]
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
 def _score_runs(shared, buckets: int):
-    """A row per run, and rows of its rarer tokens and of its pairs, each once, by bucket."""
+    """A row per run, and rows of its tokens and of its pairs, each once, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -628,19 +628,16 @@ def _score_runs(shared, buckets: int):
             t = tokens_of(*text_arrays(part.column("text")))
             items, of_context, of_spelled = m.values_of(t)
             hashes, place = np.unique(t.hashes, return_inverse=True)
-            at = np.minimum(np.searchsorted(m.top, hashes), max(0, len(m.top) - 1))
-            known = m.top[at] == hashes if len(m.top) else np.zeros(len(hashes), bool)
-            counts = np.where(known, m.top_counts[at], -1) if len(m.top) else np.full(len(hashes), -1)
             spelled = np.zeros(len(hashes), np.float32)
             spelled[np.searchsorted(hashes, t.hashes[items.spelled])] = of_spelled
             ids, n = part.column("doc_id"), np.diff(t.first)
             table = np.zeros(len(n), _ROWS)
             table["id"], table["null"], table["held"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), part.column("held").to_numpy(zero_copy_only=False)
             table["n"], table["size"] = n, np.add.reduceat(t.sizes + 1, t.first[:-1])
-            sent = [counts + 1, _symbols(m.codes.classes, hashes).astype(np.uint8), spelled]
-            rows = [(number % buckets, number, None, squeezed_sorted(hashes), table.tobytes(), *map(squeezed, sent), squeezed(place), squeezed(of_context.astype(np.float32)))]
+            sent = [_symbols(m.codes.classes, hashes).astype(np.uint8), spelled, place, of_context.astype(np.float32)]
+            rows = [(number % buckets, number, None, None, None, table.tobytes(), *map(squeezed, sent))]
             # A bucket is a range of hashes, so what is in order is in order of buckets too.
-            for kind, x in ((TOKEN, hashes[~known]), (PAIR, np.unique(pairs_of(t.hashes, t.first)))):
+            for kind, x in ((TOKEN, hashes), (PAIR, np.unique(pairs_of(t.hashes, t.first)))):
                 cut = np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1))
                 rows += [(int(b), number, kind, squeezed_sorted(x[cut[b] : cut[b + 1]]), *[None] * 6) for b in np.flatnonzero(np.diff(cut))]
             names, types = [f.split()[0] for f in _PARTS.split(", ")], [pa.int64()] * 3 + [pa.binary()] * 7
@@ -655,7 +652,7 @@ def _look_up(key, parts, vocabulary):
     found = []
     for kind, raw in zip(parts.column("kind").to_pylist(), parts.column("hashes"), strict=True):
         if kind is None:
-            found.append(raw.as_py())
+            found.append(None)
             continue
         hashes = loosened_sorted(raw.as_py())
         out = np.zeros(len(hashes), np.int64)
@@ -664,7 +661,9 @@ def _look_up(key, parts, vocabulary):
             at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
             out = np.where(words[at] == hashes, counts[at], 0)
         found.append(squeezed(out))
-    return parts.set_column(parts.column_names.index("hashes"), "hashes", pa.array(found, pa.binary()))
+    # Hashes of pairs are known from those of tokens.
+    kept = pc.if_else(pc.equal(parts.column("kind"), PAIR), pa.scalar(None, pa.binary()), parts.column("hashes"))
+    return parts.set_column(parts.column_names.index("hashes"), "hashes", kept).set_column(parts.column_names.index("counts"), "counts", pa.array(found, pa.binary()))
 
 
 def _finish(n_train: int, v_train: int, token_prior: float, pair_prior: float):
@@ -672,16 +671,15 @@ def _finish(n_train: int, v_train: int, token_prior: float, pair_prior: float):
         rows = sorted(table.to_pylist(), key=lambda r: (-1 if r["kind"] is None else r["kind"], r["bucket"]))
         own = rows[0]
         t = np.frombuffer(own["rows"], _ROWS)
-        hashes, counts = loosened_sorted(own["hashes"]), loosened(own["counts"]).astype(np.int64) - 1
         classes, spelled, contexts = loosened(own["classes"]), loosened(own["spelled"], "f"), loosened(own["contexts"], "f")
-        got = [np.concatenate([np.empty(0, np.int64), *(loosened(r["hashes"]).astype(np.int64) for r in rows if r["kind"] == k)]) for k in (TOKEN, PAIR)]
-        counts[counts < 0] = got[TOKEN]
+        hashes = np.concatenate([loosened_sorted(r["hashes"]) for r in rows if r["kind"] == TOKEN])
+        counts, pair_counts = (np.concatenate([loosened(r["counts"]).astype(np.int64) for r in rows if r["kind"] == k]) for k in (TOKEN, PAIR))
         place = loosened(own["places"]).astype(np.int64)
         stop = np.cumsum(t["n"])
         start = stop - t["n"]
         first = np.append(start, stop[-1])
         each = contexts[np.unique(_context_keys(classes[place].astype(np.int64), first), return_inverse=True)[1]].astype(float) + spelled[place]
-        pair = got[PAIR][np.unique(pairs_of(hashes[place], first), return_inverse=True)[1]]
+        pair = pair_counts[np.unique(pairs_of(hashes[place], first), return_inverse=True)[1]]
         before = np.roll(place, 1)
         before[start] = place[stop[0] - 1]  # the end, which every document has
         n = counts[place]

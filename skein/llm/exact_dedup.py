@@ -28,6 +28,8 @@ FAN_IN = 8
 _RUN = "digest binary, n_bytes long, check_hash long, keep_id long, n long, src int"
 _ARROW = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("check_hash", pa.int64()), ("keep_id", pa.int64()), ("n", pa.int64()), ("src", pa.int32())])
 _BATCH = 50_000
+#: The digest beside columns of any names.
+_DIGEST = "_skein_digest"
 
 
 def digests(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -134,20 +136,21 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", fan_in: int = FAN_IN)
 def without_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of docs, all columns, with one row of each group of equal texts.
 
-    The row with the smallest or largest id stays; of rows that share that id, or have none, any one, as their texts are the same.
+    The row with the smallest or largest id stays; of rows that share that id, or have none, any one, as their texts are the same. Other columns may have any names.
     """
-    groups = exact_groups(docs, keep)
+    work = Workspace(docs.sparkSession, "copies")
+    groups = work.keep(exact_groups(docs, keep).withColumnRenamed("text_sha256", _DIGEST), "groups")
     # By id and text: an id may be given with several texts, of which only some are copies.
-    key = ["doc_id", "text_sha256"]
+    key = ["doc_id", _DIGEST]
     t = F.sha2(F.coalesce("text", F.lit("")), 256)
     dropped = groups.where("not kept and doc_id is not null").select(key).distinct()
     repeated = groups.where("kept and doc_id is not null").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
-    out = docs.where("doc_id is not null").withColumn("text_sha256", t).join(dropped, key, "left_anti")
+    out = docs.where("doc_id is not null").withColumn(_DIGEST, t).join(dropped, key, "left_anti")
     if repeated.take(1):
         again = out.join(repeated, key, "left_semi")
         out = out.join(repeated, key, "left_anti").unionByName(again.dropDuplicates(key))
-    out = out.drop("text_sha256")
+    out = out.drop(_DIGEST)
     # Rows without an id stay, one a text, where no row of that text has an id.
-    lone = groups.where("keep_id is null").select("text_sha256").distinct()
-    nameless = docs.where("doc_id is null").withColumn("text_sha256", t).join(lone, "text_sha256", "left_semi").dropDuplicates(["text_sha256"]).drop("text_sha256")
+    lone = groups.where("keep_id is null").select(_DIGEST).distinct()
+    nameless = docs.where("doc_id is null").withColumn(_DIGEST, t).join(lone, _DIGEST, "left_semi").dropDuplicates([_DIGEST]).drop(_DIGEST)
     return out.unionByName(nameless).select(docs.columns)

@@ -81,18 +81,13 @@ def mix(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, all columns, as often as they are taken.
+    """The mix itself: the rows of docs, all columns whatever their names, as often as they are taken.
 
-    A document's whole repetitions are equal rows. The one document of a source at which its target is reached may be taken in part: the first words of its text,
-    joined by single blanks, with n_chars (if there is such a column) counted anew.
+    Repetitions are equal rows, and texts stay whole: the one document of a source at which its target is reached is taken once more if at least half of its words are wanted, so a
+    source comes within half a document of its target.
     """
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    taken = mix(docs, keep=rest, **options)
-    parts = F.concat(F.array_repeat(F.col("size"), F.col("repeats").cast("int")), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<bigint>")))
-    rows = taken.withColumn("part", F.explode(parts))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    out = rows.withColumn("text", F.when(F.col("part") < F.col("size"), F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("text")))
-    if "n_chars" in rest:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("part") < F.col("size"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_skein_row"))
+    taken = mix(whole, keep=("_skein_row",), **options)
+    times = F.col("repeats") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)
+    rows = taken.select("_skein_row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_skein_time"))
+    return rows.select("_skein_row.*")

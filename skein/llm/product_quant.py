@@ -145,10 +145,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
 
     Two vectors link if their cosine, in double precision, is at least the threshold. n_links counts the other vectors linked directly, copies included;
     component_id is the smallest vec_id reachable. Null or zero vectors, those with null, non-finite or no components, and rows without an id link with nothing.
-    Rows that share a vec_id and a vector are copies of each other. Vectors of a length other than the most common one link with nothing either. An empty table gives no rows.
+    Rows that share a vec_id and a vector are copies of each other. Vectors link with those of their length only. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    work = work or Workspace(spark, "vectors")
+    work = work or Workspace(vectors.sparkSession, "vectors")
     single = vectors.schema[column].dataType.elementType.simpleString() == "float"
     kind = np.float32 if single else np.float64
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
@@ -156,12 +155,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
     good = good.withColumn("most", F.array_max(F.transform("v", lambda x: F.abs(x)))).where("most > 0")
     # Doubles are scaled by the largest component, so that no square overflows or vanishes; squares of floats never do.
     good = good.withColumn("unit", F.col("v") if single else F.transform("v", lambda x: x / F.col("most")))
-    dims = good.groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    ids = rows.select("vec_id")
-    if not dims:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims[0].d
-    good = good.where(F.size("unit") == dim)
+    lengths = [r.d for r in good.groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count"), "d").collect()]
+    if not lengths:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # Vectors of different lengths have no cosine: each length is a join of its own (tables have one, or a few).
+    of = None
+    for dim in lengths:
+        part = _links_of_length(good.where(F.size("unit") == dim), dim, cosine, kind, margin, block, work)
+        of = part if of is None else of.unionByName(part)
+    able = F.col("vec_id").isNotNull() & F.col("v").isNotNull()
+    out = rows.join(of, able & (F.col("v") == F.col("vv")), "left")
+    own = F.coalesce("c", "vec_id")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+
+
+def _links_of_length(good: DataFrame, dim: int, cosine: float, kind, margin: float, block: int, work: Workspace) -> DataFrame:
+    """(vv, links, c): the links and the component of each distinct vector of one length."""
+    spark = good.sparkSession
     copies = work.keep(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("unit").alias("unit")), "copies")
     n = copies.count()
     first = copies.select("unit").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow().column("unit").combine_chunks()
@@ -196,8 +206,4 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", c
     counts = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.where("to >= 0").select(F.col("id").alias("a"), F.col("to").alias("b")), work)
     of = copies.select("v", "id", "times").join(counts, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    of = of.select(F.col("v").alias("vv"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "id").alias("c"))
-    able = F.col("vec_id").isNotNull() & F.col("v").isNotNull()
-    out = rows.join(of, able & (F.col("v") == F.col("vv")), "left")
-    own = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    return of.select(F.col("v").alias("vv"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "id").alias("c"))

@@ -20,6 +20,8 @@ from .common import slices, text_arrays, word_hashes
 from .labelled import SAMPLE_ROWS, held_out, sample
 
 RANK, NEIGHBOURS, THRESHOLD, SHARPNESS = 48, 15, 0.5, 8.0
+#: Documents that are compared with all labelled vectors at once.
+BLOCK = 512
 _WORD_DIMS, _RECUR_DIMS = 256, 20
 
 
@@ -86,13 +88,15 @@ class Model:
         some = np.flatnonzero(x.any(1))
         if not len(self.vectors) or not len(some):
             return out
-        cos = self.latent(x[some]) @ self.vectors.T
-        if leave_out:
-            cos[np.arange(len(cos)), some] = -2
-        k = min(NEIGHBOURS, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cos, near, 1), 1e-6).astype(float) ** SHARPNESS
-        out[some] = (weight * self.labels[near]).sum(1) / weight.sum(1)
+        for at in range(0, len(some), BLOCK):
+            rows = some[at : at + BLOCK]
+            cos = self.latent(x[rows]) @ self.vectors.T
+            if leave_out:
+                cos[np.arange(len(cos)), rows] = -2
+            k = min(NEIGHBOURS, cos.shape[1])
+            near = np.argpartition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k :]
+            weight = np.maximum(np.take_along_axis(cos, near, 1), 1e-6).astype(float) ** SHARPNESS
+            out[rows] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -141,6 +145,19 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     return docs.select(*names).mapInArrow(run, f"{schema}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns whatever their names, whose text scores THRESHOLD or more; a null or empty text counts as score() says."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(m.scores(features(*text_arrays(part.column("text")))) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     return score(docs, train(docs, labels, rows=rows)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

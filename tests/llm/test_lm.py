@@ -91,7 +91,7 @@ def test_whole_token_sequences_score_alike_anywhere():
     tables = [rng.integers(0, 256, 1 << b).astype(np.uint8) for b in lm.TABLE_BITS]
     fresh = lm.Mixer.new()
     fresh.all, fresh.ones = np.zeros(lm.GATES * lm.MAP_BUCKETS), np.zeros(lm.GATES * lm.MAP_BUCKETS)
-    m = lm.Model(codes, tables, fresh.weights, fresh.refined(), np.empty(0, np.uint64), np.empty(0, np.int64), 0, 0)
+    m = lm.Model(codes, tables, fresh.weights, fresh.refined(), 0, 0)
     texts = ["a few words", "", "other words, a few", "x", None, "a few words"]
     both = m.score(lm.tokens_of(*text_arrays(pa.array(texts))))[0]
     alone = [m.score(lm.tokens_of(*text_arrays(pa.array([t], pa.string()))))[0][0] for t in texts]

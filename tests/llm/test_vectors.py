@@ -72,9 +72,10 @@ def test_edges(spark):
     from skein.llm.product_quant import near_vectors
 
     schema = "vec_id long, embedding array<double>, label string"
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1e300, 1e299]), (10, [1e-300, 0.0]), (11, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (2, [2.0, 0.0])]
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1e300, 1e299]), (10, [1e-300, 0.0]), (11, [1.0, 2.0, 3.0]), (12, [2.0, 4.0, 6.1]), (13, [3.0, 2.0, 1.0]), (None, [1.0, 0.0]), (2, [2.0, 0.0])]
     got = sorted((tuple(r) for r in near_vectors(spark.createDataFrame([(i, v, "x") for i, v in rows], schema)).collect()), key=str)
     linked = {1: 4, 2: 4, 9: 4, 10: 4}
-    want = sorted([(i, linked.get(i, 0), 1 if i in linked else i, i == 1 or i not in linked) for i, _ in rows], key=str)
+    # Vectors of another length link with each other.
+    want = sorted([(i, 1, 11, i == 11) if i in (11, 12) else (i, linked.get(i, 0), 1 if i in linked else i, i == 1 or i not in linked) for i, _ in rows], key=str)
     assert got == want
     assert near_vectors(spark.createDataFrame([], schema)).count() == 0
