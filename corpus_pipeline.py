@@ -9,13 +9,12 @@ from skein.llm.common import Workspace
 from skein.llm.exact_dedup import without_copies
 from skein.llm.mixing import mixed
 from skein.llm.packing import pack
-from skein.llm.quality import score, train
+from skein.llm.quality import accepted, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from labelled rows outside the held-out part."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, keep=tuple(docs.columns)).where("predicted = 1").select(docs.columns)
+    return accepted(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +28,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix takes them."""
+    """Whole documents as often as the source mix takes them."""
     return mixed(docs)
 
 
@@ -47,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read again."""
+    """All stages over documents; each is written as Parquet and read again. An empty table has no pieces; other columns of documents may have any names and come along up to the last stage."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
