@@ -132,45 +132,44 @@ def undirected_pairs(hits: DataFrame) -> DataFrame:
     return hits.groupBy(a.alias("a"), b.alias("b"), "edge_type").agg(F.count("*").alias("times")).drop("times")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def reach(edges: DataFrame, roots: DataFrame, types: tuple[str, ...] | None = None, depth: int | None = None) -> DataFrame:
     """(root, node_id, depth) of all nodes within so many steps, the root at 0; safe with cycles. Order by depth and id for a walk by levels."""
-    e = (edges.where(F.col("edge_type").isin(*types)) if types else edges).select("from_id", "to_id").distinct()
+    e = kept((edges.where(F.col("edge_type").isin(*types)) if types else edges).select("from_id", "to_id").distinct())
     front = kept(roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("depth")).distinct())
     found, level = [front], 0
     while depth is None or level < depth:
         level += 1
         step = front.join(e, F.col("node_id") == F.col("from_id")).select("root", F.col("to_id").alias("node_id")).distinct()
-        for seen in found:
-            step = step.join(seen.select("root", "node_id"), ["root", "node_id"], "left_anti")
+        step = step.join(_union(found).select("root", "node_id"), ["root", "node_id"], "left_anti")
         front = kept(step.withColumn("depth", F.lit(level)))
         if not front.take(1):
             break
         found.append(front)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return _union(found)
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 32) -> DataFrame:
     """(start, goal, path): a shortest directed path for each pair (start, goal); the least one by ids. Pairs without a path have no row."""
-    e = edges.select("from_id", "to_id").distinct()
-    goals = pairs.select("start", "goal").distinct()
+    e = kept(edges.select("from_id", "to_id").distinct())
+    goals = kept(pairs.select("start", "goal").distinct())
     front = kept(goals.select("start", F.col("start").alias("at"), F.array("start").alias("path")).distinct())
     seen, out = [front.select("start", "at")], [goals.join(front, "start").where("goal = at").select("start", "goal", "path")]
     for _ in range(depth):
         step = front.join(e, F.col("at") == F.col("from_id")).select("start", F.col("to_id").alias("at"), F.concat("path", F.array("to_id")).alias("path"))
-        for s in seen:
-            step = step.join(s, ["start", "at"], "left_anti")
+        step = step.join(_union(seen), ["start", "at"], "left_anti")
         front = kept(step.groupBy("start", "at").agg(F.min("path").alias("path")))
         if not front.take(1):
             break
         seen.append(front.select("start", "at"))
         out.append(goals.join(front, "start").where("goal = at").select("start", "goal", "path"))
-    paths = out[0]
-    for o in out[1:]:
-        paths = paths.unionByName(o)
-    return paths
+    return _union(out)
 
 
 def path_confidence(paths: DataFrame, nodes: DataFrame) -> DataFrame:
