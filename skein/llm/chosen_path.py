@@ -4,7 +4,7 @@ A document is the set of its word shingles. Each tree sends a document down the
 hash of the branch and the token chooses, 1 / (similarity * tokens) of them: documents as similar as the threshold then share
 one branch at each level on average, less similar ones soon part. Nodes of at most SMALL documents are compared exhaustively, larger ones branch
 again. One tree finds a pair at the threshold with probability 0.63 at depth 1 and 0.47 at depth 2. The TREES deep trees alone miss a pair that they
-resolve at depth 2 with probability 1e-7, over the agreement of its signatures. The FIRST_TREES trees of depth 1 get no credit: on large tables their nodes are beside unlike documents.
+resolve at depth 2 with probability 8e-7, over the agreement of its signatures. The FIRST_TREES trees of depth 1 get no credit: on large tables their nodes are beside unlike documents.
 
 A node that stays large is one of documents that share something very common, such as a passage. Tokens of that do not part its members, and paths through them would go from one large node to the
 next. Its members therefore branch by the tokens only that they share with none of HUBS members of the node (as long as they have APART of them): such a token is chosen so often that a pair at the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, mix64, shingle_sets, slices, spanning, text_arrays
 from .components import components
 
-TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, BLOCK, WEAK = 64, 24, 8, 20, 8, 512, 0.5
+TOKENS, TREES, FIRST_TREES, SMALL, MAX_DEPTH, BLOCK, WEAK = 64, 24, 8, 20, 5, 512, 0.5
 #: From APART tokens on that no hub of its node has a document branches by those; below NEAR it is near a hub. How often it branches, but once at depth 2, and by all tokens.
 HUBS, APART, NEAR, OFTEN, REPEATS, ALL_REPEATS = 3, 6, 24, 1.25, 2, 2
 _SEEDS = np.random.default_rng(0xC4A1).integers(1, 1 << 31, (TOKENS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)

@@ -5,7 +5,6 @@ All Python here works on whole Arrow batches with numpy; nothing loops over word
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
+
 #: Bytes of text that are handled at once in a Python worker.
 SLICE_BYTES = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,12 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a fresh temporary one where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark.sparkContext, "_skein_dir", None) or tempfile.mkdtemp(prefix="skein-")
-        spark.sparkContext._skein_dir = found
-    return found.rstrip("/")
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where none is set and the session is on one machine, as in tests."""
+    return shared_folder(spark)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
