@@ -110,15 +110,23 @@ def loosened_sorted(raw: bytes) -> np.ndarray:
 
 
 def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Numbered slices of a task's rows."""
+    """Numbered runs of a task's rows: slices of its batches, gathered to about RUN_BYTES of text and RUN_DOCS rows (a longer text is a run)."""
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 24
+    number, held, size, docs = TaskContext.get().partitionId() << 24, [], 0, 0
+    joined = lambda: held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     for batch in batches:
-        for part in slices(batch, most=RUN_BYTES):
+        for part in slices(batch):
             for at in range(0, part.num_rows, RUN_DOCS):
-                yield number, part.slice(at, RUN_DOCS)
-                number += 1
+                rows = part.slice(at, RUN_DOCS)
+                n = len(text_arrays(rows.column("text"))[0])
+                if held and (size + n > RUN_BYTES or docs + rows.num_rows > RUN_DOCS):
+                    yield number, joined()
+                    number, held, size, docs = number + 1, [], 0, 0
+                held.append(rows)
+                size, docs = size + n, docs + rows.num_rows
+    if held:
+        yield number, joined()
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
