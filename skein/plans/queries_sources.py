@@ -222,11 +222,13 @@ def sk2_store_append(spark, sf):
     return s.read()
 
 
-@query("SELECT doc_id, lang AS v FROM documents WHERE doc_id < 0")
+@query("SELECT doc_id, lang AS v FROM documents WHERE lang = 'en'")
 def sk5_store_cleared(spark, sf):
+    """A store that is filled, cleared and filled with less."""
     s = _store(spark, "clear", "doc_id long, v string", ["doc_id"])
     s.append(table(spark, sf, "documents").select("doc_id", F.col("lang").alias("v")))
     s.clear()
+    s.append(table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.col("lang").alias("v")))
     return s.read()
 
 
