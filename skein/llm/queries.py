@@ -180,3 +180,43 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .context_mixing import score_documents
 
     return score_documents(documents(spark, sf_dir))
+
+
+_CRC = """list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda r, b: CASE WHEN xor(r, b) & 1 = 1 THEN xor(xor(r, b) >> 1, 3988292384) ELSE xor(r, b) >> 1 END)"""
+
+
+@query(f"""
+WITH t AS (
+  SELECT conv_id, turn, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL
+), own AS MATERIALIZED (SELECT conv_id, list({{'k': k, 'n': n}} ORDER BY turn NULLS FIRST, k) AS s FROM t GROUP BY conv_id
+), c AS (SELECT conv_id, s, conv_id - conv_id % 100 AS base, xor({_CRC}, 4294967295) % 6 AS h FROM own
+), r AS MATERIALIZED (SELECT c.conv_id, list_concat(coalesce(b.s[1:h], []), c.s[h + 1:]) AS s FROM c LEFT JOIN own b ON b.conv_id = c.base
+), p AS MATERIALIZED (SELECT conv_id, d, array_to_string(list_transform(s[1:d], lambda x: x.k), '') AS p, CASE WHEN d > 0 THEN s[d].n ELSE 0 END AS n, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)
+), v AS MATERIALIZED (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM p GROUP BY d, p
+), up AS MATERIALIZED (SELECT v.d, v.p, o.conv_id AS parent, o.d AS pd, o.p AS pp FROM v JOIN p q ON q.conv_id = v.conv_id AND q.d = v.d - 1 JOIN v o ON o.d = q.d AND o.p = q.p
+), k AS MATERIALIZED (SELECT pd AS d, pp AS p, count(*) AS n_children FROM up GROUP BY 1, 2
+), s AS (SELECT q.d, q.p, CAST(sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * v.n) AS BIGINT) AS saved FROM v LEFT JOIN k USING (d, p) JOIN p q ON q.conv_id = v.conv_id AND q.d <= v.d GROUP BY 1, 2)
+SELECT v.conv_id, v.d AS depth, up.parent AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved AS saved_tokens, sha256(ids) AS ends_sha256
+FROM v JOIN s USING (d, p) LEFT JOIN k USING (d, p) LEFT JOIN up USING (d, p)
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_alignment import alignment_counts
+
+    return alignment_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .posting_lists import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
