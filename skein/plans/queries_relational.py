@@ -157,8 +157,13 @@ def u1_first_wins(spark, sf):
 
 @query("""SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)""")
 def sk1_upsert(spark, sf):
-    old = table(spark, sf, "documents").select("doc_id", F.lit(-1).alias("quality"))
-    return Tb.merged(old, table(spark, sf, "labels").select("doc_id", "quality"), ["doc_id"])
+    """Through a store: the labels are a segment of their own behind the documents."""
+    import uuid
+
+    s = Tb.Store(spark, f"{Tb.shared_folder(spark)}/skein-stores/upsert-{uuid.uuid4().hex}", "doc_id long, quality int", ["doc_id"])
+    s.write(table(spark, sf, "documents").select("doc_id", F.lit(-1).alias("quality")))
+    s.upsert(table(spark, sf, "labels").select("doc_id", "quality"))
+    return s.read()
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")

@@ -232,17 +232,54 @@ def sk5_store_cleared(spark, sf):
     return s.read()
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT doc_id, lang FROM documents")
 def sk6_backfill(spark, sf):
-    """A derived table that is out of step, written anew from its source."""
+    """A derived table with as many rows as its source, of which some hold another language: only their buckets are written anew."""
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     source, derived = _store(spark, "source", "doc_id long, lang string", ["doc_id"]), _store(spark, "derived", "doc_id long, lang string", ["doc_id"])
     source.write(docs)
-    derived.write(docs.where("lang = 'en'"))
+    derived.write(docs.withColumn("lang", F.when(F.col("doc_id") % 97 == 5, F.lit("xx")).otherwise(F.col("lang"))))
     Tb.backfill(source, derived, lambda df: df)
+    return derived.read()
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def sk15_rebuilt(spark, sf):
+    """A derived table that is written anew from its source, whatever it held."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    derived = _store(spark, "rebuilt", "doc_id long, lang string", ["doc_id"])
+    derived.write(docs.where("lang = 'en'"))
+    Tb.rebuild(docs, derived, lambda df: df)
     return derived.read().groupBy("lang").agg(F.count("*").alias("n"))
 
 
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def sk4_stream_store(spark, sf):
+    """A stream of event files into a store of each user's last event. The stream is then taken once more from its start, as after the loss of its checkpoint: its batches are known and change nothing."""
+    from ..streaming.ingest import ingest
+
+    base = f"{shared_folder(spark)}/skein-streams/{uuid.uuid4().hex}"
+    table(spark, sf, "events").select("user_id", "event_type", "event_id").repartitionByRange(4, "event_id").write.parquet(f"{base}/in")
+    s = _store(spark, "stream", "user_id long, event_type string, event_id long", ["user_id"])
+    for k in range(2):
+        ingest(spark, f"{base}/in", "user_id long, event_type string, event_id long", s, f"{base}/checkpoint-{k}", "event_id", name="events", files=4)
+    return s.read()
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'third' ELSE lang END AS lang FROM documents WHERE doc_id % 4 <> 1")
+def sk4_store_compacted(spark, sf):
+    """A store after many small writes and deletes by key, folded into bases on the way, and cleaned of what no version needs."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    s = _store(spark, "compacted", "doc_id long, lang string", ["doc_id"])
+    s.deltas = 2
+    s.write(docs)
+    for k in range(3):
+        s.upsert(docs.where((F.col("doc_id") % 9) == 3 * k).withColumn("lang", F.lit("third")))
+    s.delete_keys(docs.where("doc_id % 4 = 1"))
+    s.vacuum()
+    return s.read()
+
+
 @query("SELECT DISTINCT lower(p_name) AS keyword, p_brand AS project FROM part WHERE p_brand <> 'Brand#3' AND lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size = 7)")
 def sk9_signal_store(spark, sf):
     p = table(spark, sf, "part")

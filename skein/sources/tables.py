@@ -1,13 +1,12 @@
-"""Sinks: tables of Parquet with upserts and deletes as rewrites of what changes."""
+"""Sinks: keyed stores and what is derived from them, catalog tables, reports, objects."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import kept
+from ..operators.graph import kept, shared_folder  # noqa: F401
+from .log_store import Store
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -29,50 +28,6 @@ def first_wins(parts: list[DataFrame], key: str) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_p", "_n")
 
 
-class Store:
-    """A keyed table in a folder. Each write makes a new version beside the old one and then turns a pointer, so readers always see a whole version."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
-
-    def _pointer(self) -> str | None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return text
-
-    def read(self) -> DataFrame:
-        version = self._pointer()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        out = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-
-    def upsert(self, new: DataFrame, order: str | None = None) -> None:
-        self.write(merged(self.read(), new, self.keys, order))
-
-    def append(self, new: DataFrame) -> None:
-        """Only rows whose keys are not there yet."""
-        self.write(self.read().unionByName(new.dropDuplicates(self.keys).join(self.read().select(*self.keys), self.keys, "left_anti").select(self.read().columns)))
-
-    def delete(self, where: Column) -> None:
-        self.write(self.read().where(~F.coalesce(where, F.lit(False))))
-
-    def clear(self) -> None:
-        self.write(self.spark.createDataFrame([], self.schema))
-
-
 # ------------------------------------------------------------------ derived tables, reports, objects
 
 
@@ -81,12 +36,20 @@ def in_step(source: DataFrame, derived: DataFrame) -> bool:
     return source.count() == derived.count()
 
 
-def backfill(source: Store, derived: Store, make) -> bool:
-    """Writes a derived table anew from all of its source (make: a function of that table) where the numbers of rows differ. True if it was written."""
-    if in_step(source.read(), derived.read()):
-        return False
-    derived.write(make(source.read()))
-    return True
+def stale_buckets(source: DataFrame, derived: Store) -> list[int]:
+    """The buckets of a derived store in which it does not hold the rows that it should (source: these rows). Hashes of buckets are compared, of which there are few, not rows."""
+    want, have = derived.fingerprints(source), derived.fingerprints(derived.read())
+    both = want.select("bucket", F.struct("n", "h").alias("a")).join(have.select("bucket", F.struct("n", "h").alias("b")), "bucket", "full")
+    return sorted(r.bucket for r in both.where(~F.col("a").eqNullSafe(F.col("b"))).collect())
+
+
+def backfill(source: Store, derived: Store, make) -> list[int]:
+    """Brings a derived table in step with its source (make: a function of that table): the buckets that differ, which alone are written anew."""
+    rows = make(source.read()).select(derived.columns)
+    stale = stale_buckets(rows, derived)
+    if stale:
+        derived.replace(rows.where(derived._bucket().isin(stale)), stale)
+    return stale
 
 
 def rebuild(source: DataFrame, derived: Store, make) -> None:
@@ -115,7 +78,7 @@ def delete_project(store: Store, project: str) -> None:
 def delete_words(store: Store, words: DataFrame, column: str = "keyword") -> None:
     """Deletes the rows whose keyword is in a table of words (keyword), in any case."""
     w = words.select(F.lower(column).alias("_w")).distinct()
-    store.write(store.read().join(w, F.lower(column) == F.col("_w"), "left_anti"))
+    store.delete_keys(store.read().join(w, F.lower(column) == F.col("_w"), "left_semi"))
 
 
 def create_table(spark: SparkSession, name: str, schema: str) -> None:
