@@ -245,6 +245,11 @@ class Store:
     def clear(self) -> None:
         self._commit(lambda state: {"buckets": {}, "order": [], "streams": state["streams"]})
 
+    def restore(self, version: int) -> None:
+        """Makes an older version the newest again."""
+        state = self._state(version)
+        self._commit(lambda _: state)
+
     @staticmethod
     def _ordered(state: dict, buckets: dict) -> dict:
         live = {s for x in buckets.values() for s in x["after"]}
