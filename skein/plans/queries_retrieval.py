@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,18 +13,18 @@ from ..functions import vectors as V
 from ..operators import lexical as L
 from ..operators import linkage as K
 from ..operators import retrieval as R
-from ..operators.graph import kept
+from ..operators.graph import kept, shared_folder
+from ..operators.text_index import TextIndex
 from .catalog import query, table
 
-#: The stated query set of searches by words: the first characters of every document whose id is divisible by 50.
-ASKED_CHARS = 60
+# The stated query set of searches by words: the whole text of every benchmark item.
 TOKENS_SQL = r"""
 toks AS (
   SELECT doc_id, lang, source, list_distinct(flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'),
          lambda w: CASE WHEN contains(w, '_') THEN list_concat([w], list_filter(string_split(w, '_'), lambda p: p <> '')) ELSE [w] END))) AS t FROM documents
 ), q AS (
-  SELECT DISTINCT doc_id AS query_id, unnest(list_distinct(flatten(list_transform(regexp_extract_all(lower(coalesce(substring(text, 1, 60), '')), '[a-z0-9_]+'),
-         lambda w: CASE WHEN contains(w, '_') THEN list_concat([w], list_filter(string_split(w, '_'), lambda p: p <> '')) ELSE [w] END)))) AS term FROM documents WHERE doc_id % 50 = 0
+  SELECT DISTINCT 50 * item_id AS query_id, unnest(list_distinct(flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'),
+         lambda w: CASE WHEN contains(w, '_') THEN list_concat([w], list_filter(string_split(w, '_'), lambda p: p <> '')) ELSE [w] END)))) AS term FROM benchmark
 )"""
 BM25_SQL = rf"""
 WITH {TOKENS_SQL}, idx AS (SELECT doc_id, lang, t, len(t) AS dl FROM toks),
@@ -37,7 +39,8 @@ def bm25_sql(where: str = "") -> str:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce(F.substring("text", 1, ASKED_CHARS), F.lit("")).alias("query"))
+    """Benchmark texts, under the ids of the vectors that ask beside them in hybrid searches."""
+    return table(spark, sf, "benchmark").select((50 * F.col("item_id")).alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,6 +139,34 @@ def f3_bm25_filtered(spark, sf):
     return lexical_hits(spark, sf, 10, F.col("lang") == "en").select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def stored_index(spark, sf) -> TextIndex:
+    """The index of the documents, made once a session for a table of these files: half of them, folded into blocks, then the others and once more some of the first as fresh postings."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _INDEXES:
+        index = TextIndex(spark, f"{shared_folder(spark)}/skein-index/{uuid.uuid4().hex}", buckets=4)
+        index.upsert(docs.where("doc_id % 2 = 0 or doc_id % 5 = 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("older "), "text")).otherwise(F.col("text"))))
+        index.compact()
+        index.upsert(docs.where("doc_id % 2 = 1 or doc_id % 5 = 0"))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+@query(bm25_sql() + " SELECT query_id, doc_id, round(score, 4) AS score, rank::INT AS rank FROM lex WHERE rank <= 10")
+def b1_stored_index(spark, sf):
+    return stored_index(spark, sf).search(questions(spark, sf), 10).select("query_id", F.col("key").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
+
+
+@query(bm25_sql("WHERE lang = 'en'") + " SELECT query_id, doc_id, round(score, 4) AS score, rank::INT AS rank FROM lex WHERE rank <= 10")
+def f3_stored_filtered(spark, sf):
+    """The stored index again; what may be ranked is looked up before candidates are scored."""
+    english = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"))
+    return stored_index(spark, sf).search(questions(spark, sf), 10, english).select("query_id", F.col("key").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
+
+
 # ------------------------------------------------------------------ fusion
 
 SEM_SQL = f"""sh AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, {SIM} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
@@ -215,11 +246,16 @@ def ch5_chunk_500_lines(spark, sf):
     return C.exploded(table(spark, sf, "documents"), C.chunk_500_lines("text"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || '## ') AS t FROM documents),
+p AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '(?m)^(#{1,6} )', chr(57344) || '\1', 'g'), chr(57344)), lambda x: trim(translate(x, chr(10) || chr(13) || chr(9), '   ')) <> '') AS parts FROM d),
+x AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM p),
+w AS (SELECT doc_id, n, part, unnest(range(0, len(part), 2700)) AS s FROM x)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n, s) - 1)::INT AS place, CASE WHEN regexp_matches(part, '^#{1,6} ') THEN trim(regexp_extract(part, '^#{1,6} ([^\n]*)', 1)) ELSE '' END AS heading, md5(substring(part, s + 1, 3000)) AS digest FROM w""")
 def ch20_sections(spark, sf):
-    """Documents as Markdown files, sections by heading or windows."""
-    d = table(spark, sf, "documents").select(F.col("source").alias("project"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    return C.file_chunks(d)
+    """Documents whose lines after a sentence's end are headings, by sections."""
+    t = F.replace("text", F.lit(".\n"), F.lit(".\n## "))
+    s = table(spark, sf, "documents").select("doc_id", F.posexplode(C.sections(t)).alias("place", "s"))
+    return s.select("doc_id", "place", "s.heading", F.md5(F.col("s.content").cast("binary")).alias("digest"))
 
 
 # ------------------------------------------------------------------ text functions

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,63 +33,12 @@ def test_greedy_paragraphs():
     assert C.greedy_paragraphs("", 30, 10) == [] and C.greedy_paragraphs("D" * 100, 30, 10) == ["D" * 100]
 
 
-def test_code_chunkers():
-    v = "// top\nmodule top #(parameter WIDTH = 8) (input clk, output q);\n assign q = clk;\nendmodule\nmodule sub(input a);\nendmodule\n"
-    assert [k for k, _ in C.verilog_chunks(v)] == ["top", "sub"] and "WIDTH" in C.verilog_chunks(v)[0][1].split("\n")[0] and "// top" in C.verilog_chunks(v)[0][1]
-    c = '#include <a.h>\n#define N 3\nint add(int a, int b) {\n  if (a) { return b; }\n  XDma_Reset(a);\n  return a + b;\n}\nstatic int table_of_values_and_more[] = {1, 2, 3};  /* long */\nvoid run(void) { add(1, 2); }\n'
-    labels = [k for k, _ in C.c_chunks(c)]
-    assert labels[0] == "includes_defines_typedefs" and {"add", "run"} <= set(labels) and any(x.startswith("declarations_after_line") for x in labels)
-    assert dict(C.c_chunks(c))["add"].count("{") == dict(C.c_chunks(c))["add"].count("}") and "calls: XDma_Reset" in dict(C.c_chunks(c))["add"] and "constants: N=3" in C.c_chunks(c)[0][1]
-    h = "#define A 1\ntypedef struct { int x; struct { int y; } in; } Point;\nint f;\nvoid g(void) {}\n"
-    assert [k for k, _ in C.c_chunks(h)][:3] == ["includes_defines", "typedef struct Point", "global_vars"]
-    x = "## Clock\nset_property PACKAGE_PIN W5 [get_ports clk]\n#set_property PACKAGE_PIN V1 [get_ports led]\n## Buttons and leds\nset_property PACKAGE_PIN U1 [get_ports {led}]\n"
-    assert "2 active, 1 commented" in C.xdc_chunks(x)[0][1] and "pin clk: W5" in C.xdc_chunks(x)[0][1]
-    long = C.xdc_chunks(x + "# note\n" * 600)
-    assert long[0][0] == "summary" and [k for k, _ in long if k.startswith(("Clock", "Buttons"))][0] == "Clock"
-    t = "# Usage: run it\nproc make {a} {\n puts $a\n" + " # pad\n" * 500 + "}\nproc blocks {} {\n" + "# before the blocks there is a comment that is longer than fifty characters\n# Create instance: dma_0, and set properties\nset dma_0 [ create_bd_cell -type ip -vlnv x:ip:axi_dma:7.1 dma_0 ]\nset_property -dict [list CONFIG.c_w {32}] $dma_0\n" + "# pad\n" * 600 + "connect_bd_net alpha beta\nassign_bd_address the_whole_space\n}\n"
-    kinds = [re.sub(r" \(part.*", "", k) for k, _ in C.tcl_chunks(t)]
-    assert list(dict.fromkeys(kinds)) == ["meta", "make", "header", "dma_0", "net_connections", "address_map"] and "usage: run it" in C.tcl_chunks(t)[0][1]
-    steps = "#### Step 1\n" + "do this\n" * 300 + "#### Step 2\n" + "do that\n" * 200
-    assert [k.split(" (")[0] for k, _ in C.tcl_chunks(steps)] == ["Step 1", "Step 2"]
-    assert [k for k, _ in C.board_design_chunks(json.dumps({"design": {"cells": {"a": {"v": 1}, "b": {}}}}))] == ["a", "b"]
-    m = "# How to build it\n" + "make all the things\n" * 100 + "# Overview of parts\n" + "these are the parts\n" * 100 + "| a | b |\n|---|---|\n"
-    assert [k.split(" (")[0] for k, _ in C.markdown_chunks(m)] == ["HOW|How to build it", "WHAT|Overview of parts"] and [C.heading_dimension(x) for x in ("Known issues", "Motivation", "x")] == ["DEBUG", "WHY", "WHAT"]
-    p = '<P><Speed>400</Speed><Pin PADName="A1" name="dq0"/><Parameters tcke="5" tfaw="45"/></P>'
-    assert all(x in C.memory_project_chunks(p)[0][1] for x in ("Speed: 400", "pin dq0: PADName=A1", "timing: tcke=5, tfaw=45"))
-
-
-def test_no_chunker_loses_text():
-    """Functions, modules, sections and lines beyond a chunk's length come in pieces that together hold every word of them."""
-    rng = random.Random(4)
-    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
-    for name, before, after, joined in (("c", "int f(void) {\n", "\n}\n", "\n"), ("v", "module m(input a);\n", "\nendmodule\n", "\n"), ("tcl", "proc p {} {\n", "\n}\n", " \n"), ("md", "# How\n", "\n", "\n"), ("xdc", "## A\nset_property x\n", "\n", "\n"), ("h", "", "\n", "\n"), ("x", "", "\n", " "), ("pdf", "[PAGE 1]\n1 Overview\n", "\n", "\n")):
-        w = words(1500)
-        text = before + joined.join(w) + after
-        got = C.BY_EXTENSION.get(name, lambda t: C._windows(t, "file"))(text)
-        assert all(len(c) <= C.MAX_CHARS + 400 for _, c in got) and set(w) <= set(re.findall(r"w\d+", " ".join(c for _, c in got))), name
-
-
-def test_manuals():
-    toc = "[PAGE 1]\n1 Introduction ..... 2\n1.1 Short Part ..... 2\n2 Second Part ..... 3\n"
-    text = toc + "[PAGE 2]\n1 Introduction\n" + "text " * 80 + "\n1.1 Short Part\n" + "few words here " * 6 + "\n[PAGE 3]\n2 Second Part\n" + "more " * 80 + "\n"
-    got = C.numbered_sections(text)
-    assert [k for k, _ in got] == ["1 Introduction + Short Part", "2 Second Part"] and "## 1.1 Short Part" in got[0][1]
-    assert [k for k, _ in C.numbered_sections("[PAGE 1]\n3 Long One\n" + "\n\n".join("para " * 300 for _ in range(4)) + "\n")][0] == "3 Long One"
-    guide = "[PAGE 1]\nUG901 (v2019.1) June\nChapter 1: Start\n" + "a word\n" * 300 + "\n[PAGE 2]\nwww.xilinx.com here\n1.1 Next Part\n" + "b word\n\n" * 400
-    got = C.page_chunks(guide)
-    assert got[0][0].startswith("page 1: Chapter") and got[-1][0].startswith("page 2: 1_1 Next") and not any("xilinx" in b for _, b in got) and all(len(b) <= 1800 + 250 for _, b in got)
-    table = "\n".join(["line"] * 100) + "\n\n" + "\n".join(f"{k}: 0x{k:04x}" for k in range(400))
-    assert any(p.endswith("line") for p in C.split_guide(table, 800, 50))
-    manual = "[PAGE 1]\n" + "Intro words. " * 20 + "\n[PAGE 2]\n1 Overview\nIt has an XC7A100T part on pin E3 at 3.3V and 100 MHz.\nBoard Revisions\n" + "x " * 40 + "\nPage 2 of 9\n2 Second Heading\n" + "y " * 60
-    got = dict(C.project_manual_chunks(manual))
-    assert "parts: XC7A100T" in got["1 Overview"] and "pins: E3" in got["1 Overview"] and "Page 2 of 9" not in "".join(got.values()) and "intro" in got
-    assert [k for k, _ in C.project_manual_chunks("".join(f"[PAGE {k}]\n" + "no section here, only words. " * 5 + "\n" for k in range(1, 6)))] == ["page 1", "page 3", "page 5"]
-
-
-def test_file_chunks(spark):
-    rows = [("p", "a/top.v", "module t(input a);\nendmodule"), ("p", "b/readme.md", "# What it is\nsome words that are here"), ("p", "c/x.unknown", "line\n" * 2000), ("p", "d/none.c", None)]
-    got = C.file_chunks(spark.createDataFrame(rows, "project string, path string, content string")).collect()
-    assert {r.label for r in got if r.path == "a/top.v"} == {"t"} and sum(r.path == "c/x.unknown" for r in got) > 10 and not any(r.path == "d/none.c" for r in got)
+def test_sections(spark):
+    rows = [(1, "intro\n# One\nbody\n## Two ##\nmore\n#no heading\n"), (2, "# " + "x" * 5000), (3, ""), (4, None), (5, "   \n\t# not at a line's start"), (6, "###### six\n# \n")]
+    got = {r.i: [(x.heading, x.content) for x in r.s or []] for r in spark.createDataFrame(rows, "i int, t string").select("i", C.sections(F.col("t")).alias("s")).collect()}
+    assert got[1] == [("", "intro\n"), ("One", "# One\nbody\n"), ("Two ##", "## Two ##\nmore\n#no heading\n")]
+    assert [len(c) for _, c in got[2]] == [3000, 2302] and {h for h, _ in got[2]} == {"x" * 5000}
+    assert got[3] == got[4] == [] and got[5] == [("", "   \n\t# not at a line's start")] and got[6] == [("six", "###### six\n"), ("", "# \n")]
 
 
 def test_extraction(spark):
@@ -358,3 +305,17 @@ def test_models(spark):
     q = spark.createDataFrame([(1, "nedir bu"), (2, "what")], "question_id int, question string")
     assert {r.question_id: r.question for r in T.translated(q, lambda x: [f"en {t}" for t in x]).collect()} == {1: "en nedir bu", 2: "what"}
     assert T.translated(q, lambda x: 1 / 0).count() == 2
+
+
+def test_containment_in_blocks_of_terms(spark, monkeypatch):
+    """More terms than one automaton has: blocks of texts meet blocks of terms, with the same result."""
+    from skein.operators import containment
+
+    rng = random.Random(7)
+    texts = [(f"k{i % 90}", " ".join(rng.choices(["alpha", "beta", "gam ma", "x"], k=rng.randrange(0, 12)))) for i in range(100)] + [("n", None)]
+    terms = [f"{a}{b}" for a in ("alpha", "beta", "ma ", "") for b in (" beta", " x", "", "zz")] + [None, " "]
+    run = lambda: sorted(tuple(r) for r in containment.holding(spark.createDataFrame(texts, "key string, text string").repartition(3), spark.createDataFrame([(t,) for t in terms], "term string")).collect())
+    one = run()
+    monkeypatch.setattr(containment, "BLOCK_BYTES", 16)
+    monkeypatch.setattr(containment, "TEXT_BYTES", 500)
+    assert run() == one == sorted({(k, t) for k, x in texts if x for t in terms if t and t.strip() and t in x}) and one
