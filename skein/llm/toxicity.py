@@ -1,9 +1,9 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the average of the embeddings of its hashed byte n-grams (3 to 5 bytes, with marks at both ends) and of itself, so a misspelling
-that was never seen shares most of its vectors with the word that was. A span of SPAN words is the average of its words, and a linear
+that was never seen shares most of its vectors with the word that was. A span of SPAN words, one from every word on, is the average of its words, and a linear
 softmax over that average says how likely it is toxic; a text is as toxic as its most toxic span, so a few words count as much in a
-long text as in a short one. Embeddings and softmax are trained together, by gradient descent with momentum, on the spans that
+long text as in a short one, wherever they stand. Embeddings and softmax are trained together, by gradient descent with momentum, on the spans that
 decide each labelled text.
 
 As the softmax is linear, a span's logit is the average of its words' logits: scoring looks up one number per distinct word.
@@ -52,12 +52,12 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word bounds of the spans of each row, and the number of spans before each row. The last span of a row may be shorter."""
+    """Word bounds of the spans of each row, one from every word on, and the number of spans before each row. A row of fewer words is one span."""
     n = np.diff(first)
-    count = -(-n // SPAN)
+    count = np.where(n > 0, np.maximum(n - SPAN + 1, 1), 0)
     base = np.concatenate([[0], np.cumsum(count)])
     row = np.repeat(np.arange(len(n)), count)
-    start = first[row] + (np.arange(base[-1]) - base[row]) * SPAN
+    start = first[row] + np.arange(base[-1]) - base[row]
     return np.stack([start, np.minimum(start + SPAN, first[row + 1])], 1), base
 
 

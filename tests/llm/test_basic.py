@@ -204,3 +204,25 @@ def test_without_copies_drops_rows_not_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text or "") for r in without_copies(docs).collect()), key=str)
     assert got == sorted([(1, "a"), (2, "b"), (3, ""), (None, "c")], key=str)
+
+
+def test_quality_votes_equal_a_plain_vote():
+    """Neighbours by cosine one at a time, their labels weighted by similarity."""
+    import numpy as np
+    import pyarrow as pa
+
+    from skein.llm import quality
+    from skein.llm.common import text_arrays
+
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words[:40] if k % 2 else words[20:], rng.integers(1, 40))) for k in range(260)]
+    x = quality.features(*text_arrays(pa.array(texts)))
+    m = quality.fit(x[:200], np.arange(200) % 2)
+    got = m.scores(quality.features(*text_arrays(pa.array([*texts[200:], "", None]))))
+    latent = m.latent(x[200:])
+    for z, score in zip(latent, got, strict=False):
+        cos = sorted(((float(z @ v), n) for n, v in enumerate(m.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(c, 1e-6) ** quality.SHARPNESS for c, _ in cos]
+        assert abs(score - sum(w * m.labels[n] for w, (_, n) in zip(weight, cos, strict=True)) / sum(weight)) < 1e-4
+    assert got[-1] == got[-2] == m.prior
