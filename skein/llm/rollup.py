@@ -2,8 +2,8 @@
 
 Totals of documents and tokens by source, language and tokenizer version are additive, so a change is a signed row: an insert adds a document
 and its tokens, a delete takes both away, a revised count adds the difference. A batch of changes is summed (combined before the shuffle) into a small
-table and committed under its id: the data is written first, then one marker file is created that must not exist yet. A batch that is
-committed again, after a retry or a crash before the marker, changes nothing. Reading sums the committed batches; compact() folds
+table and committed under its id: the data is written first, then a marker is renamed into its place, whole, where none may be yet. A batch that is
+committed again changes nothing; one whose writer died at any point is not committed and can be again. Reading sums the committed batches; compact() folds
 them into a snapshot, whose marker lists what it holds.
 """
 
@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.log_store import Files
 from .common import WORD
 
 KEYS = ("source", "lang", "tokenizer")
@@ -47,38 +48,17 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._jvm = spark._jvm
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, *parts: str):
-        return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *(p for p in parts if p)]))
+        self._files = Files(spark, path)
 
     def _mark(self, kind: str, name: str, data: dict) -> bool:
-        """Creates a marker; False if there is one."""
-        try:
-            out = self._fs.create(self._path(kind, name), False)
-        except Exception as e:
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
-        out.write(bytearray(json.dumps(data).encode()))
-        out.close()
-        return True
+        """Makes a marker, whole or not at all; False if there is one. A writer that dies before leaves none."""
+        return self._files.take(json.dumps(data), kind, name)
 
     def _marks(self, kind: str) -> dict[str, dict]:
-        where = self._path(kind)
-        if not self._fs.exists(where):
-            return {}
-        found = {}
-        for s in self._fs.listStatus(where):
-            stream = self._fs.open(s.getPath())
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
-            found[s.getPath().getName()] = json.loads(text)
-        return found
+        return {name: json.loads(self._files.read(kind, name, "manifest")) for name in self._files.names(kind)}
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._path("commits", batch))
+        return batch in self._files.names("commits")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of signed changes once; False if it had been added before."""
@@ -90,7 +70,7 @@ class Rollup:
         self._sums(changes).write.parquet(f"{self.path}/data/{name}")
         if self._mark("commits", batch, {"data": name}):
             return True
-        self._fs.delete(self._path("data", name), True)
+        self._files.delete("data", name)
         return False
 
     @staticmethod
@@ -118,7 +98,8 @@ class Rollup:
             name = f"snapshot-{uuid.uuid4().hex[:12]}"
             self.totals().coalesce(1).write.parquet(f"{self.path}/data/{name}")
             number = 1 + max((int(k) for k in self._marks("snapshots")), default=0)
-            self._mark("snapshots", f"{number:09d}", {"data": name, "batches": sorted(batches)})
+            if not self._mark("snapshots", f"{number:09d}", {"data": name, "batches": sorted(batches)}):
+                self._files.delete("data", name)  # another snapshot came first; it holds, and so do the batches after it
 
 
 def count_words(docs: DataFrame, version: str = "words-1", extra: dict[str, Column] | None = None) -> DataFrame:
