@@ -7,7 +7,7 @@ need, fitted on a bounded sample of it, so lists stay of about LIST_ROWS rows wh
 A vector near a border is kept in several lists: all within BORDER times its smallest distance to a centroid, COPIES at most. A query reads all lists whose distance is within REACH times its
 smallest; there is no cap on how many, and where these hold fewer than k other ids it looks wider, in the end in all lists. Centroids are searched through an in-memory neighbour graph whose beam widens until it holds all that the ratio allows. Cells are broadcast (SAMPLE_ROWS
 bounds them); the lists' centroids are not: rows go to their cells, in blocks, and meet the cell's graph there. Lists are read in blocks of BLOCK rows on either side, scored by exact products in
-double precision, and each block passes on no more than k + 1 vectors a query. Equal vectors are one, with the k + 1 smallest of their ids: no others can be among k neighbours.
+double precision. A query reads its nearest list first; from the others only what comes up to the last of the k + 1 best of that list is passed on, and no more than k + 1 vectors a block. Equal vectors are one, with the k + 1 smallest of their ids: no others can be among k neighbours.
 """
 
 from __future__ import annotations
@@ -133,16 +133,16 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of(x: np.ndarray, z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of x, rows of z and products: the k largest of each row of x, and all that equal the last of these."""
-    fast = x @ z.T
+def best_of(x: np.ndarray, z: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, rows of z and products of at least each row's bound: the k largest of each row of x, and all that equal the last of these."""
+    fast, low = x @ z.T, bound
     if k < len(z):
-        low = np.partition(fast, len(z) - k, axis=1)[:, len(z) - k]
-        size = np.linalg.norm(x, axis=1) * np.linalg.norm(z, axis=1).max()
-        r, c = np.nonzero(~(fast < (low - 1e-12 * size)[:, None]))
-    else:
-        r, c = (v.ravel() for v in np.indices(fast.shape))
-    return r, c, products(x[r], z[c])
+        low = np.maximum(low, np.partition(fast, len(z) - k, axis=1)[:, len(z) - k])
+    size = np.linalg.norm(x, axis=1) * np.linalg.norm(z, axis=1).max()
+    r, c = np.nonzero(~(fast < (low - 1e-12 * size)[:, None]))
+    score = products(x[r], z[c])
+    ok = ~(score < bound[r])
+    return r[ok], c[ok], score[ok]
 
 
 # ---------------------------------------------------------------- index
@@ -197,9 +197,9 @@ def _scored(sphere: Sphere, k: int):
         found = ([], [], [])
         if queries.num_rows and stored.num_rows:
             x, z = sphere.raw(queries.column("vec")), sphere.raw(stored.column("vec"))
-            low = np.array([v[0] for v in stored.column("ids").to_pylist()])
+            low, bound = np.array([v[0] for v in stored.column("ids").to_pylist()]), queries.column("bound").to_numpy()
             for at in range(0, len(x), 256):
-                r, c, score = best_of(x[at : at + 256], z, k + 1)
+                r, c, score = best_of(x[at : at + 256], z, k + 1, bound[at : at + 256])
                 order = np.lexsort((low[c], -score, r))
                 r, c, score = r[order], c[order], score[order]
                 place = np.arange(len(r)) - np.searchsorted(r, r)
@@ -263,14 +263,24 @@ class Index:
     def _within(self, queries: DataFrame, k: int, reach: float) -> DataFrame:
         sphere, work = self.sphere, self.work
         routed = work.keep(queries.mapInArrow(self._route(reach), "cell int, uid long, vec binary, ids array<long>, first boolean"), "asked")
-        near = self._near(routed, reach)
-        asked = near.withColumn("least", F.min("far").over(Window.partitionBy("uid"))).where(F.col("far") <= F.col("least") * reach + 1e-9) if reach < math.inf else near
-        asked = work.keep(asked.select("list", "uid", "vec"), "probes")
+        w = Window.partitionBy("uid")
+        near = self._near(routed, reach).withColumn("least", F.min("far").over(w)).withColumn("place", F.row_number().over(w.orderBy("far", "list")))
+        asked = work.keep((near.where(F.col("far") <= F.col("least") * reach + 1e-9) if reach < math.inf else near).select("list", "place", "uid", "vec"), "probes")
+        first = work.keep(self._top(self._read(asked.where("place = 1").withColumn("bound", F.lit(-math.inf)), k), k), "first")
+        bound = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("bound")).where(F.col("n") > k).select(F.col("query").alias("uid"), "bound")
+        rest = asked.where("place > 1").join(bound, "uid", "left").withColumn("bound", F.coalesce("bound", F.lit(-math.inf)))
+        return self._top(first.unionByName(self._read(rest, k)), k)
+
+    def _read(self, asked: DataFrame, k: int) -> DataFrame:
+        """What queries (list, uid, vec, bound) find in their lists, block by block."""
+        sphere = self.sphere
         cut = lambda c, name: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int").alias(name)
         sizes = self.sizes.join(asked.groupBy("list").agg(F.count("*").alias("n_asked")), "list").select("list", cut("n_stored", "stored_blocks"), cut("n_asked", "asked_blocks"))
-        left = asked.join(sizes, "list").withColumn("qb", F.pmod(F.xxhash64("uid", F.lit(1)), "asked_blocks").cast("int")).select("list", "qb", F.explode(F.sequence(F.lit(0), F.col("stored_blocks") - 1)).alias("sb"), "uid", "vec")
+        left = asked.join(sizes, "list").withColumn("qb", F.pmod(F.xxhash64("uid", F.lit(1)), "asked_blocks").cast("int")).select("list", "qb", F.explode(F.sequence(F.lit(0), F.col("stored_blocks") - 1)).alias("sb"), "uid", "vec", "bound")
         right = self.lists.join(sizes, "list").withColumn("sb", F.pmod(F.xxhash64("uid", F.lit(2)), "stored_blocks").cast("int")).select("list", F.explode(F.sequence(F.lit(0), F.col("asked_blocks") - 1)).alias("qb"), "sb", "uid", "vec", "ids")
-        found = left.groupBy("list", "qb", "sb").cogroup(right.groupBy("list", "qb", "sb")).applyInArrow(lambda key, a, b: _scored(sphere, k)(key, a, b), "query long, uid long, score double, ids array<long>")
+        return left.groupBy("list", "qb", "sb").cogroup(right.groupBy("list", "qb", "sb")).applyInArrow(lambda key, a, b: _scored(sphere, k)(key, a, b), "query long, uid long, score double, ids array<long>")
+
+    def _top(self, found: DataFrame, k: int) -> DataFrame:
         w = Window.partitionBy("query").orderBy(F.desc("score"), F.element_at("ids", 1), "uid")
         return found.dropDuplicates(["query", "uid"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1).drop("place")
 
