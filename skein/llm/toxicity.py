@@ -58,7 +58,7 @@ def spans(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     base = np.concatenate([[0], np.cumsum(count)])
     row = np.repeat(np.arange(len(n)), count)
     start = first[row] + np.arange(base[-1]) - base[row]
-    return np.stack([start, np.minimum(start + SPAN, first[row + 1])], 1), base
+    return np.stack([start, np.minimum(start + SPAN, first[row + 1])], 1).astype(np.int32 if first[-1] < 1 << 31 else np.int64), base
 
 
 def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -81,6 +81,16 @@ def _gathered(to: np.ndarray, values: np.ndarray, at: np.ndarray, n: int) -> np.
     return out
 
 
+def _shared_out(chosen: np.ndarray, values: np.ndarray, span: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """Sums by word of the values of the spans that hold it, in blocks that keep the temporaries small."""
+    out = np.zeros(n)
+    for k in range(0, len(chosen), 1 << 18):
+        at = chosen[k : k + (1 << 18)]
+        length = span[at, 1] - span[at, 0]
+        out += np.bincount(word[_ranges(span[at, 0], length)], np.repeat(values[k : k + (1 << 18)], length), minlength=n)
+    return out
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
@@ -175,8 +185,8 @@ def fit(texts: list[str] | pa.Array, y: np.ndarray, steps: int = STEPS, seed: in
     rows = np.flatnonzero(np.diff(base))
     target = y[rows].astype(float)
     weight = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum())) * len(rows)
-    owner = np.repeat(np.arange(len(rows)), np.diff(base)[rows])
-    lone = np.arange(len(span))
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(base)[rows])
+    lone = np.arange(len(span), dtype=np.int32)
     if not len(used):
         return Model(np.zeros(BUCKETS), float(np.log((y.mean() + 0.01) / (1.01 - y.mean()))))
     for step in range(steps):
@@ -193,9 +203,7 @@ def fit(texts: list[str] | pa.Array, y: np.ndarray, steps: int = STEPS, seed: in
             of, at = np.unique(owner[hit], return_index=True)
             chosen, share = hit[at], np.ones(len(of))
         error = (sigmoid(logit[chosen]) - target[of]) * weight[of] * share / len(rows)
-        length = span[chosen, 1] - span[chosen, 0]
-        tokens = word[_ranges(span[chosen, 0], length)]
-        per_word = np.bincount(tokens, np.repeat(error / SPAN, length), minlength=len(n_grams)) / n_grams
+        per_word = _shared_out(chosen, error / SPAN, span, word, len(n_grams)) / n_grams
         per_bucket = _gathered(grams, per_word, owner_word, len(used))
         # The gradient of a bucket's embedding is its share of the error times the softmax's direction; that of the direction is the sum of the embeddings by those shares.
         d_w = per_bucket @ e
