@@ -15,6 +15,7 @@ from ..operators import linkage as K
 from ..operators import retrieval as R
 from ..operators.graph import kept, shared_folder
 from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from .catalog import query, table
 
 # The stated query set of searches by words: the whole text of every benchmark item.
@@ -120,6 +121,34 @@ def j5_similarity_join(spark, sf):
     return m.join(own.select(F.col("query_id").alias("req_id"), F.col("vec_id").alias("target_id"), F.round("similarity", 4).alias("similarity")), ["req_id", "target_id"]).select("req_id", "target_id", "similarity")
 
 
+_VECTORS: dict[tuple, VectorIndex] = {}
+
+
+def stored_vectors(spark, sf) -> VectorIndex:
+    """The index of the vectors, made once a session for a table of these files."""
+    e = table(spark, sf, "embeddings")
+    key = (spark.sparkContext.applicationId, *sorted(e.inputFiles()))
+    if key not in _VECTORS:
+        index = VectorIndex(spark, f"{shared_folder(spark)}/skein-index/{uuid.uuid4().hex}")
+        index.build(e, keep=("label",))
+        _VECTORS[key] = index
+    return _VECTORS[key]
+
+
+@query(NEAR_SQL.format(sim=SIM, where="") + " SELECT query_id, vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 20 AND round(s, 4) >= 0.35")
+def v3_stored_index(spark, sf):
+    """Limit, then threshold, from stored lists; lists are left out where none of their members can be among the twenty."""
+    hits = stored_vectors(spark, sf).search(search_queries(spark, sf), 20)
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 4).alias("similarity"), "rank").where("similarity >= 0.35")
+
+
+@query(NEAR_SQL.format(sim=SIM, where=" AND e.label IN (1, 3, 5)") + " SELECT query_id, vec_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10")
+def f1_stored_filtered(spark, sf):
+    """The same stored lists again, with a condition on a kept column before the limit."""
+    hits = stored_vectors(spark, sf).search(search_queries(spark, sf), 10, where=F.col("label").isin(1, 3, 5))
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 4).alias("similarity"), "rank")
+
+
 # ------------------------------------------------------------------ words
 
 
