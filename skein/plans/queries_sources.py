@@ -397,12 +397,17 @@ def p3_project_list(spark, sf):
     return Cx.project_list(n.where("node_id < 'R3'"), chunks(spark, sf))
 
 
-@query(f"WITH c AS ({CHUNK_SQL}), q AS (SELECT n_nationkey AS question_id, concat('R', n_regionkey) AS project FROM nation) SELECT question_id, count(*) AS source_chunks, string_agg(DISTINCT regexp_extract(file_path, '([^/]+)$', 1), ',' ORDER BY regexp_extract(file_path, '([^/]+)$', 1)) AS files, 0::BIGINT AS doc_chunks, '' AS docs, count(DISTINCT file_type) AS nodes, count(*) AS edges FROM q JOIN c USING (project) WHERE is_meta = 1 GROUP BY 1 UNION ALL SELECT n_nationkey, 0, '', 0, '', 0, 0 FROM nation WHERE concat('R', n_regionkey) NOT IN (SELECT project FROM c WHERE is_meta = 1)")
+@query(f"""WITH c AS ({CHUNK_SQL}), q AS (SELECT n_nationkey AS question_id, concat('R', n_regionkey) AS project FROM nation),
+f AS (SELECT question_id, file_type, regexp_extract(file_path, '([^/]+)$', 1) AS file FROM q JOIN c USING (project)),
+s AS (SELECT question_id, count(*) AS source_chunks, string_agg(DISTINCT file, ',' ORDER BY file) AS files, count(DISTINCT file_type) AS nodes FROM f GROUP BY 1),
+d AS (SELECT doc_id % 25 AS question_id, count(*) AS doc_chunks, string_agg(DISTINCT concat(source, '/', lang), ',' ORDER BY concat(source, '/', lang)) AS docs FROM documents GROUP BY 1)
+SELECT question_id, coalesce(source_chunks, 0) AS source_chunks, coalesce(files, '') AS files, coalesce(doc_chunks, 0) AS doc_chunks, coalesce(docs, '') AS docs, coalesce(nodes, 0) AS nodes, coalesce(source_chunks, 0) AS edges
+FROM q LEFT JOIN s USING (question_id) LEFT JOIN d USING (question_id)""")
 def e6_answered(spark, sf):
-    """Nations ask; chunks of their region are what was retrieved."""
+    """Nations ask; all chunks of their region and the documents of their number, named by source and language, are what was retrieved."""
     q = table(spark, sf, "nation").select(F.col("n_nationkey").alias("question_id"), F.concat(F.lit("R"), "n_regionkey").alias("project"))
-    c = chunks(spark, sf).where("is_meta = 1").join(q, "project")
-    docs = c.where("false").withColumn("doc_id", F.lit(""))
+    c = chunks(spark, sf).join(q, "project")
+    docs = table(spark, sf, "documents").select((F.col("doc_id") % 25).alias("question_id"), F.concat("source", F.lit("/"), "lang").alias("doc_id"))
     return E.answered(q, c, docs, c.withColumn("node_id", F.col("file_type")), c)
 
 
