@@ -89,7 +89,7 @@ def g11_trace(spark, sf):
     return together(Ro.trace(*inputs(spark, sf)))
 
 
-CROSS = sql(f""", ask AS MATERIALIZED ({ASKS}), few AS (SELECT question_id, node_id, rank FROM hits ANTI JOIN stale USING (node_id) WHERE rank < 2000100),
+CROSS = sql(f""", ask AS MATERIALIZED ({ASKS}), few AS (SELECT question_id, node_id, rank FROM hits ANTI JOIN stale USING (node_id)),
 t AS MATERIALIZED (SELECT node_id, unnest(list_concat([lower(string_split(node_id, '-')[-1])], list_filter(list_filter(string_split(lower(name), ' '), lambda w: w <> '')[1:2], lambda w: length(w) > 3))) AS term FROM nodes),
 u AS MATERIALIZED (SELECT DISTINCT term FROM t), s AS MATERIALIZED (SELECT question_id, term FROM ask JOIN u ON contains(lower(question), term)),
 w AS MATERIALIZED (SELECT question_id, node_id, min(rank) AS rank FROM (SELECT * FROM few UNION ALL SELECT DISTINCT question_id, node_id, 1073741824 FROM s JOIN t USING (term)) SEMI JOIN nodes USING (node_id) GROUP BY 1, 2)""")
@@ -100,9 +100,9 @@ b AS MATERIALIZED (SELECT question_id, x, y, edge_type FROM l UNION ALL SELECT q
 v AS (SELECT question_id, node_id FROM w UNION SELECT question_id, x FROM b UNION SELECT question_id, y FROM b)
 SELECT question_id, 'node' AS kind, node_id AS x, node_type AS y, '' AS edge_type FROM v JOIN nodes USING (node_id) UNION ALL SELECT question_id, 'edge', x, y, edge_type FROM b""")
 def g12_crossref(spark, sf):
-    """Suppliers, nations and the first parts as hits, and what nations name."""
+    """All suppliers, nations and parts as hits, and what nations name."""
     h, n, e, _, stale = inputs(spark, sf)
-    return together(Ro.crossref(questions(spark, sf), h.where("rank < 2000100"), n, e, stale))
+    return together(Ro.crossref(questions(spark, sf), h, n, e, stale))
 
 
 @query(BASE + f", v AS (SELECT question_id, node_id FROM r) SELECT question_id, x AS node_id, y AS node_type FROM ({MINE})")
