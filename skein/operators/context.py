@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import numbered, prefix_scan
+
 # Order of node types in a context, and its shares.
 PRIORITY = ("PROJECT", "DECISION", "REQUIREMENT", "COMPONENT", "EVIDENCE", "CONSTRAINT", "PATTERN", "ISSUE", "SOURCE_DOC")
 SOURCE_SHARE, DOC_SHARE, LEAST_DOCS, LEAST_LEFT = 0.60, 0.25, 2000, 200
@@ -28,19 +30,16 @@ def first_chunks(chunks: DataFrame, group: str, n: int = 20) -> DataFrame:
     return chunks.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def within_budget(rows: DataFrame, group: str, order: list, size: str, budget: int, head: Column | None = None, least: int = LEAST_LEFT) -> DataFrame:
+def within_budget(rows: DataFrame, group: str, order: list[str], size: str, budget: int, head: Column | None = None, least: int = LEAST_LEFT) -> DataFrame:
     """Rows from the first on with taken, what of their size fits into what is left of the budget, until at most `least` is left: the row that crosses the budget is cut and the last one.
 
-    Each row costs its head (its heading's size and what goes around it) besides what is taken.
+    Each row costs its head (its heading's size and what goes around it) besides what is taken. A group of any size is split (prefix_scan); order tells its rows apart.
     """
-    w = Window.partitionBy(group).orderBy(*order)
     cost = F.col(size) + (head if head is not None else F.lit(0))
-    before = F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.lit(budget) - F.col("_before")
-    first = F.row_number().over(w) == 1
-    rows = rows.withColumn("_before", before).withColumn("_first", first)
+    rows = prefix_scan(rows, [group], order, {"_before": cost, "_earlier": F.lit(1)})
+    left, first = F.lit(budget) - F.col("_before"), F.col("_earlier") == 0
     room = F.greatest(F.lit(0), left - (head if head is not None else F.lit(0)))
-    return rows.where(F.col("_first") | (left > least)).withColumn("taken", F.least(F.col(size), room).cast("long")).withColumn("running", (F.col("_before") + cost).cast("long")).drop("_before", "_first")
+    return rows.where(first | (left > least)).withColumn("taken", F.least(F.col(size), room).cast("long")).withColumn("running", (F.col("_before") + cost).cast("long")).drop("_before", "_earlier")
 
 
 def pack(chunks: list[dict], nodes: list[dict], docs: list[dict], edges: list[dict] = (), tree: list[dict] = (), warnings: list[str] = (), max_chars: int = 22_000, max_nodes: int = 15) -> str:
@@ -98,8 +97,7 @@ def project_list(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
     a = own.select(F.col("node_id").alias("project"), F.concat(pad(F.col("node_id")), F.lit(": "), said, F.coalesce(F.concat(F.lit(" ("), text("board"), F.lit(")")), F.lit(""))).alias("line"), F.lit(0).alias("_p"))
     b = chunks.where("project is not null and project <> ''").select("project").distinct().join(own.select(F.col("node_id").alias("project")), "project", "left_anti")
     b = b.select("project", F.concat(pad(F.col("project")), F.lit(": sources only")).alias("line"), F.lit(1).alias("_p"))
-    # Projects are a short list; it is numbered as a whole.
-    return a.unionByName(b).withColumn("place", F.row_number().over(Window.orderBy("_p", "project"))).drop("_p")
+    return numbered(a.unionByName(b), ["_p", "project"]).withColumn("place", F.col("place").cast("int")).drop("_p")
 
 
 def system_prompt(projects: list[str], template: str = "You answer questions about these projects:\n{projects}\nOnly what the context says counts.\n\nCONTEXT:\n{context}\n\nQUESTION:\n{question}", context: str = "", question: str = "") -> str:

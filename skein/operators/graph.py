@@ -258,9 +258,10 @@ def trees_without_roots(edges: DataFrame, roots: DataFrame, types: tuple[str, ..
 
 
 def last_before(events: DataFrame, marks: DataFrame, key: str, at: str, mark_at: str, value: str) -> DataFrame:
-    """As-of lookup: events with the value of their key's last mark at or before them, null if there is none. One union and a window, no inequality join."""
+    """As-of lookup: events with the value of their key's last mark at or before them, null if there is none. One union and a scan that splits hot keys, no inequality join."""
+    from .scan import prefix_scan
+
     e = events.withColumn("_m", F.lit(1)).withColumn("_v", F.lit(None).cast(marks.schema[value].dataType))
     m = marks.select(F.col(key), F.col(mark_at).alias(at), F.col(value).alias("_v"), F.lit(0).alias("_m"))
-    w = Window.partitionBy(key).orderBy(at, "_m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = e.unionByName(m, allowMissingColumns=True).withColumn(f"last_{value}", F.last("_v", ignorenulls=True).over(w))
+    both = prefix_scan(e.unionByName(m, allowMissingColumns=True), [key], [at, "_m"], lasts={f"last_{value}": F.col("_v")})
     return both.where("_m = 1").drop("_m", "_v")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import kept, shared_folder  # noqa: F401
+from ..operators.scan import numbered
 from .log_store import Store
 
 
@@ -63,12 +64,8 @@ def signals_store(spark: SparkSession, path: str) -> Store:
 
 
 def listed(signals: DataFrame, order: list[str]) -> DataFrame:
-    """signals with their place in order. Only the places of range partitions' rows are counted together, not the rows themselves."""
-    parts = signals.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    own = kept(parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_at"))))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.groupBy("_part").agg(F.count("*").alias("_c")).withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("_part", "_start")
-    return own.join(starts, "_part").withColumn("place", (F.col("_n") + F.col("_start")).cast("int")).drop("_part", "_at", "_n", "_start")
+    """signals with their place in order."""
+    return numbered(signals, order).withColumn("place", F.col("place").cast("int"))
 
 
 def delete_project(store: Store, project: str) -> None:
@@ -189,4 +186,4 @@ def in_batches(rows: DataFrame, store: Store, key: str, size: int, transform=Non
 def queue(categories: DataFrame, completed: DataFrame) -> DataFrame:
     """(category, priority, place): categories (category, priority) that have not been completed (category), in order of priority, then name."""
     todo = categories.join(completed.select("category"), "category", "left_anti")
-    return todo.withColumn("place", F.row_number().over(Window.orderBy("priority", "category")))
+    return numbered(todo, ["priority", "category"]).withColumn("place", F.col("place").cast("int"))
