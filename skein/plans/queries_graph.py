@@ -14,6 +14,7 @@ from ..operators import graph as G
 from ..operators import linkage as K
 from ..operators import retrieval as R
 from .catalog import query, table
+from .queries_retrieval import stored_vectors
 
 NODES = """
 SELECT concat('R', r_regionkey) AS node_id, 'PROJECT' AS node_type, r_name AS name, concat('R', r_regionkey) AS project, 'HIGH' AS confidence FROM region
@@ -328,7 +329,9 @@ def j8_analogous(spark, sf):
 def j9_similar_issues(spark, sf):
     """Vectors as issues, labels as projects; a lower threshold than that of issues, as the vectors are far apart."""
     nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("label").alias("project"))
-    return K.similar_issues(nearest(spark, sf, 8), nodes, 0.25).select("a", "b", F.round("similarity", 4).alias("similarity"))
+    e = table(spark, sf, "embeddings")
+    hits = stored_vectors(spark, sf).search(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 8, at_least=0.25).withColumnRenamed("id", "node_id")
+    return K.similar_issues(hits, nodes, 0.25).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
 #: What a decision says, by its id.

@@ -332,3 +332,12 @@ def f12_length_filter(spark, sf):
 @query("SELECT doc_id FROM documents WHERE contains(text, 'License') AND lang = 'en'")
 def f4_contains(spark, sf):
     return table(spark, sf, "documents").where(F.contains("text", F.lit("License")) & (F.col("lang") == "en")).select("doc_id")
+
+
+@query(f"""WITH h AS (SELECT q.vec_id AS query_id, e.vec_id, {SIM} AS s FROM embeddings e JOIN embeddings q ON e.label = q.label AND e.vec_id % 2 = 1 AND q.vec_id % 2 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM h WHERE s >= 0.2) SELECT query_id AS req_id, vec_id AS target_id, round(s, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 5""")
+def j5_across(spark, sf):
+    """Vectors of even ids as requirements, of odd ones as components: the five nearest of a label (project) from 0.2 on, as the vectors are far apart. A neighbour join over the stored lists."""
+    q = table(spark, sf, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    hits = stored_vectors(spark, sf).search(q, 5, where=F.col("id") % 2 == 1, at_least=0.2, same="label")
+    return hits.select(F.col("query_id").alias("req_id"), F.col("id").alias("target_id"), F.round("similarity", 4).alias("similarity"), "rank")
