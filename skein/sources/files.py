@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_comments
+from .file_source import listed_files
 
 # Languages by extension, and folders that hold no sources.
 LANGUAGES = {
@@ -49,17 +50,24 @@ def _language(languages: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in languages.items() for x in kv)), extension(F.col("path")))
 
 
+def _sources(spark: SparkSession, path: str, extensions: tuple[str, ...], most_bytes: int | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(path, length, content) of texts. On a mounted path the listing settles what is opened (file_source.py); on other file systems Spark's own reader is asked, as it knows them all, and skipped folders are dropped after."""
+    if "://" in path:
+        df = files(spark, path, extensions, most_bytes=most_bytes)
+        return df.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skip)))) if skip else df
+    return listed_files(spark, path, extensions, most_bytes, skip).select("path", "length", F.decode("content", "UTF-8").alias("content")).where(F.col("content").rlike(r"\S"))
+
+
 def code_files(spark: SparkSession, path: str) -> DataFrame:
     """Source files outside ignored folders with their language, and a header line before the content."""
-    df = files(spark, path, tuple(LANGUAGES)).withColumn("language", _language(LANGUAGES))
-    ok = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED_FOLDERS)))
-    return df.where(F.col("language").isNotNull() & ok).withColumn("content", F.concat(F.lit("// File: "), "path", F.lit("\n// Language: "), "language", F.lit("\n\n"), "content"))
+    df = _sources(spark, path, tuple(LANGUAGES), skip=IGNORED_FOLDERS).withColumn("language", _language(LANGUAGES))
+    return df.where(F.col("language").isNotNull()).withColumn("content", F.concat(F.lit("// File: "), "path", F.lit("\n// Language: "), "language", F.lit("\n\n"), "content"))
 
 
 def project_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content, project, language) of a project's files of 14 kinds, without large and blank ones; the project is the folder's name."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
-    return files(spark, path, tuple(PROJECT_LANGUAGES), most_bytes=PROJECT_FILE_BYTES).withColumn("project", F.lit(name)).withColumn("language", _language(PROJECT_LANGUAGES))
+    return _sources(spark, path, tuple(PROJECT_LANGUAGES), PROJECT_FILE_BYTES).withColumn("project", F.lit(name)).withColumn("language", _language(PROJECT_LANGUAGES))
 
 
 def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
