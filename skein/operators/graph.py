@@ -106,6 +106,19 @@ def patched(nodes: DataFrame, patch: DataFrame, field: str) -> DataFrame:
     return nodes.join(p, "node_id", "left").withColumn(field, F.coalesce("_new", field)).drop("_new").select(nodes.columns)
 
 
+def patched_edges(edges: DataFrame, patch: DataFrame, nodes: DataFrame, order: str = "seq") -> DataFrame:
+    """edges, one a pair (from_id, to_id), after a patch of wanted ones: a pair that has no edge, or one of another type, gets the patch's; an edge of the wanted type stays as it is.
+
+    Patch rows with an end that is no node are left out, and of several for a pair the last in order counts. Columns that the patch lacks are null in its rows.
+    """
+    ids = nodes.select("node_id").distinct()
+    for end in ("from_id", "to_id"):
+        patch = patch.join(ids.withColumnRenamed("node_id", end), end, "left_semi")
+    new = latest(patch, ["from_id", "to_id"], order).drop(order).join(edges.select("from_id", "to_id", "edge_type"), ["from_id", "to_id", "edge_type"], "left_anti")
+    old = edges.join(new.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
+    return old.unionByName(new, allowMissingColumns=True).select(edges.columns)
+
+
 # ------------------------------------------------------------------ reading
 
 

@@ -360,3 +360,61 @@ def j10_pattern_reuse(spark, sf):
     b = table(spark, sf, "benchmark").select(F.concat(F.lit("B"), "item_id").alias("node_id"), "item_id", "text")
     have = d.select(F.col("node_id").alias("from_id"), (F.col("doc_id") % 20).alias("k")).join(b.select(F.col("node_id").alias("to_id"), (F.col("item_id") % 20).alias("k")), "k")
     return K.pattern_reuse(d, b, have)
+
+
+# ------------------------------------------------------------------ all strategies at once
+
+#: Parts are requirements and also components, named by the first word of their names; suppliers are evidence and constraints. Hits are those of vectors with close neighbours on the other side.
+NAMED_PARTS = "SELECT concat('C', p_partkey) AS node_id, concat('R', p_partkey % 5) AS project, regexp_extract(p_name, '([a-z]{4,})', 1) AS name FROM part"
+PART_EDGES = "SELECT DISTINCT concat('C', l_partkey) AS from_id, concat('C', l_suppkey) AS to_id, 'DEPENDS_ON' AS edge_type FROM lineitem UNION ALL SELECT concat('C', p_partkey), concat('P', p_partkey), 'IMPLEMENTS' FROM part WHERE p_size = 7"
+L1_SQL = f"""WITH r AS MATERIALIZED (SELECT node_id, project, lower(text) AS t FROM ({PARTS})), c AS MATERIALIZED ({NAMED_PARTS}), g AS MATERIALIZED ({PART_EDGES}), {TERMS_SQL}, {METRIC},
+s1 AS (SELECT DISTINCT r.node_id AS req, k.node_id AS tgt FROM r JOIN k ON r.project = k.project AND contains(r.t, k.term)),
+near AS (SELECT q.vec_id AS q, e.vec_id AS v, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e JOIN embeddings q ON e.label = q.label AND e.vec_id % 2 = 1 AND q.vec_id % 2 = 0),
+s2 AS (SELECT concat('P', q) AS req, concat('C', v) AS tgt FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, v) AS rank FROM near WHERE s >= 0.25) WHERE rank <= 5),
+a AS MATERIALIZED (SELECT * FROM s1 UNION SELECT * FROM s2), d AS MATERIALIZED (SELECT from_id, to_id FROM g WHERE edge_type = 'DEPENDS_ON'),
+d1 AS MATERIALIZED (SELECT DISTINCT req, to_id AS tgt FROM a JOIN d ON from_id = tgt), d2 AS (SELECT DISTINCT req, to_id AS tgt FROM d1 JOIN d ON from_id = tgt),
+s3 AS (SELECT x.req, x.tgt FROM (SELECT * FROM d1 UNION SELECT * FROM d2) x JOIN c ON c.node_id = x.tgt JOIN r ON r.node_id = x.req AND r.project = c.project ANTI JOIN a ON a.req = x.req AND a.tgt = x.tgt),
+h AS MATERIALIZED (SELECT node_id, project, lower(text) AS t FROM ({HELD})), f AS (SELECT node_id, project, arg_min(metric, k) AS metric FROM r JOIN m ON contains(t, metric) GROUP BY 1, 2), e4 AS (SELECT node_id, project, metric FROM h JOIN m ON contains(t, metric)),
+s4 AS (SELECT DISTINCT f.node_id AS req, e4.node_id AS tgt FROM f JOIN e4 ON f.metric = e4.metric AND (e4.project IS NULL OR e4.project = f.project) WHERE length(f.metric) >= 3),
+words AS (SELECT unnest([1, 2, 3, 4]) AS k, unnest([{WORDS}]) AS ws), w AS (SELECT k, unnest(ws) AS word FROM words), rc AS (SELECT DISTINCT node_id, project, k FROM r JOIN w ON contains(t, word)), cc AS (SELECT DISTINCT node_id, project, k FROM h JOIN w ON contains(t, word)),
+s5 AS (SELECT DISTINCT rc.node_id AS req, cc.node_id AS tgt FROM rc JOIN cc ON rc.k = cc.k AND (cc.project IS NULL OR cc.project = rc.project)),
+u AS (SELECT req, tgt, 'IMPLEMENTS' AS edge_type, 'name_match' AS strategy, 'HIGH' AS confidence FROM s1 UNION ALL SELECT req, tgt, 'IMPLEMENTS', 'semantic', 'MEDIUM' FROM s2 UNION ALL SELECT req, tgt, 'IMPLEMENTS', 'structural_indirect', 'MEDIUM' FROM s3
+UNION ALL SELECT req, tgt, 'VERIFIED_BY', 'evidence_bind', 'HIGH' FROM s4 UNION ALL SELECT req, tgt, 'CONSTRAINED_BY', 'constraint_bind', 'HIGH' FROM s5),
+best AS MATERIALIZED (SELECT req AS req_id, tgt AS target_id, edge_type, arg_min(strategy, (CASE confidence WHEN 'HIGH' THEN 0 ELSE 1 END, strategy)) AS strategy, min(confidence) AS confidence FROM u GROUP BY 1, 2, 3)"""
+
+
+def _matching(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    near = stored_vectors(spark, sf).search(q, 5, where=F.col("id") % 2 == 1, at_least=0.25, same="label")
+    # The vectors are far apart, so their cosines are moved up.
+    hits = near.select(F.concat(F.lit("P"), "query_id").alias("query_id"), F.concat(F.lit("C"), "id").alias("node_id"), (F.col("similarity") + 0.5).alias("similarity"), "rank")
+    held = rows(spark, sf, HELD, "supplier")
+    return K.run_matching(rows(spark, sf, PARTS, "part"), rows(spark, sf, NAMED_PARTS, "part"), held, held, hits, rows(spark, sf, PART_EDGES, "lineitem", "part"))
+
+
+@query(L1_SQL + " SELECT * FROM best")
+def l1_matching(spark, sf):
+    """All five strategies over parts and suppliers, the best match of each pair and type."""
+    return _matching(spark, sf)[0].select("req_id", "target_id", "edge_type", "strategy", "confidence")
+
+
+@query(L1_SQL + """, done AS (SELECT * FROM best WHERE edge_type = 'IMPLEMENTS'), real AS (SELECT * FROM g WHERE edge_type = 'IMPLEMENTS')
+SELECT 'gap' AS kind, node_id FROM r WHERE node_id NOT IN (SELECT req_id FROM done) AND node_id NOT IN (SELECT to_id FROM real) UNION ALL SELECT 'orphan', node_id FROM c WHERE node_id NOT IN (SELECT target_id FROM done) AND node_id NOT IN (SELECT from_id FROM real)""")
+def l1_gaps(spark, sf):
+    """What no strategy and no edge implements, and what implements nothing."""
+    _, gaps, orphans = _matching(spark, sf)
+    return gaps.select(F.lit("gap").alias("kind"), "node_id").unionByName(orphans.select(F.lit("orphan").alias("kind"), "node_id"))
+
+
+@query("""WITH e AS (SELECT l_partkey AS f, l_suppkey AS t, arg_max(CASE WHEN l_linenumber % 2 = 0 THEN 'IMPLEMENTS' ELSE 'DEPENDS_ON' END, l_orderkey * 10 + l_linenumber) AS edge_type FROM lineitem GROUP BY 1, 2),
+p AS (SELECT l_partkey AS f, l_suppkey + 1 AS t, arg_max(CASE WHEN l_quantity > 25 THEN 'IMPLEMENTS' ELSE 'DECOMPOSES_TO' END, l_orderkey * 10 + l_linenumber) AS edge_type FROM lineitem GROUP BY 1, 2),
+ok AS (SELECT * FROM p WHERE t IN (SELECT s_suppkey FROM supplier) AND f IN (SELECT p_partkey FROM part))
+SELECT concat('P', coalesce(e.f, ok.f)) AS from_id, concat('S', coalesce(e.t, ok.t)) AS to_id, coalesce(ok.edge_type, e.edge_type) AS edge_type, CASE WHEN ok.f IS NULL OR ok.edge_type = e.edge_type THEN 'load' ELSE 'patch' END AS note FROM e FULL JOIN ok ON e.f = ok.f AND e.t = ok.t""")
+def sk11_edges_patched(spark, sf):
+    """Pairs of parts and suppliers as edges; each line also asks for an edge to the next supplier, which may not be there or have an edge of the same or another type."""
+    one = table(spark, sf, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("from_id"), "l_suppkey", "l_quantity", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    old = one.select("from_id", F.concat(F.lit("S"), "l_suppkey").alias("to_id"), F.when(F.col("l_linenumber") % 2 == 0, "IMPLEMENTS").otherwise("DEPENDS_ON").alias("edge_type"), F.lit("load").alias("note"), "seq")
+    patch = one.select("from_id", F.concat(F.lit("S"), F.col("l_suppkey") + 1).alias("to_id"), F.when(F.col("l_quantity") > 25, "IMPLEMENTS").otherwise("DECOMPOSES_TO").alias("edge_type"), F.lit("patch").alias("note"), "seq")
+    nodes = table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node_id")).unionByName(table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node_id")))
+    return G.patched_edges(G.latest(old, ["from_id", "to_id"], "seq").drop("seq"), patch, nodes)
