@@ -13,7 +13,7 @@ from ..operators import gates as Gt
 from ..operators import graph as G
 from ..operators import linkage as K
 from ..operators import retrieval as R
-from .catalog import query, table
+from .catalog import ORACLES, query, table
 from .queries_retrieval import stored_vectors
 
 NODES = """
@@ -418,3 +418,25 @@ def sk11_edges_patched(spark, sf):
     patch = one.select("from_id", F.concat(F.lit("S"), F.col("l_suppkey") + 1).alias("to_id"), F.when(F.col("l_quantity") > 25, "IMPLEMENTS").otherwise("DECOMPOSES_TO").alias("edge_type"), F.lit("patch").alias("note"), "seq")
     nodes = table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node_id")).unionByName(table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node_id")))
     return G.patched_edges(G.latest(old, ["from_id", "to_id"], "seq").drop("seq"), patch, nodes)
+
+
+_PAIR = "SELECT least(concat('V', a), concat('V', b)) AS from_id, greatest(concat('V', a), concat('V', b)) AS to_id"
+
+
+@query(f"""WITH k AS (SELECT concat('D', doc_id) AS id, source AS project, concat('kind', doc_id % 300) AS kind FROM documents)
+SELECT x.id AS from_id, y.id AS to_id, 'ANALOGOUS_TO' AS edge_type, 'HIGH' AS confidence FROM k x JOIN k y ON x.kind = y.kind AND x.id < y.id AND x.project <> y.project
+UNION ALL {_PAIR}, 'ANALOGOUS_TO', 'MEDIUM' FROM ({ORACLES["j9_similar_issues"]}) UNION ALL SELECT component, pattern, 'REUSES_PATTERN', 'MEDIUM' FROM ({ORACLES["j10_pattern_reuse"]}) UNION ALL {_PAIR}, 'CONTRADICTS', 'MEDIUM' FROM ({ORACLES["j11_contradictions"]})""")
+def l2_cross_references(spark, sf):
+    """All four detections: documents as components, benchmark passages as patterns, vectors as issues and decisions with labels as projects."""
+    e = table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    v = lambda c: F.concat(F.lit("V"), c)
+    hits = lambda k, least, similarity: stored_vectors(spark, sf).search(q, k, at_least=least).select(v("query_id").alias("query_id"), v("id").alias("node_id"), similarity.alias("similarity"), "rank")
+    issues = e.select(v("vec_id").alias("node_id"), F.col("label").alias("project"))
+    decisions = e.selectExpr("concat('V', vec_id) AS node_id", "label AS project", f"{SAYS.format(v='vec_id')} AS text")
+    d = table(spark, sf, "documents").select(F.concat(F.lit("D"), "doc_id").alias("node_id"), F.col("source").alias("project"), F.lit(None).cast("string").alias("name"), "text", "doc_id", F.concat(F.lit("kind"), F.col("doc_id") % 300).alias("kind"))
+    b = table(spark, sf, "benchmark").select(F.concat(F.lit("B"), "item_id").alias("node_id"), "item_id", "text")
+    have = d.select(F.col("node_id").alias("from_id"), (F.col("doc_id") % 20).alias("k")).join(b.select(F.col("node_id").alias("to_id"), (F.col("item_id") % 20).alias("k")), "k")
+    # The vectors are far apart, so their cosines are moved up.
+    found = K.cross_references(d, b, decisions, hits(8, 0.25, F.col("similarity") + (K.ISSUE_AT_LEAST - 0.25)), issues, hits(10, -0.2, (1 + F.col("similarity")) / 2 + 0.2), have, F.col("kind"))
+    return found.select("from_id", "to_id", "edge_type", "confidence")

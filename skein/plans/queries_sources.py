@@ -415,3 +415,30 @@ def e6_answered(spark, sf):
 def t1_first_chunks(spark, sf):
     c = table(spark, sf, "documents").select("lang", F.col("doc_id").alias("chunk_id"), (F.col("n_chars") % 1000).alias("similarity"))
     return Cx.first_chunks(c, "lang").select("lang", "chunk_id", "place")
+
+
+# ------------------------------------------------------------------ files that a catalog names, and what describes a project
+
+
+@query(f"""WITH l AS ({LISTING}), f AS (SELECT path, string_split(substring(path, 4), '/')[1] AS project, regexp_extract(path, '([^/]+)$', 1) AS name FROM l), named AS (SELECT project, arg_min(name, path) AS name FROM f GROUP BY project)
+SELECT DISTINCT f.project, path FROM f JOIN named USING (project) WHERE f.name = named.name OR ({EXT} = 'v' AND NOT contains(path, '/.gen/'))""")
+def sc10_named_files(spark, sf):
+    """Each design as a project whose catalog entry names its first file, whatever its extension and folder, besides its sources."""
+    one = listing(spark, sf).select("path", F.split(F.substring("path", 4, 1000), "/")[0].alias("project"))
+    first = one.groupBy("project").agg(F.array(F.regexp_extract(F.min("path"), "([^/]+)$", 1)).alias("specific_files"))
+    entry = first.select("project", F.array(F.concat(F.lit("/d/"), "project")).alias("roots"), F.array(F.lit("v")).alias("include_exts"), F.array(F.lit("/.gen/")).alias("exclude_patterns"), "specific_files")
+    return S.in_catalog(one.select("path"), entry)
+
+
+#: Documents as the files of projects, ten a project, some of which lack some.
+BUNDLED = """SELECT concat('b', CAST(floor(doc_id / 10) AS BIGINT)) AS project, concat('/p/', CAST(floor(doc_id / 10) AS BIGINT), CASE doc_id % 10 WHEN 0 THEN '/README.md' WHEN 1 THEN '/readme.md' WHEN 2 THEN '/a.tcl' WHEN 3 THEN '/b.tcl' WHEN 4 THEN '/x.xdc' WHEN 5 THEN '/y.xdc'
+WHEN 6 THEN '/helloworld.c' WHEN 7 THEN '/src/main.c' WHEN 8 THEN '/main.cc' ELSE '/n.txt' END) AS path, concat(CASE WHEN doc_id % 10 = 2 THEN 'create_bd_cell ' WHEN doc_id % 20 = 3 THEN 'create_bd_cell create_bd_cell ' ELSE '' END, text) AS content FROM documents WHERE doc_id % 7 <> 0"""
+
+
+@query(f"""WITH b AS (SELECT *, regexp_extract(path, '([^/]+)$', 1) AS name, (length(content) - length(replace(content, 'create_bd_cell', ''))) / 14 AS n FROM ({BUNDLED})),
+k AS (SELECT *, CASE WHEN name IN ('README.md', 'readme.md') THEN 0 WHEN name LIKE '%.tcl' AND n > 0 THEN 1 WHEN name LIKE '%.xdc' THEN 2 WHEN name IN ('helloworld.c', 'main.c', 'main.cc') THEN 3 END AS part,
+CASE name WHEN 'readme.md' THEN 1 WHEN 'main.c' THEN 1 WHEN 'main.cc' THEN 2 ELSE CASE WHEN name LIKE '%.tcl' THEN -n ELSE 0 END END AS p FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY project, part ORDER BY p, path) AS rank FROM k WHERE part IS NOT NULL) SELECT project, path AS label, content[1:[2500, 3000, 2000, 1500][part + 1]] AS content FROM r WHERE rank = 1""")
+def sc22_bundles(spark, sf):
+    """What describes each project to a reader: its read-me, main script, first constraints and main program, each cut to its share."""
+    return S.project_bundle(rows(spark, sf, BUNDLED, "documents"))

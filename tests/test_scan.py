@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skein.operators import linkage as K
 from skein.operators import scan
 from skein.operators.context import within_budget
-from skein.operators.graph import last_before
+from skein.operators.graph import last_before, patched_edges
 
 SCHEMA = "k string, at int, id int, n long, v string, key string, _part int"
 
@@ -71,3 +71,13 @@ def test_categories_join_on_the_project(spark):
     found = K.by_category(r, c)
     assert {(x.req_id, x.target_id) for x in found.collect()} == {("r1", "c1"), ("r1", "c2"), ("r2", "c2"), ("r3", "c2")}
     assert found.count() == 4
+
+
+def test_edge_patches(spark):
+    schema = "from_id string, to_id string, edge_type string, note string"
+    nodes = spark.createDataFrame([(x,) for x in "abcc"], "node_id string")
+    old = spark.createDataFrame([("a", "b", "IMPLEMENTS", "old"), ("b", "c", "DEPENDS_ON", "old"), ("c", "x", "DEPENDS_ON", "old")], schema)
+    patch = spark.createDataFrame([("a", "b", "IMPLEMENTS", 1), ("b", "c", "IMPLEMENTS", 3), ("b", "c", "DEPENDS_ON", 2), ("c", "x", "IMPLEMENTS", 4), ("a", "c", "IMPLEMENTS", 5), ("a", None, "IMPLEMENTS", 6)], "from_id string, to_id string, edge_type string, seq int")
+    got = {tuple(r) for r in patched_edges(old, patch, nodes).collect()}
+    assert got == {("a", "b", "IMPLEMENTS", "old"), ("b", "c", "IMPLEMENTS", None), ("c", "x", "DEPENDS_ON", "old"), ("a", "c", "IMPLEMENTS", None)}
+    assert patched_edges(old.limit(0), patch, nodes).count() == 3 and patched_edges(old, patch.limit(0), nodes).count() == 3
