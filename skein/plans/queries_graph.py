@@ -407,16 +407,18 @@ def l1_gaps(spark, sf):
     return gaps.select(F.lit("gap").alias("kind"), "node_id").unionByName(orphans.select(F.lit("orphan").alias("kind"), "node_id"))
 
 
-@query("""WITH e AS (SELECT l_partkey AS f, l_suppkey AS t, arg_max(CASE WHEN l_linenumber % 2 = 0 THEN 'IMPLEMENTS' ELSE 'DEPENDS_ON' END, l_orderkey * 10 + l_linenumber) AS edge_type FROM lineitem GROUP BY 1, 2),
-p AS (SELECT l_partkey AS f, l_suppkey + 1 AS t, arg_max(CASE WHEN l_quantity > 25 THEN 'IMPLEMENTS' ELSE 'DECOMPOSES_TO' END, l_orderkey * 10 + l_linenumber) AS edge_type FROM lineitem GROUP BY 1, 2),
+@query("""WITH e AS (SELECT l_partkey AS f, l_suppkey AS t, max((l_orderkey * 10 + l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'IMPLEMENTS' ELSE 'DEPENDS_ON' END))[2] AS edge_type FROM lineitem GROUP BY 1, 2),
+p AS (SELECT l_partkey AS f, l_suppkey + 1 AS t, max((l_orderkey * 10 + l_linenumber, CASE WHEN l_quantity > 25 THEN 'IMPLEMENTS' ELSE 'DECOMPOSES_TO' END))[2] AS edge_type FROM lineitem GROUP BY 1, 2),
 ok AS (SELECT * FROM p WHERE t IN (SELECT s_suppkey FROM supplier) AND f IN (SELECT p_partkey FROM part))
 SELECT concat('P', coalesce(e.f, ok.f)) AS from_id, concat('S', coalesce(e.t, ok.t)) AS to_id, coalesce(ok.edge_type, e.edge_type) AS edge_type, CASE WHEN ok.f IS NULL OR ok.edge_type = e.edge_type THEN 'load' ELSE 'patch' END AS note FROM e FULL JOIN ok ON e.f = ok.f AND e.t = ok.t""")
 def sk11_edges_patched(spark, sf):
-    """Pairs of parts and suppliers as edges; each line also asks for an edge to the next supplier, which may not be there or have an edge of the same or another type."""
+    """Pairs of parts and suppliers as edges; each line also asks for an edge to the next supplier, which may not be there or have an edge of the same or another type. Lines may share a number: of those the last type by name counts."""
     one = table(spark, sf, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("from_id"), "l_suppkey", "l_quantity", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     old = one.select("from_id", F.concat(F.lit("S"), "l_suppkey").alias("to_id"), F.when(F.col("l_linenumber") % 2 == 0, "IMPLEMENTS").otherwise("DEPENDS_ON").alias("edge_type"), F.lit("load").alias("note"), "seq")
     patch = one.select("from_id", F.concat(F.lit("S"), F.col("l_suppkey") + 1).alias("to_id"), F.when(F.col("l_quantity") > 25, "IMPLEMENTS").otherwise("DECOMPOSES_TO").alias("edge_type"), F.lit("patch").alias("note"), "seq")
     nodes = table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node_id")).unionByName(table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node_id")))
+    # Lines of one number are told apart by the type.
+    old, patch = (x.withColumn("seq", F.struct("seq", "edge_type")) for x in (old, patch))
     return G.patched_edges(G.latest(old, ["from_id", "to_id"], "seq").drop("seq"), patch, nodes)
 
 
