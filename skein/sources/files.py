@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_comments
+from ..operators.graph import kept
 from .file_source import listed_files
 
 # Languages by extension, and folders that hold no sources.
@@ -28,6 +29,8 @@ DOC_ID = r"(ug|xapp|wp|xcn|pg|oslib)(\d+)"
 PART = r"(?i)(xc[0-9][a-z][0-9a-z]+[a-z]+-[0-9][a-z]+)"
 BOARD = r"(?i)(?:Nexys|Arty|Basys|Zybo|Cora|Genesys|Cmod|ZedBoard|Eclypse|Kria|Pynq|Anvyl)[\s\-_]?[A-Z0-9\-]*"
 LEAST_FILES, MOST_FILES, UMBRELLA = 5, 3000, "Projects"
+#: Roots of a catalog that are broadcast at most.
+MOST_ROOTS = 10_000
 MARKERS = ("create_bd_cell", "create_project", "create_bd_design", "set_property -dict", "create_clock")
 
 
@@ -136,9 +139,11 @@ def _name(path: str = "path") -> Column:
 
 
 def _below(listing: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Files with the projects under whose roots they are. A root is looked up among the folders of a file, so the join has a key."""
+    """Files with the projects under whose roots they are. A root is looked up among the folders of a file, so the join has a key. Few roots are broadcast, else nothing: the files' size is not what their compressed listing tells."""
     folders = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))
     roots = catalog.withColumn("root", F.explode("roots")).withColumn("root", F.regexp_replace("root", "/+$", "")).drop("roots")
+    roots = kept(roots)
+    roots = F.broadcast(roots) if roots.count() <= MOST_ROOTS else roots.hint("merge")
     return listing.withColumn("root", F.explode(folders)).join(roots, "root").drop("root")
 
 
