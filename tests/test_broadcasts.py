@@ -28,3 +28,27 @@ def test_chunks_and_hits_are_not_broadcast(spark):
     found = Ro.in_file(chunks, stems, hits)
     assert hints(found).count("strategy=merge") >= 2
     assert [r.chunk_id for r in found.orderBy("rank").collect()] == ["K7", "K4", "K1"]
+
+
+def test_a_query_goes_to_a_part_once(spark, tmp_path, monkeypatch):
+    """Lists are put together into parts; a query has one row a part that it reads, whatever the lists, and answers are exact."""
+    import numpy as np
+
+    from skein.operators import vector_index as Vi
+
+    monkeypatch.setattr(Vi, "PART", 64)
+    monkeypatch.setattr(Vi, "CELLS", 100)
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    df = spark.createDataFrame([(n, v.tolist(), n % 3) for n, v in enumerate(x)], "vec_id long, embedding array<double>, label long")
+    index = Vi.VectorIndex(spark, str(tmp_path / "i"))
+    index.build(df, keep=("label",), lists=20)
+    q = df.selectExpr("vec_id as query_id", "embedding as query_vector", "label")
+    found, pairs, lists = index._search(q, 5, None, None, None, "label")
+    # First lists and others are asked apart.
+    read = pairs.selectExpr("count(*) as n", "sum(size(lists)) as lists").first()
+    assert lists == 20 and read.n <= 2 * 300 * 7 < read.lists
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.where(np.arange(300)[:, None] % 3 == np.arange(300)[None] % 3, u @ u.T, -9)
+    got = {(r.query_id, r["rank"]): r.id for r in found.collect()}
+    assert got == {(a, k + 1): b for a in range(300) for k, b in enumerate(np.argsort(-s[a], kind="stable")[:5].tolist())}
+    assert "strategy=merge" in hints(found)
