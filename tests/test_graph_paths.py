@@ -71,3 +71,16 @@ def test_a_deep_hierarchy_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "kept", counted)
     got = graph.descend(edges(spark, rows), spark.createDataFrame([("c0000",)], "node_id string")).collect()
     assert sorted((r.depth, r.node_id) for r in got) == [(k, f"c{k:04d}") for k in range(1001)] and len(written) <= 12
+
+
+def test_shortest_paths_follow_the_side_with_fewer_edges(spark, monkeypatch):
+    """A start that fans out is not followed where its goal has few edges into it, whether or not there is a path."""
+    from skein.operators import graph as G
+
+    e = [("s", f"a{n}") for n in range(50)] + [(f"a{n}", f"b{n}_{k}") for n in range(50) for k in range(50)] + [("a7", "x"), ("x", "y"), ("y", "g"), ("u", "v"), ("v", "w")]
+    edges = spark.createDataFrame(e, "from_id string, to_id string")
+    sizes, put = [], G._Frontier._put
+    monkeypatch.setattr(G._Frontier, "_put", lambda self, rows: (put(self, rows), sizes.append(self.last().count()))[0])
+    got = {(r.start, r.goal): r.path for r in G.shortest_paths(edges, spark.createDataFrame([("s", "g"), ("s", "w")], "start string, goal string")).collect()}
+    assert got == {("s", "g"): ["s", "a7", "x", "y", "g"]}
+    assert max(sizes) <= 50
