@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
 Terms of a document are pairs of neighbouring byte classes, how often its words recur in it, words that repeat the one before, and hashed words. A singular value
-decomposition over a bounded sample of labelled rows gives a projection to a few latent dimensions. The sample's projected vectors are broadcast (at most
+decomposition over a bounded sample of labelled rows, in one task, gives a projection to a few latent dimensions. The sample's projected vectors are broadcast (at most
 SAMPLE_ROWS * RANK floats); every document of the table is projected and compared with all of them by exact cosine, in blocks of
 one matrix product each, and its nearest neighbours vote with their similarities as weights.
 """
@@ -118,11 +118,28 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
 
+_MODEL = "mean binary, projection binary, vectors binary, labels binary, prior double"
+
+
+def _fitted(table: pa.Table) -> pa.Table:
+    """A model, as one row, of rows (doc_id, y, x)."""
+    table = table.sort_by("doc_id")
+    x, y = np.empty((table.num_rows, DIMS), np.float32), table.column("y").to_numpy()
+    for n, row in enumerate(table.column("x")):
+        x[n] = np.frombuffer(row.as_buffer(), np.float16)
+    m = fit(x, y)
+    arrays = [np.ascontiguousarray(a) for a in (m.mean.astype(np.float32), m.projection.astype(np.float32), m.vectors.astype(np.float32), m.labels.astype(float))]
+    return pa.table([*(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([m.prior])], names=["mean", "projection", "vectors", "labels", "prior"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on the bounded sample; the driver gets its term weights, rows * DIMS half floats at most."""
-    got = sample(docs, labels, label, rows).mapInArrow(_feature_rows, "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
-    return fit(x, got.column("y").to_numpy())
+    """Fits on the bounded sample, in one task that gets its term weights, rows * DIMS half floats at most; the driver gets the model alone."""
+    found = sample(docs, labels, label, rows).mapInArrow(_feature_rows, "doc_id long, y int, x binary").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fitted, _MODEL).first()
+    if found is None:
+        return fit(np.zeros((0, DIMS), np.float32), np.zeros(0))
+    mean, projection, vectors = (np.frombuffer(found[c], np.float32) for c in ("mean", "projection", "vectors"))
+    rank = len(projection) // DIMS
+    return Model(mean, projection.reshape(DIMS, rank), vectors.reshape(-1, rank), np.frombuffer(found["labels"], float), found["prior"])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
