@@ -114,8 +114,7 @@ SELECT query_id AS req_id, vec_id AS target_id, round(s, 4) AS similarity FROM r
 def j5_similarity_join(spark, sf):
     """Every vector against those of its label (project): the five nearest from 0.75 on."""
     e = table(spark, sf, "embeddings")
-    hits = R.nearest(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 5, "label")
-    own = hits.join(e.select(F.col("vec_id").alias("query_id"), "label"), ["query_id", "label"])
+    own = kept(R.nearest(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label"), 5, "label", same=True, at_least=K.SEMANTIC_AT_LEAST))
     m = K.by_similarity(own.withColumnRenamed("vec_id", "node_id"))
     return m.join(own.select(F.col("query_id").alias("req_id"), F.col("vec_id").alias("target_id"), F.round("similarity", 4).alias("similarity")), ["req_id", "target_id"]).select("req_id", "target_id", "similarity")
 
