@@ -50,3 +50,18 @@ def test_rows_are_sent_as_often_for_larger_tables(spark):
         return sum(int(line.split("sequence(0, ")[1].split(",")[0].split(")")[0]) + 1 if "sequence" in line else len(line.split("explode([")[1].split("]")[0].split(",")) for line in blocks)
 
     assert sent(100_000) == sent(200_000)
+
+
+def test_index_has_as_many_parts_for_larger_tables(spark, tmp_path, monkeypatch):
+    """Queries of a neighbour join go to a fixed number of parts, until parts are full."""
+    from skein.operators import vector_index as I
+
+    monkeypatch.setattr(I, "PART", 100)
+    rng = np.random.default_rng(5)
+    for n in (2000, 4000):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 4)))], "vec_id long, embedding array<double>")
+        index = I.VectorIndex(spark, str(tmp_path / str(n)))
+        index.build(rows, lists=40)
+        q = rows.limit(50).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+        pairs = index._search(q, 3, None, None, None, None)[1]
+        assert pairs.select("part").distinct().count() <= 2 * I.PARTS
