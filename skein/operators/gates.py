@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import name_of, rank_of
+from .graph import kept, name_of, rank_of
 
 # What counts as a technical value, an address and a protocol, and values that need no source.
 VALUE = (
@@ -72,7 +72,8 @@ def gate(members: DataFrame, nodes: DataFrame, edges: DataFrame, require_evidenc
     """
     members = members.select("answer", "node_id").distinct()
     old = edges.where("edge_type = 'SUPERSEDES'").select(F.col("to_id").alias("node_id")).distinct()
-    live = members.join(old, "node_id", "left_anti").join(nodes.select("node_id", "node_type", "confidence"), "node_id")
+    # All counts are made of the live nodes, so these are written once.
+    live = kept(members.join(old, "node_id", "left_anti").join(nodes.select("node_id", "node_type", "confidence"), "node_id"))
     ids = live.select("answer", "node_id", "node_type")
     implemented = edges.where("edge_type = 'IMPLEMENTS'").select(F.col("to_id").alias("node_id"))
     comps = nodes.where("node_type = 'COMPONENT'").select("node_id")
@@ -82,11 +83,12 @@ def gate(members: DataFrame, nodes: DataFrame, edges: DataFrame, require_evidenc
     proof = nodes.where("node_type = 'EVIDENCE'").select(F.col("node_id").alias("to_id"))
     direct = edges.where("edge_type = 'VERIFIED_BY'").join(proof, "to_id", "left_semi").select(F.col("from_id").alias("node_id")).distinct()
     proved = ids.join(direct, "node_id", "left_semi").select("answer", "node_id")
-    own = ids.where("node_type = 'EVIDENCE'").select("answer", F.col("node_id").alias("to_id")).join(edges.select("from_id", "to_id"), "to_id").select("answer", F.col("from_id").alias("node_id"))
-    proved = proved.unionByName(own.join(ids, ["answer", "node_id"], "left_semi")).distinct()
-    e = edges.select("from_id", "to_id", F.coalesce("confidence", F.lit("MEDIUM")).alias("confidence"))
-    inner = e.join(ids.select("answer", F.col("node_id").alias("from_id")), "from_id").join(ids.select("answer", F.col("node_id").alias("to_id")), ["answer", "to_id"]).select("answer", "confidence")
-    level = live.select("answer", "confidence").unionByName(inner).groupBy("answer").agg(F.min(rank_of(F.col("confidence"))).alias("r"))
+    # One pass over the edges between live nodes: their confidence, and which nodes point to evidence of the answer.
+    e = edges.select("from_id", "to_id", rank_of(F.coalesce("confidence", F.lit("MEDIUM"))).alias("r"))
+    inner = e.join(ids.select("answer", F.col("node_id").alias("from_id")), "from_id").join(ids.select("answer", F.col("node_id").alias("to_id"), "node_type"), ["answer", "to_id"])
+    inner = kept(inner.groupBy("answer", F.when(F.col("node_type") == "EVIDENCE", F.col("from_id")).alias("node_id")).agg(F.min("r").alias("r")))
+    proved = proved.unionByName(inner.where("node_id is not null").select("answer", "node_id")).distinct()
+    level = live.select("answer", rank_of(F.col("confidence")).alias("r")).unionByName(inner.select("answer", "r")).groupBy("answer").agg(F.min("r").alias("r"))
     out = members.select("answer").distinct()
     for df, name in (
         (members.join(old, "node_id", "left_semi"), "superseded"),
