@@ -21,6 +21,9 @@ PROTOCOL = (
 )
 BENIGN = ("32 bit", "64 bit", "16 bit", "8 bit", "1 bit", "2 bit", "1 kb", "2 kb", "4 kb", "50 mhz", "100 mhz", "200 mhz", "1 cycle", "2 cycle")
 
+#: Rows of a part, on average: what one task sorts and holds does not grow with the table.
+PART = 250_000
+
 
 def evidenced(nodes: DataFrame, edges: DataFrame, all_nodes: DataFrame) -> DataFrame:
     """Nodes that a VERIFIED_BY edge joins to evidence, or that point to evidence among the answer's own nodes."""
@@ -103,8 +106,13 @@ def gate(members: DataFrame, nodes: DataFrame, edges: DataFrame, require_evidenc
     return out.withColumn("passed", ~(F.lit(require_evidence) & wrong & (F.col("evidence") == 0)))
 
 
-def ungrounded(answers: DataFrame) -> DataFrame:
-    """Of answers (key, answer, corpus) what the corpus does not hold: (key, kind, value), each once.
+def parts_of(rows: DataFrame) -> int:
+    """So many parts that they have at most PART rows on average, spark.sql.shuffle.partitions at least. The rows are counted; a file's count is in its footer."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART))
+
+
+def ungrounded(answers: DataFrame, parts: int | None = None) -> DataFrame:
+    """Of answers (key, answer, corpus) what the corpus does not hold: (key, kind, value), each once. parts: in how many parts these are compared.
 
     A value is grounded by itself, without its blanks, or by its number alone where that has two characters or more and stands as a word; addresses and protocols by themselves.
     """
@@ -116,4 +124,5 @@ def ungrounded(answers: DataFrame) -> DataFrame:
     rows = answers.select("key", F.lower(F.coalesce("corpus", F.lit(""))).alias("c"), F.explode(F.array_distinct(every)).alias("f")).select("key", "c", "f.*")
     word = (F.length("number") >= 2) & F.regexp_like(F.col("c"), F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace("number", r"\.", r"\\."), F.lit(r"(?![\p{L}\p{N}_])")))
     ok = F.contains("c", F.col("value")) | ((F.col("kind") == "value") & (F.col("value").isin(*BENIGN) | word | F.contains("c", F.replace("value", F.lit(" "), F.lit("")))))
-    return rows.where(~ok).select("key", "kind", "value").distinct()
+    found = rows.where(~ok).select("key", "kind", "value")
+    return (found.repartition(parts, "key", "kind", "value") if parts else found).distinct()

@@ -204,11 +204,15 @@ f AS (SELECT key, 'value' AS kind, value FROM v WHERE NOT contains(c, value) AND
 UNION ALL SELECT key, 'address', regexp_extract(t, '0x[0-9a-f]+', 0) FROM a WHERE NOT contains(c, regexp_extract(t, '0x[0-9a-f]+', 0))
 UNION ALL SELECT key, 'protocol', p FROM (SELECT key, c, regexp_extract(replace(t, 'spi nor', ''), '\\b(i2s|spi|uart|pcie|can\\s*bus|i2c|mipi|hdmi|displayport|thunderbolt|usb\\s*3|ethernet\\s*mac)\\b', 1) AS p FROM a) WHERE p <> '' AND NOT contains(c, p)) SELECT DISTINCT key, kind, value FROM f""")
 def gt8_grounding(spark, sf):
-    """The later lines of each order against its first two."""
-    s = spark.sql(f"SELECT l_orderkey, l_linenumber, {SAID.format(hex='lower(hex(l_partkey + 4096))')} AS text FROM {{lineitem}}", lineitem=table(spark, sf, "lineitem"))
-    corpus = s.where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "text"))), lambda x: F.lower(x["text"]))).alias("corpus"))
-    a = s.where("l_linenumber > 2").join(corpus, "l_orderkey", "left").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("text").alias("answer"), "corpus")
-    return G.ungrounded(a)
+    """The later lines of each order against its first two. Lines are dealt by order as short columns, in parts of a fixed number of lines; texts are made where they meet."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    parts = G.parts_of(lines)
+    s = spark.sql(f"SELECT l_orderkey, l_linenumber, {SAID.format(hex='lower(hex(l_partkey + 4096))')} AS text FROM {{lines}}", lines=lines.repartition(parts, "l_orderkey"))
+    # As in a join, lines without an order have no first lines.
+    first = F.when((F.col("l_linenumber") <= 2) & F.col("l_orderkey").isNotNull(), F.lower("text"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "text").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    a = s.withColumn("first", F.collect_list(first).over(order)).where("l_linenumber > 2")
+    return G.ungrounded(a.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("text").alias("answer"), F.concat_ws(" ", "first").alias("corpus")), parts)
 
 
 @query("""WITH t AS (SELECT doc_id, source, n_chars, coalesce(sum(n_chars + 50) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS k FROM documents)
