@@ -11,6 +11,7 @@ from ..operators import gates as G
 from ..operators import graph as Gr
 from ..operators import routing as Q
 from ..operators.containment import holding
+from ..operators.linkage import key_pairs
 from ..sources import tables as Tb
 from .catalog import query, table
 
@@ -128,9 +129,8 @@ def j16_semi(spark, sf):
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name AS key FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND a.p_brand <> b.p_brand""")
 def j8_self_join(spark, sf):
-    p = table(spark, sf, "part")
-    a, b = p.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("ba"), F.col("p_name").alias("key")), p.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("bb"), F.col("p_name").alias("key"))
-    return a.join(b, "key").where("a < b and ba <> bb").select("a", "b", "key")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("key"), F.col("p_brand").alias("brand"))
+    return key_pairs(p, ["key"], ["brand"], lambda p, q: p["brand"] != q["brand"]).select("a", "b", "key")
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
